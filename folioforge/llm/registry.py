@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, minhash, substring, suffix
+from . import decontam, media, minhash, packing, secrets, substring, suffix
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,6 +17,20 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.digest(decontam.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")))
 
 
+def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return packing.pack(_table(spark, sf_dir, "documents"), str(public_tokenizers.path("byte_bpe_50k.json")), 2048)
+
+
+def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.digest(secrets.scan(_table(spark, sf_dir, "documents")))
+
+
+def op8_telephony_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.store_texts(_table(spark, sf_dir, "documents"), with_media=False)
+
+
 def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(_table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "kept")
 
@@ -31,6 +45,9 @@ def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
+    "op3_best_fit_packing": op3_best_fit_packing,
+    "op6_secret_scan": op6_secret_scan,
+    "op8_telephony_audio": op8_telephony_audio,
     "op5_minhash_near_dedup": op5_minhash_near_dedup,
     "op7_substring_dedup": op7_substring_dedup,
     "op10_suffix_array_dedup": op10_suffix_array_dedup,
