@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, media, minhash, packing, secrets, substring, suffix
+from . import decontam, media, minhash, packing, secrets, substring, suffix, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,6 +31,10 @@ def op8_telephony_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.store_texts(_table(spark, sf_dir, "documents"), with_media=False)
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(_table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "kept")
 
@@ -48,6 +52,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_best_fit_packing": op3_best_fit_packing,
     "op6_secret_scan": op6_secret_scan,
     "op8_telephony_audio": op8_telephony_audio,
+    "op9_toxicity": op9_toxicity,
     "op5_minhash_near_dedup": op5_minhash_near_dedup,
     "op7_substring_dedup": op7_substring_dedup,
     "op10_suffix_array_dedup": op10_suffix_array_dedup,
