@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, media, minhash, packing, secrets, substring, suffix, toxicity
+from . import decontam, htmldiff, linededup, media, minhash, packing, secrets, substring, suffix, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,6 +17,10 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.digest(decontam.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")))
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.dedup_lines(_table(spark, sf_dir, "documents"), with_text=False)
+
+
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -35,6 +39,10 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return htmldiff.main_text(_table(spark, sf_dir, "pages"))
+
+
 def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(_table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "kept")
 
@@ -49,7 +57,9 @@ def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
+    "op2_line_dedup": op2_line_dedup,
     "op3_best_fit_packing": op3_best_fit_packing,
+    "op4_html_extraction": op4_html_extraction,
     "op6_secret_scan": op6_secret_scan,
     "op8_telephony_audio": op8_telephony_audio,
     "op9_toxicity": op9_toxicity,
@@ -59,6 +69,20 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 SQL: dict[str, str] = {
+    "op2_line_dedup": """
+WITH RECURSIVE line AS (SELECT doc_id, p - 1 AS n, l[p] AS x FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents), unnest(range(1, len(l) + 1)) AS t(p)),
+long AS (SELECT * FROM line WHERE strlen(x) >= 40),
+one AS (SELECT x, min((doc_id, n)) AS head, count(*) AS times, strlen(x) AS b FROM long GROUP BY x),
+link AS MATERIALIZED (SELECT a.head AS u, c.head AS v FROM one a JOIN one c ON c.b - a.b BETWEEN 0 AND 2 AND a.x <> c.x
+  WHERE (contains(c.x, a.x[:length(a.x) // 3]) OR contains(c.x, a.x[length(a.x) // 3 + 1:2 * (length(a.x) // 3)]) OR contains(c.x, a.x[2 * (length(a.x) // 3) + 1:])) AND levenshtein(a.x, c.x) <= 2),
+edge AS MATERIALIZED (SELECT u, v FROM link UNION SELECT v, u FROM link),
+reach AS (SELECT head AS u, head AS v FROM one WHERE head IN (SELECT u FROM edge) UNION SELECT r.u, e.v FROM reach r JOIN edge e ON r.v = e.u),
+class AS (SELECT u, min(v) AS first FROM reach GROUP BY u),
+gone AS (SELECT doc_id, n, coalesce(first, head) AS first FROM long JOIN one USING (x) LEFT JOIN class ON head = u WHERE (doc_id, n) <> coalesce(first, head)),
+said AS (SELECT doc_id, count(*) AS k, string_agg(n::VARCHAR || '>' || first[1]::VARCHAR || ':' || first[2]::VARCHAR, ',' ORDER BY n) AS t FROM gone GROUP BY doc_id)
+SELECT d.doc_id, (strlen(coalesce(text, '')) - strlen(replace(coalesce(text, ''), chr(10), '')) + 1)::BIGINT AS n_lines, coalesce(k, 0)::BIGINT AS n_removed, coalesce(t, '') AS removed
+FROM documents d LEFT JOIN said USING (doc_id)
+""",
     "op1_decontamination": """
 WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents),
 b AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM benchmark),
