@@ -31,7 +31,8 @@ FULL, DETAIL = 1, 2
 GATHER = 2_000_000
 PASS1 = "part int, kind int, k0 long, k1 int, payload binary"
 _ENTRY = ["u8", "u8", "i8", "u2", "u4", "u4"]
-_WINDOW = ["u8", "i8", "u2", "u4"]
+_SIXTEEN = ["i8", "u2", "i4", "u2", "u2"]
+_STRETCH = ["u4", "u4", "u2", "u1"]
 
 
 def level_lengths(window: int, start: int = 1) -> list[int]:
@@ -78,6 +79,8 @@ class Finder:
         self.window, self.by, self.exact = window, by, by == "byte"
         self.lengths = level_lengths(window, 8 if self.exact else 1)
         self.q = self.lengths[max(0, len(self.lengths) - 3)]
+        if not 0 < window < 1 << 15:
+            raise ValueError("a window has 1 to 32767 units")
 
     def units(self, buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Identifiers of a block's units, and where each document's begin and end."""
@@ -99,7 +102,7 @@ class Finder:
                     yield x[base:end], own, base - int(bounds[d])
 
     def anchors(self, x: np.ndarray, bounds: np.ndarray):
-        """Per stretch of windows with one anchor: document, first window, windows, anchor id, stretch id."""
+        """Per stretch of windows with one anchor: document, first window, windows, the anchor's distance, anchor id, stretch id."""
         W, q = self.window, self.q
         n = np.diff(bounds) - W + 1
         if len(x) < W or not (n > 0).any():
@@ -120,28 +123,38 @@ class Finder:
         p0 = p[first]
         doc = np.searchsorted(bounds, p0, "right") - 1
         s = core.pair(core.pair(iw[p0], iw[p0 + count - 1]), count.astype(U64))
-        return doc, p0 - bounds[doc], count, iq[a[first]], s
+        return doc, p0 - bounds[doc], count, a[first] - p0, iq[a[first]], s
 
-    def window_ids(self, x: np.ndarray) -> np.ndarray:
-        return identifiers(x.astype(U64) if self.exact else x, self.lengths, {self.window}, self.exact)[self.window]
+    def ids(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Identifiers of length q and of whole windows."""
+        got = identifiers(x.astype(U64) if self.exact else x, self.lengths, {self.q, self.window}, self.exact)
+        return got[self.q], got[self.window]
 
 
-def _doc_rows(k0, k1, doc, p0, n, flag, parts) -> Iterator[pa.RecordBatch]:
+def _lists(own: np.ndarray, p0, n, rel, flag) -> tuple[np.ndarray, list[bytes]]:
+    """Packed stretches of each owner (a row number), adjoining FULL ones as one; and where owners start."""
+    order = np.lexsort((p0, own))
+    own, p0, n, rel, flag = (x[order] for x in (own, p0.astype(np.int64), n.astype(np.int64), rel, flag))
+    new = np.ones(len(own), bool)
+    new[1:] = (own[1:] != own[:-1]) | (p0[1:] != p0[:-1] + n[:-1]) | (flag[1:] != FULL) | (flag[:-1] != FULL)
+    at = np.flatnonzero(new)
+    n = np.add.reduceat(n, at)
+    own, p0, rel, flag = own[at], p0[at].astype("u4"), rel[at].astype("u2"), flag[at].astype("u1")
+    n = n.astype("u4")
+    first, _ = core.groups(own)
+    return own[first], [core.pack(p0[i:j], n[i:j], rel[i:j], flag[i:j]) for i, j in zip(first, np.r_[first[1:], len(own)])]
+
+
+def _doc_rows(k0, k1, doc, p0, n, rel, flag, parts) -> Iterator[pa.RecordBatch]:
     """One row for each document with its marked stretches."""
     if not len(doc):
         return
-    order = np.argsort(doc, kind="stable")
-    doc, p0, n, flag = doc[order], p0[order], n[order], flag[order]
-    at, _ = core.groups(doc)
-    ends = np.r_[at[1:], len(doc)]
-    own = doc[at]
-    payload = [core.pack(p0[i:j].astype("u4"), n[i:j].astype("u4"), flag[i:j].astype("u1")) for i, j in zip(at, ends)]
+    own, payload = _lists(doc, p0, n, rel, flag)
     m = len(own)
     yield from core.rows_of({"part": (pa.int32(), core.part_of(k0[own].view(U64), parts)), "kind": (pa.int32(), np.zeros(m, np.int32)), "k0": (pa.int64(), k0[own]), "k1": (pa.int32(), k1[own]), "payload": (pa.binary(), payload)})
 
 
-def _entry_rows(key, columns, parts) -> Iterator[pa.RecordBatch]:
-    rows = list(core.by_part(key, columns, parts))
+def _entry_rows(rows: list[tuple[int, bytes]]) -> Iterator[pa.RecordBatch]:
     if rows:
         p, payload = zip(*rows)
         m = len(p)
@@ -152,9 +165,9 @@ def _gather(finder: Finder, parts: int):
     """Step 1: anchors of a task's documents; repeats within the task are settled here."""
 
     def settle(k0, k1, found):
-        doc, p0, n, b, s = (np.concatenate(c) for c in zip(*found))
+        doc, p0, n, rel, b, s = (np.concatenate(c) for c in zip(*found))
         order = np.lexsort((s, b))
-        doc, p0, n, b, s = doc[order], p0[order], n[order], b[order], s[order]
+        doc, p0, n, rel, b, s = (x[order] for x in (doc, p0, n, rel, b, s))
         bat, bgroup = core.groups(b)
         new = np.ones(len(b), bool)
         new[1:] = (b[1:] != b[:-1]) | (s[1:] != s[:-1])
@@ -166,9 +179,10 @@ def _gather(finder: Finder, parts: int):
         many = kinds[bgroup] > 1
         flag[sat] |= np.where(many[sat], DETAIL, 0)
         mark = flag > 0
-        yield from _doc_rows(k0, k1, doc[mark], p0[mark], n[mark], flag[mark], parts)
+        yield from _doc_rows(k0, k1, doc[mark], p0[mark], n[mark], rel[mark], flag[mark], parts)
         one = (flag[bat] & FULL) | np.where(many[bat], DETAIL, 0)
-        yield from _entry_rows(b[bat], [s[bat], k0[doc[bat]], k1[doc[bat]].astype("u2"), p0[bat].astype("u4"), (n[bat] * 4 + one).astype("u4")], parts)
+        packed = (rel[bat].astype("u4") << 17) | (n[bat].astype("u4") << 2) | one.astype("u4")
+        yield from _entry_rows(list(core.by_part(b[bat], [s[bat], k0[doc[bat]], k1[doc[bat]].astype("u2"), p0[bat].astype("u4"), packed], parts)))
 
     def run(batches):
         k0s, k1s, found, held, base = [], [], [], 0, 0
@@ -181,8 +195,8 @@ def _gather(finder: Finder, parts: int):
                 for part, own, shift in finder.pieces(x, bounds):
                     got = finder.anchors(part, own)
                     if got:
-                        doc, p0, n, b, s = got
-                        found.append(((doc + i + base).astype(np.int32), (p0 + shift).astype(np.int32), n.astype(np.int32), b, s))
+                        doc, p0, n, rel, b, s = got
+                        found.append(((doc + i + base).astype(np.int32), (p0 + shift).astype(np.int32), n.astype(np.int32), rel.astype(np.int32), b, s))
                         held += len(b)
             base += batch.num_rows
             if held > GATHER:
@@ -197,16 +211,15 @@ def _gather(finder: Finder, parts: int):
 MARKS = "k0 long, k1 int, payload binary"
 
 
-def _marks(k0, k1, p0, n, flag) -> Iterator[pa.RecordBatch]:
+def _marks(k0, k1, p0, n, rel, flag) -> Iterator[pa.RecordBatch]:
     if len(k0):
         order = np.lexsort((k1, k0))
-        k0, k1, p0, n, flag = (c[order] for c in (k0, k1, p0, n, flag))
+        k0, k1, p0, n, rel, flag = (c[order] for c in (k0, k1, p0, n, rel, flag))
         new = np.ones(len(k0), bool)
         new[1:] = (k0[1:] != k0[:-1]) | (k1[1:] != k1[:-1])
         at = np.flatnonzero(new)
-        ends = np.r_[at[1:], len(k0)]
-        payload = [core.pack(p0[i:j].astype("u4"), n[i:j].astype("u4"), flag[i:j].astype("u1")) for i, j in zip(at, ends)]
-        yield from core.rows_of({"k0": (pa.int64(), k0[at]), "k1": (pa.int32(), k1[at].astype(np.int32)), "payload": (pa.binary(), payload)})
+        own, payload = _lists(np.cumsum(new) - 1, p0, n, rel, flag)
+        yield from core.rows_of({"k0": (pa.int64(), k0[at][own]), "k1": (pa.int32(), k1[at][own].astype(np.int32)), "payload": (pa.binary(), payload)})
 
 
 def _compare_anchors():
@@ -232,7 +245,7 @@ def _compare_anchors():
         if not len(b):
             return
         k0, k1, p0, nf = k0[order], k1[order], p0[order], nf[order]
-        n, had, many = nf >> 2, (nf & FULL) > 0, (nf & DETAIL) > 0
+        rel, n, had, many = nf >> 17, (nf >> 2) & 0x7FFF, (nf & FULL) > 0, (nf & DETAIL) > 0
         at, group = core.groups(b)
         new = np.ones(len(b), bool)
         new[1:] = (b[1:] != b[:-1]) | (s[1:] != s[:-1])
@@ -248,25 +261,46 @@ def _compare_anchors():
         first = first[first < len(b)]
         flag[first] |= np.where(mixed[group[first]], DETAIL, 0)
         mark = flag > 0
-        yield from _marks(k0[mark], k1[mark].astype(np.int32), p0[mark], n[mark], flag[mark])
+        yield from _marks(k0[mark], k1[mark].astype(np.int32), p0[mark], n[mark], rel[mark], flag[mark])
 
     return run
 
 
 def _explode(finder: Finder, parts: int):
-    """Step 3: identifiers of the windows of open stretches; repeats within the task are settled here."""
+    """Step 3: identifiers of the windows of open stretches; repeats within the task are settled here.
+
+    Equal windows have equal anchors at equal distances, so windows travel in sixteens of
+    neighbours, keyed by anchor and distance, with one reference to their document.
+    """
     W = finder.window
 
     def settle(k0, k1, found):
-        doc, p, w = (np.concatenate(c) for c in zip(*found))
+        doc, p, w, key, bit = (np.concatenate(c) for c in zip(*found))
         order = np.argsort(w, kind="stable")
-        doc, p, w = doc[order], p[order], w[order]
-        at, group = core.groups(w)
-        twice = np.diff(np.r_[at, len(w)]) > 1
-        mark = twice[group]
-        n = int(mark.sum())
-        yield from _doc_rows(k0, k1, doc[mark], p[mark], np.ones(n, np.int64), np.full(n, FULL), parts)
-        yield from _entry_rows(w[at], [k0[doc[at]], k1[doc[at]].astype("u2"), (p[at].astype("u4") << 1) | twice.astype("u4")], parts)
+        at, group = core.groups(w[order])
+        twice = np.empty(len(w), bool)
+        twice[order] = (np.diff(np.r_[at, len(w)]) > 1)[group]
+        n = int(twice.sum())
+        zero = np.zeros(n, np.int64)
+        yield from _doc_rows(k0, k1, doc[twice], p[twice], zero + 1, zero, zero + FULL, parts)
+        one = np.zeros(len(w), bool)
+        one[order[at]] = True
+        doc, p, w, key, bit, twice = (x[one] for x in (doc, p, w, key, bit, twice))
+        base = p - bit
+        new = np.ones(len(w), bool)
+        new[1:] = (key[1:] != key[:-1]) | (doc[1:] != doc[:-1]) | (base[1:] != base[:-1])
+        at = np.flatnonzero(new)
+        count = np.diff(np.r_[at, len(w)])
+        mask = np.add.reduceat(1 << bit, at)
+        done = np.add.reduceat(twice << bit, at)
+        part = core.part_of(key[at], parts)
+        order = np.argsort(part, kind="stable")
+        cut = np.flatnonzero(np.diff(part[order])) + 1
+        rows = []
+        for x in np.split(order, cut):
+            own = core.pack(k0[doc[at[x]]], k1[doc[at[x]]].astype("u2"), base[at[x]].astype("i4"), mask[x].astype("u2"), done[x].astype("u2"))
+            rows.append((int(part[x[0]]), own + core.pack(w[core.ranges(at[x], count[x])])))
+        yield from _entry_rows(rows)
 
     def run(batches):
         k0s, k1s, found, held, base = [], [], [], 0, 0
@@ -276,19 +310,24 @@ def _explode(finder: Finder, parts: int):
             k1s.append(batch.column("k1").to_numpy(zero_copy_only=False))
             marks = batch.column("marks")
             for i in range(batch.num_rows):
-                p0, n, flag = core.merged([x.as_py() for x in marks[i].values], ["u4", "u4", "u1"])
+                p0, n, rel, flag = core.merged([x.as_py() for x in marks[i].values], _STRETCH)
                 take = (flag & DETAIL) > 0
                 if not take.any():
                     continue
-                p = np.unique(core.ranges(p0[take], n[take]))
+                p0, n, rel = p0[take].astype(np.int64), n[take].astype(np.int64), rel[take].astype(np.int64)
+                p, first = np.unique(core.ranges(p0, n), return_index=True)
+                r = np.repeat(p0 + rel, n)[first] - p
                 x, bounds = finder.units(buf, off[i : i + 2])
                 for part, own, shift in finder.pieces(x, bounds):
-                    near = p[(p >= shift) & (p + W <= shift + len(part))] - shift
-                    if len(part) > 4 * core.BLOCK or shift or len(x) > len(part):
-                        near = near[near < 2 * core.BLOCK]
-                    if len(near):
-                        found.append((np.full(len(near), i + base, np.int32), near + shift, finder.window_ids(part)[near]))
-                        held += len(near)
+                    here = (p >= shift) & (p + W <= shift + len(part))
+                    if len(x) > len(part):
+                        here &= p < shift + 2 * core.BLOCK
+                    if here.any():
+                        iq, iw = finder.ids(part)
+                        ph, rh = p[here], r[here]
+                        key = core.pair(iq[ph + rh - shift], (rh >> 4).astype(U64))
+                        found.append((np.full(len(ph), i + base, np.int32), ph, iw[ph - shift], key, 15 - (rh & 15)))
+                        held += len(ph)
             base += batch.num_rows
             if held > GATHER:
                 yield from settle(np.concatenate(k0s), np.concatenate(k1s), found)
@@ -308,15 +347,21 @@ def _compare_windows():
             if own.num_rows:
                 yield own.select(["k0", "k1", "payload"])
             held += batch.column("payload").filter(pa.array(kind == 1)).to_pylist()
-        w, k0, k1, pf = core.merged(held, _WINDOW)
-        if not len(w):
+        if not held:
             return
+        heads = [core.unpack(x, _SIXTEEN) for x in held]
+        size = sum(np.dtype(k).itemsize for k in _SIXTEEN)
+        w = np.concatenate([core.unpack(memoryview(x)[8 + size * len(h[0]) :], ["u8"])[0] for x, h in zip(held, heads)])
+        k0, k1, base, mask, done = (np.concatenate(c) for c in zip(*heads))
+        row, bit = np.nonzero((mask[:, None] >> np.arange(16, dtype="u2")) & 1)
         order = np.argsort(w, kind="stable")
-        w, k0, k1, pf = w[order], k0[order], k1[order], pf[order]
-        at, group = core.groups(w)
-        mark = (np.diff(np.r_[at, len(w)])[group] > 1) & ((pf & 1) == 0)
-        m = int(mark.sum())
-        yield from _marks(k0[mark], k1[mark].astype(np.int32), pf[mark] >> 1, np.ones(m, np.int64), np.full(m, FULL))
+        at, group = core.groups(w[order])
+        often = np.empty(len(w), bool)
+        often[order] = (np.diff(np.r_[at, len(w)]) > 1)[group]
+        often &= ((done[row] >> bit.astype("u2")) & 1) == 0
+        row, bit = row[often], bit[often]
+        zero = np.zeros(len(row), np.int64)
+        yield from _marks(k0[row], k1[row].astype(np.int32), base[row] + bit, zero + 1, zero, zero + FULL)
 
     return run
 
@@ -325,11 +370,11 @@ def repeated(docs: DataFrame, finder: Finder) -> DataFrame:
     """docs (of core.keyed) with a column ``marks``: packed (first window, windows, flag) lists, FULL ones repeated."""
     spark = docs.sparkSession
     parts = core.partitions(spark)
-    text = docs.select("k0", "k1", "text")
-    sent = text.mapInArrow(_gather(finder, parts), PASS1)
+    sent = docs.select("k0", "k1", "text").mapInArrow(_gather(finder, parts), PASS1)
     first = core.materialise(sent.repartitionById(parts, F.col("part")).mapInArrow(_compare_anchors(), MARKS))
     per_doc = first.groupBy("k0", "k1").agg(F.collect_list("payload").alias("marks"))
-    open_ = text.join(per_doc, ["k0", "k1"]).mapInArrow(_explode(finder, parts), PASS1)
+    # the same columns in both joins: the texts are shuffled once, and that exchange is used twice
+    open_ = docs.join(per_doc, ["k0", "k1"]).mapInArrow(_explode(finder, parts), PASS1)
     second = open_.repartitionById(parts, F.col("part")).mapInArrow(_compare_windows(), MARKS)
     both = first.unionByName(second).groupBy("k0", "k1").agg(F.collect_list("payload").alias("marks"))
     return docs.join(both, ["k0", "k1"], "left")
@@ -339,7 +384,7 @@ def removed(marks, n: int, window: int) -> np.ndarray:
     """Mask of the units of one document that repeated windows cover."""
     edge = np.zeros(n + 1, np.int64)
     if marks is not None:
-        p0, count, flag = core.merged([x.as_py() for x in marks], ["u4", "u4", "u1"])
+        p0, count, _, flag = core.merged([x.as_py() for x in marks], _STRETCH)
         full = (flag & FULL) > 0
         p0, count = p0[full].astype(np.int64), count[full].astype(np.int64)
         np.add.at(edge, p0, 1)
