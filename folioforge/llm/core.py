@@ -87,9 +87,13 @@ def worker_cache() -> dict:
 
 def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, k0, k1, text: the 80 bits (k0, k1) name a row by its id and text, nulls included."""
-    t = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    d = docs.select(F.col(id_col).alias("doc_id"), t.alias("text"))
-    return d.select("doc_id", F.xxhash64("doc_id", "text").alias("k0"), F.pmod(F.xxhash64("text", F.lit(7)), F.lit(65536)).cast("int").alias("k1"), "text")
+    return with_keys(docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))).select("doc_id", "k0", "k1", "text")
+
+
+def with_keys(docs: DataFrame) -> DataFrame:
+    """docs and (k0, k1); a null text has the key of an empty one."""
+    t = F.coalesce(F.col("text"), F.lit(""))
+    return docs.withColumns({"k0": F.xxhash64("doc_id", t), "k1": F.pmod(F.xxhash64(t, F.lit(7)), F.lit(65536)).cast("int")})
 
 
 # ---------------------------------------------------------------- blocks of text

@@ -99,84 +99,89 @@ def tables(items: list[tuple[object, str | None]], size: int) -> list[tuple[Patt
     return out
 
 
-def _scan(shared, schema: pa.Schema, whole: bool):
-    """whole: one pass sees all test strings, so spans are summed up here; else spans go out."""
+def _scan(shared, schema: pa.Schema):
+    """Adds n_words, n_hit, items, spans and contaminated; items and spans of earlier passes are carried on."""
 
     def run(batches):
         got = shared.value
         for batch in batches:
             buf, off = core.text_buffer(batch.column("text"))
+            earlier = {c: batch.column(c).to_pylist() for c in ("items", "spans") if c in batch.schema.names}
             n_words, hits, items, spans = [], [], [], []
             for i, j in core.runs(off):
                 low = core.LOWER[buf[off[i] : off[j]]]
                 s, e, n = core.words(low, off[i : j + 1] - off[i], BLANK)
                 w = core.span_ids(low, s, e)
                 bounds = np.r_[0, np.cumsum(n)]
-                edge = np.zeros(len(w) + 1, np.int64)
-                of_doc: dict[int, set] = {}
-                where: dict[int, list] = {}
+                of_doc = {d: set(x) for d, x in enumerate(earlier.get("items", [])[i:j]) if x}
+                where = {d: list(x) for d, x in enumerate(earlier.get("spans", [])[i:j]) if x}
                 for p, owners in got:
                     at, pat = p.search(w, bounds)
                     for a, k in zip(at.tolist(), pat.tolist()):
                         if all(low[s[a + x] : e[a + x]].tobytes() == y for x, y in enumerate(p.text[k])):
-                            edge[a] += 1
-                            edge[a + p.size] -= 1
                             d = int(np.searchsorted(bounds, a, "right")) - 1
                             of_doc.setdefault(d, set()).update(owners[k])
-                            if not whole:
-                                where.setdefault(d, []).append([a - int(bounds[d]), a - int(bounds[d]) + p.size])
+                            where.setdefault(d, []).append([a - int(bounds[d]), a - int(bounds[d]) + p.size])
+                edge = np.zeros(len(w) + 1, np.int64)
+                for d, x in where.items():
+                    lo, hi = (np.array(x) + bounds[d]).T
+                    np.add.at(edge, lo, 1)
+                    np.add.at(edge, hi, -1)
                 hit = np.r_[0, np.cumsum(np.cumsum(edge[:-1]) > 0)]
                 n_words += n.tolist()
                 hits += (hit[bounds[1:]] - hit[bounds[:-1]]).tolist()
                 items += [sorted(of_doc.get(d, ()), key=str) for d in range(j - i)]
                 spans += [where.get(d, []) for d in range(j - i)]
-            columns = {"n_words": n_words, "n_hit": hits, "items": items, "spans": spans}
+            columns = {"n_words": n_words, "n_hit": hits, "items": items, "spans": spans, "contaminated": [h > 0 for h in hits]}
             yield pa.RecordBatch.from_arrays([batch.column(f.name).cast(f.type) if f.name not in columns else pa.array(columns[f.name], f.type) for f in schema], schema=schema)
 
     return run
 
 
+def _searched(source: DataFrame, benchmark: DataFrame, size: int, item_col: str, item_text_col: str, pass_bytes: int) -> DataFrame:
+    """source (with a column text) and what _scan adds; the texts are never shuffled."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    spark = source.sparkSession
+    tests = benchmark.select(F.col(item_col).alias("item"), F.col(item_text_col).cast("string").alias("text"))
+    item_type = T.StringType() if isinstance(tests.schema["item"].dataType, T.NullType) else tests.schema["item"].dataType
+    total = tests.agg(F.coalesce(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 32), F.lit(0))).first()[0]
+    passes = 1 if total <= pass_bytes else math.ceil(1.25 * total / pass_bytes)
+    added = [T.StructField("n_words", T.LongType()), T.StructField("n_hit", T.LongType()), T.StructField("items", T.ArrayType(item_type)), T.StructField("spans", T.ArrayType(T.ArrayType(T.LongType()))), T.StructField("contaminated", T.BooleanType())]
+    own = {f.name for f in added}
+    schema = T.StructType([*(f for f in source.schema.fields if f.name not in own), *added])
+    source = source.drop(*own)
+    for k in range(passes):
+        some = tests if passes == 1 else tests.where(F.pmod(F.xxhash64("text"), F.lit(passes)) == k)
+        shared = spark.sparkContext.broadcast(tables([tuple(r) for r in some.collect()], size))
+        source = source.mapInArrow(_scan(shared, to_arrow_schema(schema)), schema)
+    return source
+
+
 def contamination(docs: DataFrame, benchmark: DataFrame, size: int = 10, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", pass_bytes: int = PASS_BYTES) -> DataFrame:
     """Words of each document that lie in an occurrence of ``size`` consecutive words of a test item.
 
     Letters A-Z are lowered; words are runs of digits, letters a-z and non-ASCII characters.
     An item of fewer words is one window.  Returns doc_id, n_words, n_hit, items (ids of the
-    items with occurring windows, sorted as strings), contaminated.
+    items with occurring windows, sorted as strings), spans (their first word and the one
+    after their last) and contaminated.
 
     Null and empty texts have no words, and an item without words occurs nowhere.  Repeated
     rows and items give the same result each; items without an id mark words but aren't listed.
     An empty test set leaves all clean.  Other columns are ignored.
 
-    A test set of up to ``pass_bytes`` is broadcast at once and documents aren't shuffled; a
-    larger one is searched in as many passes as it needs.
+    A test set of up to ``pass_bytes`` is broadcast at once; a larger one is searched in as
+    many passes as it needs.  The texts are never shuffled.
     """
-    from pyspark.sql.pandas.types import to_arrow_schema
-
-    spark = docs.sparkSession
-    tests = benchmark.select(F.col(item_col).alias("item"), F.col(item_text_col).cast("string").alias("text"))
-    item_type = T.StringType() if isinstance(tests.schema["item"].dataType, T.NullType) else tests.schema["item"].dataType
-    total = tests.agg(F.coalesce(F.sum(F.octet_length("text") + 32), F.lit(0))).first()[0]
-    passes = max(1, math.ceil(1.25 * total / pass_bytes)) if total > pass_bytes else 1
     source = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    fields = [T.StructField("doc_id", docs.schema[id_col].dataType), T.StructField("n_words", T.LongType()), T.StructField("n_hit", T.LongType()), T.StructField("items", T.ArrayType(item_type))]
-    if passes == 1:
-        schema = T.StructType(fields)
-        shared = spark.sparkContext.broadcast(tables([tuple(r) for r in tests.collect()], size))
-        out = source.mapInArrow(_scan(shared, to_arrow_schema(schema), True), schema)
-    else:
-        source = core.keyed(docs, id_col, text_col)
-        schema = T.StructType([*fields, T.StructField("spans", T.ArrayType(T.ArrayType(T.LongType()))), T.StructField("k0", T.LongType()), T.StructField("k1", T.IntegerType())])
-        parts = None
-        for k in range(passes):
-            some = tests.where(F.pmod(F.xxhash64("text"), F.lit(passes)) == k)
-            shared = spark.sparkContext.broadcast(tables([tuple(r) for r in some.collect()], size))
-            one = source.mapInArrow(_scan(shared, to_arrow_schema(schema), False), schema)
-            parts = one if parts is None else parts.unionByName(one)
-        # equal rows (same id and text) have equal spans: one of them stands for all, then rows come back
-        merged = parts.groupBy("k0", "k1").agg(F.first("n_words").alias("n_words"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("spans")))).alias("spans"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))
-        covered = F.aggregate("spans", F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("end")), lambda a, x: F.struct((a["n"] + F.greatest(F.lit(0).cast("long"), x[1] - F.greatest(x[0], a["end"]))).alias("n"), F.greatest(a["end"], x[1]).alias("end")))["n"]
-        out = source.select("doc_id", "k0", "k1").join(merged, ["k0", "k1"]).select("doc_id", "n_words", covered.alias("n_hit"), "items")
-    return out.withColumn("contaminated", F.col("n_hit") > 0)
+    found = _searched(source, benchmark, size, item_col, item_text_col, pass_bytes)
+    return found.select("doc_id", "n_words", "n_hit", "items", "spans", "contaminated")
+
+
+def flagged(docs: DataFrame, benchmark: DataFrame, size: int = 10, pass_bytes: int = PASS_BYTES) -> DataFrame:
+    """docs, with all its columns, and ``contaminated``; a column of that name is replaced."""
+    columns = [c for c in docs.columns if c != "contaminated"]
+    return _searched(docs.select(*columns), benchmark, size, "item_id", "text", pass_bytes).select(*columns, "contaminated")
 
 
 def digest(found: DataFrame) -> DataFrame:

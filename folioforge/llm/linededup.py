@@ -296,14 +296,21 @@ def _drop_lines(schema: pa.Schema):
             out = []
             for text, gone in zip(batch.column("text").to_pylist(), batch.column("gone").to_pylist()):
                 if gone:
-                    drop = {g["line"] for g in gone}
+                    drop = set(gone)
                     text = "\n".join(x for i, x in enumerate(text.split("\n")) if i not in drop)
                 out.append(text)
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.string()) if f.name == "text" else batch.column(f.name).cast(f.type) for f in schema], schema=schema)
+            yield pa.RecordBatch.from_arrays([pa.array(out, f.type) if f.name == "text" else batch.column(f.name).cast(f.type) for f in schema], schema=schema)
 
     return run
 
 
+def without_lines(rows: DataFrame) -> DataFrame:
+    """rows without the lines of ``text`` whose numbers are in ``gone`` (null: none)."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    return rows.mapInArrow(_drop_lines(to_arrow_schema(rows.schema)), rows.schema)
+
+
 def dedup_lines(docs: DataFrame, threshold: int = 2, least: int = 40, id_col: str = "doc_id", text_col: str = "text", with_text: bool = True) -> DataFrame:
     """One row per row of docs: doc_id, n_lines, n_removed, removed, and with ``with_text`` the text that stays.
 
@@ -325,8 +332,5 @@ def dedup_lines(docs: DataFrame, threshold: int = 2, least: int = 40, id_col: st
     columns = ["doc_id", "n_lines", F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_removed"), F.coalesce(F.array_join(said, ","), F.lit("")).alias("removed")]
     if not with_text:
         return keyed.select("doc_id", "k0", "k1", count).join(gone, ["k0", "k1"], "left").select(*columns)
-    from pyspark.sql.pandas.types import to_arrow_schema
-
-    rows = keyed.select("doc_id", "k0", "k1", "text", count).join(gone, ["k0", "k1"], "left").select(*columns, "gone", "text")
-    schema = T.StructType([rows.schema[c] for c in ("doc_id", "n_lines", "n_removed", "removed", "text")])
-    return rows.mapInArrow(_drop_lines(to_arrow_schema(schema)), schema)
+    rows = keyed.select("doc_id", "k0", "k1", "text", count).join(gone, ["k0", "k1"], "left").select(*columns, "text", F.transform("gone", lambda g: g["line"]).alias("gone"))
+    return without_lines(rows).drop("gone")
