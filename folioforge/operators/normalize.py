@@ -11,6 +11,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import text as X
 
@@ -109,13 +110,13 @@ def ocr_policy(blocks: DataFrame, reject: float = 0.2, abstain: float = 0.5, med
     )
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def collapse_spaced_letters(text: pd.Series) -> pd.Series:
     """Letters spelled apart ("w o r d") are written together."""
     return text.str.replace(r"\b(?:\w ){2,}\w\b", lambda m: m.group(0).replace(" ", ""), regex=True)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def nfkc(text: pd.Series) -> pd.Series:
     return text.map(lambda t: unicodedata.normalize("NFKC", t), na_action="ignore")
 
