@@ -240,10 +240,13 @@ def _verify(threshold: int):
     return run
 
 
-def confirmed(pairs: DataFrame, lines: DataFrame, threshold: int) -> DataFrame:
+def line_texts(lines: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(h, line) of the wanted lines.  The join is the same at every size: its plan doesn't hang on how many are wanted."""
+    return core.materialise(lines.join(wanted.hint("merge"), "h").groupBy("h").agg(F.first("line").alias("line")))
+
+
+def confirmed(pairs: DataFrame, text: DataFrame, threshold: int) -> DataFrame:
     """Those of pairs (u, v) whose lines are within the threshold; a frequent v is split by the skew join."""
-    wanted = core.materialise(pairs.select(F.col("u").alias("h")).unionByName(pairs.select(F.col("v").alias("h"))).distinct())
-    text = core.materialise(lines.join(wanted, "h").groupBy("h").agg(F.first("line").alias("line")))
     rows = pairs.join(text.select(F.col("h").alias("u"), F.col("line").alias("a")), "u").join(text.select(F.col("h").alias("v"), F.col("line").alias("b")), "v")
     return rows.select("u", "v", "a", "b").mapInArrow(_verify(threshold), "u long, v long")
 
@@ -261,8 +264,12 @@ def near_lines(docs: DataFrame, threshold: int = 2, least: int = 40) -> tuple[Da
     lines = text.mapInArrow(_occurrences(least, True), "h long, line binary")
     indexed = F.col("ru") + F.col("rv") > 0
     pair = [F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")]
+    # buckets of probes alone have nothing to compare
+    stars = core.materialise(stars.join(stars.where(indexed).select("band").distinct(), "band", "left_semi"))
+    wanted = stars.select(F.col("u").alias("h")).unionByName(stars.select(F.col("v").alias("h"))).distinct()
+    own = line_texts(lines, wanted)
     tried = core.materialise(stars.where(indexed).select(*pair).distinct())
-    first = core.materialise(confirmed(tried, lines, threshold))
+    first = core.materialise(confirmed(tried, own, threshold))
     label = components.connected(first)
     member = stars.select("band", F.col("u").alias("node"), F.col("ru").alias("role")).unionByName(stars.select("band", F.col("v").alias("node"), F.col("rv").alias("role"))).groupBy("band", "node").agg(F.max("role").alias("role"))
     member = member.join(label, "node", "left").select("band", "node", "role", F.coalesce("component", "node").alias("component"))
@@ -271,7 +278,7 @@ def near_lines(docs: DataFrame, threshold: int = 2, least: int = 40) -> tuple[Da
     other = open_.select("band", F.col("node").alias("node2"), F.col("role").alias("role2"), F.col("component").alias("component2"))
     across = open_.join(other, "band").where((F.col("node") > F.col("node2")) & (F.col("component") != F.col("component2")) & (F.col("role") + F.col("role2") > 0))
     across = core.materialise(across.select(F.col("node").alias("u"), F.col("node2").alias("v")).distinct().join(tried, ["u", "v"], "left_anti"))
-    second = core.materialise(confirmed(across, lines, threshold))
+    second = core.materialise(confirmed(across, own, threshold))
     return first.unionByName(second), occurrences
 
 
