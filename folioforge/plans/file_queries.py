@@ -75,7 +75,7 @@ ATT = "att AS (SELECT doc_id, step, CASE step WHEN 0 THEN 'docling' WHEN 1 THEN
 
 def _attempts(spark, d):
     a = table(spark, d, "documents").select("doc_id", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))).alias("step"))
-    return a.selectExpr("doc_id", "step", "CASE step WHEN 0 THEN 'docling' WHEN 1 THEN 'pymupdf' ELSE 'ocr_only' END AS parser", "(doc_id + step) % 3 = 0 AS ok", "CASE (doc_id + step) % 3 WHEN 1 THEN 'empty content' ELSE 'No module named x' END AS error")
+    return a.selectExpr("doc_id", "step", "CASE step WHEN 0 THEN 'docling' WHEN 1 THEN 'pymupdf' ELSE 'ocr_only' END AS parser", "(doc_id + step) % 4 = 0 AS ok", "CASE (doc_id + step) % 4 WHEN 1 THEN 'empty content' ELSE 'No module named x' END AS error")
 
 
 @query(f"WITH {ATT} SELECT doc_id, min_by(parser, step) FILTER (ok) AS parser, count(*) AS attempts, min_by(error, step) FILTER (NOT ok) AS first_error FROM att GROUP BY doc_id")
