@@ -28,7 +28,7 @@ BLOCKING = ("empty_file", "file_too_large", "unsupported_extension", "encrypted"
 
 
 def scan(spark: SparkSession, path: str, recursive: bool = True) -> DataFrame:
-    """(path, length, content, ordinal) of a folder's files, in path order."""
+    """(path, length, content) of a folder's files; the path is their order.  The source leaves out files without content."""
     f = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(path)
     return f.select("path", "length", "content")
 
