@@ -15,8 +15,10 @@ SYSTEM = (
     "Say so if the sources do not hold the answer.",
     "Say so if the sources contradict each other.",
 )
-ABSTENTION = ("i cannot determine", "the provided sources do not contain", "i do not have enough information", "the answer is not in the provided sources")
-EMAIL = r"\b[A-Za-z0-9_.+-]+@[A-Za-z0-9_.-]+\.[A-Za-z]{2,}\b"
+#: What an answer says that gives none, in lower case.
+ABSTENTION = ("i do not have enough information",) + tuple(f"the {x}" for x in ("answer is not in the provided sources", "provided sources do not contain")) + ("i cannot determine",)
+NAME = "[A-Za-z0-9_.+-]+"
+EMAIL = rf"\b{NAME}@[A-Za-z0-9_.-]+[.][a-zA-Z]{{2,}}\b"
 PHONE = r"\b(?:\+?[0-9][0-9\s().-]{7,}[0-9])\b"
 
 

@@ -22,8 +22,8 @@ class Limits:
     similarity: float = 0.72
 
 
-SEPARATORS = ("\n\n", "\n", ". ", "? ", "! ", "; ", ", ", " ")
-VISUAL = ("caption", "image", "image_caption", "table_caption")
+SEPARATORS = ("\n\n", "\n", *(f"{mark} " for mark in ".?!;,"), " ")
+VISUAL = ("image", "image_caption", "caption", "table_caption")
 STANDALONE = ("standalone", "table_aware")
 
 
@@ -126,10 +126,10 @@ def semantic_chunks(blocks: DataFrame, limits: Limits = Limits()) -> DataFrame:
     """
 
     def label(v: str | None) -> str | None:
-        return v.strip() if v and v.strip().lower() not in ("", "caption", "footnote", "paragraph", "table", "text") else None
+        return v.strip() if v and v.strip().lower() not in ("text", "table", "paragraph", "footnote", "caption", "") else None
 
     def human(v: str) -> str:
-        return re.sub(r"\s+", " ", re.sub(r"(?<=\d)-(?=\d)", ".", v.replace("_", " ").strip()).replace("-", " ")).strip()
+        return " ".join(re.sub(r"(?<=[0-9])-(?=[0-9])", ".", v.replace("_", " ")).replace("-", " ").split())
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         out, held, anchor = [], [], None

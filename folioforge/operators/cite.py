@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 
-REFERENCE = r"(?i)\[(?:SOURCE\s+)?(\d+(?:\s*,\s*\d+)*)\]"
+NUMBER = "[0-9]+"
+REFERENCE = rf"(?i)\[(?:SOURCE\s+)?({NUMBER}(?:\s*,\s*{NUMBER})*)\]"
 
 
 def numbered(hits: DataFrame, start: int = 1) -> DataFrame:

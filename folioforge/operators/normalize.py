@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 from ..functions import text as X
 
 PROTECTED = ("table", "code", "code_block")
-LEGAL = ("contract", "legislation", "regulation", "policy")
+LEGAL = ("contract", "legislation", "policy", "regulation")
 ARTIFACT = r"(?i)^(page\s+[0-9]+(\s+of\s+[0-9]+)?|(generated by|exported by|printed from)\b.*)$"
 BANNER = r"(?i)^(confidential|private and confidential|internal use only)$"
 NOISE = r"^[^\p{L}\p{N}]{6,}$"

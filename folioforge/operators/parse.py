@@ -25,7 +25,7 @@ def route(files: DataFrame) -> DataFrame:
     per_page = F.col("chars") / F.greatest("pages", F.lit(1))
     scanned = (F.col("family") == "pdf") & (per_page < 50)
     images = (F.col("family") == "pdf") & (F.col("image_pages") / F.greatest("pages", F.lit(1)) >= 0.6) & (per_page < 200)
-    reason = F.when(F.col("encrypted"), "encrypted_pdf").when(F.col("family") == "image", "image_document").when(scanned, "scanned_pdf").when(images, "image_heavy_pdf").when(F.col("family") == "pdf", "native_pdf").when(F.col("family").isin("html", "text", "office", "xml", "email"), F.col("family")).otherwise("unsupported_primary_type")
+    reason = F.when(F.col("encrypted"), "encrypted_pdf").when(F.col("family") == "image", "image_document").when(scanned, "scanned_pdf").when(images, "image_heavy_pdf").when(F.col("family") == "pdf", "native_pdf").when(F.col("family").isin("email", "html", "office", "text", "xml"), F.col("family")).otherwise("unsupported_primary_type")
     kind = F.when(F.col("reason") == "encrypted_pdf", "manual").when(F.col("reason").isin("image_document", "scanned_pdf"), "ocr").when(F.col("reason") == "image_heavy_pdf", "mixed").when(F.col("reason") == "native_pdf", "native").otherwise("plain")
     f = files.withColumn("reason", reason).withColumn("_kind", kind)
     order = F.coalesce(*(F.when(F.col("_kind") == k, F.array(*(F.lit(x) for x in v))) for k, v in ORDERS.items()))

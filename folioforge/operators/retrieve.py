@@ -112,8 +112,9 @@ def dense_top(queries: DataFrame, vectors: DataFrame, k: int, key: str = "chunk_
     return top(reduce(DataFrame.unionByName, out), k, F.desc("score"), F.col("key")).withColumnRenamed("key", key)
 
 
-ALIASES = {"document_id": "doc_id", "document_type": "doc_type", "page": "page_start"}
-OPERATORS = {"eq", "in", "gt", "gte", "lt", "lte"}
+ALIASES = {"page": "page_start", **{f"document_{x}": f"doc_{x}" for x in ("id", "type")}}
+COMPARISONS = {"gt": Column.__gt__, "gte": Column.__ge__, "lt": Column.__lt__, "lte": Column.__le__}
+OPERATORS = {"eq", "in", *COMPARISONS}
 
 
 def split_filters(filters: dict) -> tuple[dict, dict]:
@@ -148,7 +149,7 @@ def residual(rules: dict) -> Column:
             elif op == "in":
                 test = F.coalesce(c.isin([x for x in v if x is not None]), F.lit(False)) | (c.isNull() if None in v else F.lit(False))
             else:
-                test = F.coalesce({"gt": c > v, "gte": c >= v, "lt": c < v, "lte": c <= v}[op], F.lit(False))
+                test = F.coalesce(COMPARISONS[op](c, v), F.lit(False))
             out = out & test
     return out
 
@@ -181,8 +182,9 @@ def rerank(hits: DataFrame, k: int = 5, query: str = "question", text: str = "te
     return top(h, k, F.desc("overlap"), F.coalesce("old_rank", F.lit(10_000)), F.col(key)).withColumn("correction", F.col("rank") < F.col("old_rank"))
 
 
-MARKERS = ("compare", "difference", "versus", "vs", "between", "relationship")
-SPLIT = r"(?i)\b(?:and|vs\.?|versus|between|compared with)\b"
+#: In the order in which one gives the prefix.
+MARKERS = tuple("compare difference versus vs between relationship".split())
+SPLIT = rf"(?i)\b(?:{'|'.join(('compared with', 'between', 'versus', r'vs[.]?', 'and'))})\b"
 
 
 def is_multihop(question: Column, min_terms: int = 6) -> Column:

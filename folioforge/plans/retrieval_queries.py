@@ -129,14 +129,14 @@ def query_multihop(spark, d):
 _PREFIX = "CASE " + " ".join(f"WHEN instr(t, '{m}') > 0 THEN trim(trim(question)[:instr(t, '{m}') + {len(m) - 1}], ' ,;:.')" for m in R.MARKERS) + " ELSE '' END"
 
 
-@query(f"""WITH {ASKED}, p AS (SELECT *, list_filter(list_transform(string_split_regex(trim(question), '(?i)\\b(?:and|vs\\.?|versus|between|compared with)\\b'), lambda x: trim(x, ' ,;:.')), lambda x: x <> '') AS parts, {_PREFIX} AS prefix FROM hop),
+@query(f"""WITH {ASKED}, p AS (SELECT *, list_filter(list_transform(string_split_regex(trim(question), '(?i)\\b(?:compared with|between|versus|vs[.]?|and)\\b'), lambda x: trim(x, ' ,;:.')), lambda x: x <> '') AS parts, {_PREFIX} AS prefix FROM hop),
 f AS (SELECT *, list_transform(parts, lambda x: CASE WHEN prefix = '' OR starts_with(lower(x), lower(prefix)) THEN x ELSE trim(prefix || ' ' || x) END) AS fs FROM p)
 SELECT item_id, array_to_string(CASE WHEN NOT multihop OR len(parts) <= 1 THEN [trim(question)] ELSE (list_filter(fs, lambda x, i: list_position(list_transform(fs, lambda y: lower(y)), lower(x)) = i))[:3] END, ' | ') AS parts FROM f""")
 def query_decompose(spark, d):
     return _asked(spark, d).select("item_id", F.array_join(R.decompose(F.col("question")), " | ").alias("parts"))
 
 
-# ---------------------------------------------------------------- evaluation
+# --- evaluation
 
 GOLD = "gold AS (SELECT item_id AS query_id, doc_id AS chunk_id FROM benchmark JOIN documents ON contains(documents.text, benchmark.text))"
 EVAL = f"""{GOLD}, ng AS (SELECT query_id, count(*) AS n FROM gold GROUP BY 1), hit AS (SELECT query_id, rank FROM bmr JOIN gold USING (query_id, chunk_id) WHERE rank <= 10),
@@ -174,7 +174,7 @@ def qa_synthesis(spark, d):
     return E.synthesize(t)
 
 
-# ---------------------------------------------------------------- citations and contexts
+# --- citations and contexts
 
 HITS = f"hits AS (SELECT query_id, chunk_id, score, rank FROM bmr WHERE rank <= 10), cited AS (SELECT h.*, c.doc_id, c.text, c.quality, c.page_start, c.source FROM hits h JOIN chunks c USING (chunk_id))"
 CAT = "cat AS (SELECT doc_id, 'Title of ' || doc_id AS title, CASE WHEN doc_id % 2 = 0 THEN 'v1' END AS version FROM documents WHERE lang <> 'fr')"
@@ -199,7 +199,7 @@ def unresolved_docs(spark, d):
     return C.unresolved(_cited(spark, d), _catalogue(spark, d))
 
 
-ANSWERS = "ans AS (SELECT conv_id, turn, coalesce(text, '') || ' [1] [SOURCE ' || (2 + turn % 3) || '] [7, ' || (conv_id % 9) || ']' || CASE WHEN conv_id % 5 = 0 THEN ' I cannot determine that.' ELSE '' END AS answer FROM conversations WHERE role = 'assistant'), refs AS (SELECT conv_id, turn, list_transform(regexp_extract_all(answer, '(?i)\\[(?:SOURCE\\s+)?(\\d+(?:\\s*,\\s*\\d+)*)\\]', 1), lambda x: x) AS r FROM ans), ids AS (SELECT conv_id, turn, list_sort(list_distinct(list_transform(flatten(list_transform(r, lambda x: string_split(x, ','))), lambda x: trim(x)::BIGINT))) AS c FROM refs)"
+ANSWERS = "ans AS (SELECT conv_id, turn, coalesce(text, '') || ' [1] [SOURCE ' || (2 + turn % 3) || '] [7, ' || (conv_id % 9) || ']' || CASE WHEN conv_id % 5 = 0 THEN ' I cannot determine that.' ELSE '' END AS answer FROM conversations WHERE role = 'assistant'), refs AS (SELECT conv_id, turn, list_transform(regexp_extract_all(answer, '(?i)\\[(?:SOURCE\\s+)?([0-9]+(?:\\s*,\\s*[0-9]+)*)\\]', 1), lambda x: x) AS r FROM ans), ids AS (SELECT conv_id, turn, list_sort(list_distinct(list_transform(flatten(list_transform(r, lambda x: string_split(x, ','))), lambda x: trim(x)::BIGINT))) AS c FROM refs)"
 
 
 def _answers(spark, d):

@@ -21,9 +21,9 @@ MEDIA = {
     ".docx": (OOXML + "wordprocessingml.document",), ".xlsx": (OOXML + "spreadsheetml.sheet",), ".pptx": (OOXML + "presentationml.presentation",),
     ".png": ("image/png",), ".jpg": ("image/jpeg",), ".jpeg": ("image/jpeg",), ".tif": ("image/tiff",), ".tiff": ("image/tiff",), ".eml": ("message/rfc822", "text/plain"), ".msg": ("application/octet-stream",),
 }
-IMAGES, OFFICE, MAIL = (".png", ".jpg", ".jpeg", ".tif", ".tiff"), (".docx", ".xlsx", ".pptx"), (".eml", ".msg")
+IMAGES, OFFICE, MAIL = (tuple(f".{x}" for x in kinds.split()) for kinds in ("jpg jpeg png tif tiff", "docx pptx xlsx", "eml msg"))
 WINDOW = 4096
-MESSAGES = {"empty_file": "The file is empty.", "file_too_large": "The file exceeds the size limit.", "unsupported_extension": "The extension is not supported.", "mime_mismatch": "Content and extension disagree.", "encrypted": "The file is encrypted.", "corrupted": "The file is damaged.", "duplicate": "The same content came before."}
+MESSAGES = {"empty_file": "No content.", "file_too_large": "Too large.", "unsupported_extension": "The extension is not supported.", "mime_mismatch": "Content and extension disagree.", "encrypted": "The file is encrypted.", "corrupted": "The file is damaged.", "duplicate": "The same content came before."}
 BLOCKING = ("empty_file", "file_too_large", "unsupported_extension", "encrypted", "corrupted", "duplicate")
 
 
@@ -72,7 +72,7 @@ def container_type(content: pd.Series) -> pd.Series:
                     return "corrupted"
         except (zipfile.BadZipFile, OSError, EOFError):
             return "corrupted"
-        if "[Content_Types].xml" not in names:
+        if not set(names) & {"[Content_Types].xml"}:
             return "application/zip"
         for folder, kind in (("word/", "wordprocessingml.document"), ("xl/", "spreadsheetml.sheet"), ("ppt/", "presentationml.presentation")):
             if any(n.startswith(folder) for n in names):
