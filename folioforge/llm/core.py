@@ -39,7 +39,7 @@ K1, K2, K3 = U64(0x9E3779B97F4A7C15), U64(0xC2B2AE3D27D4EB4F), U64(0xD6E8FEB8665
 BLOCK = 1 << 18
 
 
-# ---------------------------------------------------------------- session
+# --- session
 
 
 def partitions(spark: SparkSession) -> int:
@@ -96,7 +96,7 @@ def with_keys(docs: DataFrame) -> DataFrame:
     return docs.withColumns({"k0": F.xxhash64("doc_id", t), "k1": F.pmod(F.xxhash64(t, F.lit(7)), F.lit(65536)).cast("int")})
 
 
-# ---------------------------------------------------------------- blocks of text
+# --- blocks of text
 
 
 def text_buffer(col) -> tuple[np.ndarray, np.ndarray]:
@@ -133,7 +133,7 @@ def ranges(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return np.repeat(np.asarray(starts, np.int64) - first, counts) + np.arange(total, dtype=np.int64)
 
 
-# ---------------------------------------------------------------- 64-bit identifiers
+# --- 64-bit identifiers
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -236,7 +236,7 @@ def words(buf: np.ndarray, offsets: np.ndarray, blank: np.ndarray = SPACE) -> tu
     return s, e, np.diff(at)
 
 
-# ---------------------------------------------------------------- packed exchange
+# --- packed exchange
 
 
 def pack(*columns: np.ndarray) -> bytes:
