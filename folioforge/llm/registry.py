@@ -73,8 +73,10 @@ SQL: dict[str, str] = {
 WITH RECURSIVE line AS (SELECT doc_id, p - 1 AS n, l[p] AS x FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents), unnest(range(1, len(l) + 1)) AS t(p)),
 long AS (SELECT * FROM line WHERE strlen(x) >= 40),
 one AS (SELECT x, min((doc_id, n)) AS head, count(*) AS times, strlen(x) AS b FROM long GROUP BY x),
-link AS MATERIALIZED (SELECT a.head AS u, c.head AS v FROM one a JOIN one c ON c.b - a.b BETWEEN 0 AND 2 AND a.x <> c.x
-  WHERE (contains(c.x, a.x[:length(a.x) // 3]) OR contains(c.x, a.x[length(a.x) // 3 + 1:2 * (length(a.x) // 3)]) OR contains(c.x, a.x[2 * (length(a.x) // 3) + 1:])) AND levenshtein(a.x, c.x) <= 2),
+seg AS (SELECT x, head, length(x) AS l, i, CASE i WHEN 0 THEN x[:length(x) // 3] WHEN 1 THEN x[length(x) // 3 + 1:2 * (length(x) // 3)] ELSE x[2 * (length(x) // 3) + 1:] END AS s FROM one, unnest([0, 1, 2]) AS t(i)),
+probe AS (SELECT x AS y, head AS head2, l, i, substring(x, i * (l // 3) + 1 + sh, CASE i WHEN 2 THEN l - 2 * (l // 3) ELSE l // 3 END) AS s FROM one, unnest([0, 1, 2]) AS t(i), unnest(range(-2, 3)) AS u(sh), unnest(range(length(x) - 2, length(x) + 3)) AS w(l) WHERE i * (l // 3) + 1 + sh > 0),
+pair AS (SELECT DISTINCT x, head, y, head2 FROM seg JOIN probe USING (l, i, s) WHERE x <> y),
+link AS MATERIALIZED (SELECT head AS u, head2 AS v FROM pair WHERE abs(strlen(x) - strlen(y)) <= 2 AND levenshtein(x, y) <= 2),
 edge AS MATERIALIZED (SELECT u, v FROM link UNION SELECT v, u FROM link),
 reach AS (SELECT head AS u, head AS v FROM one WHERE head IN (SELECT u FROM edge) UNION SELECT r.u, e.v FROM reach r JOIN edge e ON r.v = e.u),
 class AS (SELECT u, min(v) AS first FROM reach GROUP BY u),
