@@ -69,6 +69,29 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 SQL: dict[str, str] = {
+    "op5_minhash_near_dedup": """
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+sh AS (SELECT DISTINCT doc_id, s FROM (SELECT doc_id, unnest(CASE WHEN len(w) >= 2 THEN list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) ELSE w END) AS s FROM d)),
+n AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id),
+pr AS (SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS c FROM sh a JOIN sh b USING (s) WHERE a.doc_id < b.doc_id GROUP BY ALL),
+link AS MATERIALIZED (SELECT u, v FROM pr JOIN n x ON x.doc_id = u JOIN n y ON y.doc_id = v WHERE 100 * c >= 80 * (x.n + y.n - c)),
+edge AS MATERIALIZED (SELECT u, v FROM link UNION SELECT v, u FROM link),
+reach AS (SELECT DISTINCT u, u AS v FROM edge UNION SELECT r.u, e.v FROM reach r JOIN edge e ON r.v = e.u),
+comp AS (SELECT u, min(v) AS c FROM reach GROUP BY u)
+SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, coalesce(c, d.doc_id) AS component_id, coalesce(c, d.doc_id) = d.doc_id AS kept FROM d LEFT JOIN n USING (doc_id) LEFT JOIN comp ON u = d.doc_id
+""",
+    "op10_suffix_array_dedup": """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
+win AS (SELECT doc_id, i, hash(x[2 * i - 1:2 * i + 398]) AS h FROM (SELECT doc_id, x, unnest(range(1, len(x) // 2 - 198)) AS i FROM d WHERE len(x) >= 400)),
+often AS (SELECT h FROM win GROUP BY h HAVING count(*) > 1),
+hit AS (SELECT doc_id, i FROM win WHERE h IN (SELECT h FROM often)),
+new AS (SELECT *, CASE WHEN i > lag(i) OVER w + 200 OR lag(i) OVER w IS NULL THEN 1 ELSE 0 END AS first FROM hit WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+run AS (SELECT doc_id, g, min(i) AS a, max(i) + 199 AS b FROM (SELECT *, sum(first) OVER (PARTITION BY doc_id ORDER BY i) AS g FROM new) GROUP BY ALL),
+piece AS (SELECT doc_id, a AS o, x[2 * coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) + 1:2 * (a - 1)] AS p FROM run JOIN d USING (doc_id)
+ UNION ALL SELECT doc_id, 1099511627776, x[2 * max(b) + 1:] FROM run JOIN d USING (doc_id) GROUP BY doc_id, x),
+kept AS (SELECT doc_id, string_agg(p, '' ORDER BY o) AS k FROM piece GROUP BY doc_id), gone AS (SELECT doc_id, sum(b - a + 1) AS n, count(*) AS m FROM run GROUP BY doc_id)
+SELECT d.doc_id, (len(x) // 2)::BIGINT AS n_bytes, coalesce(n, 0)::BIGINT AS n_removed, coalesce(m, 0)::BIGINT AS n_spans, sha256(unhex(coalesce(k, CASE WHEN n IS NULL THEN x ELSE '' END))) AS kept_sha256 FROM d LEFT JOIN gone USING (doc_id) LEFT JOIN kept USING (doc_id)
+""",
     "op2_line_dedup": """
 WITH RECURSIVE line AS (SELECT doc_id, p - 1 AS n, l[p] AS x FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents), unnest(range(1, len(l) + 1)) AS t(p)),
 long AS (SELECT * FROM line WHERE strlen(x) >= 40),
