@@ -2,7 +2,7 @@
 
 A page is read as blocks of text, each with the part of the page it belongs to.  Navigation,
 headers, footers, sidebars, notices, adverts, forms, scripts and comments go by their element or class.
-What remains within an article (or main) element is the text, and is never compared with other pages,
+What remains within an article (or main, or content) element is the text, and is never compared with other pages,
 which may well share paragraphs with it.  A page without such an element is compared with the
 page of its host whose URL path is nearest: the lines of both are aligned by longest common
 subsequence, and shared lines are deleted as template.
@@ -29,15 +29,17 @@ RAW = {"script", "style", "textarea", "title", "iframe", "noscript", "template",
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 BLOCK = set("p div h1 h2 h3 h4 h5 h6 li ul ol dl dt dd table thead tbody tfoot tr caption blockquote pre section article header footer main aside nav figure figcaption hr address details summary form fieldset body html head center dialog menu".split())
 SKIP = {"nav", "footer", "aside", "form", "button", "select", "dialog", "menu", "label", "option", "input"}
-BOILER = re.compile(r"(?:^|[\s_-])(?:ads?|advert(?:s|isement|ising)?|banner|sponsor(?:ed)?|promo(?:tion)?s?|nav(?:bar|igation)?|menus?|breadcrumbs?|side-?bar|foot(?:er)?|masthead|site-?header|page-?header|top-?bar|cookies?|consent|gdpr|notices?|alerts?|popup|modal|overlay|newsletter|subscribe|subscription|sign-?up|login|search|share|sharing|social|related|recommend(?:ed|ations)?|widgets?|comments?|commentlist|discussion|respond|disqus|pagination|pager|toolbar|toc|skip-?link|paywall)(?:$|[\s_-])", re.I)
+BOILER = re.compile(r"(?:^|[\s_-])(?:ads?[0-9]*|ad(?:box|slot|unit|wrap)\w*|adsbygoogle|advert(?:s|isements?|ising)?|banner|sponsor(?:ed)?|promo(?:tion)?s?|nav(?:bar|igation)?|menus?|breadcrumbs?|side-?bar|foot(?:er)?|masthead|site-?header|page-?header|top-?bar|cookies?\w*|consent|gdpr|notices?|alerts?|popup|modal|overlay|newsletter|subscribe|subscription|sign-?up|login|search|share|sharing|social|related|recommend(?:ed|ations)?|widgets?|comments?(?:-?(?:list|section|area|box|s))?|discussion|respond|disqus|pagination|pager|toolbar|toc|skip-?link|paywall)(?:$|[\s_-])", re.I)
+CONTENT = re.compile(r"(?:^|\s)(?:(?:main|page|article|post|entry|story)[_-]?)?(?:content|article|body|text)(?:$|\s)|(?:^|\s)(?:post|entry|story|main)(?:$|\s)", re.I)
 SPACES = re.compile(r"\s+")
 
 
 def blocks(page: str) -> list[tuple[str, str]]:
-    """(part, text) of each block of text outside boilerplate; part: article, main or other."""
+    """(part, text) of each block of text outside boilerplate; part: article, main, content or other."""
     out: list[tuple[str, str]] = []
     piece: list[str] = []
     article = main = depth = 0
+    content, inner = "", 0
     skipped, at, end = "", 0, len(page)
     where = "other"
 
@@ -83,6 +85,9 @@ def blocks(page: str) -> list[tuple[str, str]]:
                 article -= 1
             elif name == "main" and main:
                 main -= 1
+            elif name == content:
+                inner -= 1
+                content = content if inner else ""
         elif name not in VOID:
             if name == "article" and not _boiler(m[3] or "", name):
                 article += 1
@@ -91,11 +96,19 @@ def blocks(page: str) -> list[tuple[str, str]]:
             elif name in SKIP or (name == "header" and not article) or _boiler(m[3] or "", name):
                 flush()
                 skipped, depth = name, 1
-        where = "article" if article else "main" if main else "other"
+            elif name == content:
+                inner += 1
+            elif not content and name in ("div", "section") and _names(m[3] or "", CONTENT):
+                content, inner = name, 1
+        where = "article" if article else "main" if main else "content" if content else "other"
     flush()
     return out
 
 
+def _names(attributes: str, what: re.Pattern) -> bool:
+    return any(k.lower() in ("class", "id") and what.search(v.strip("\"'")) for k, v in ATTRIBUTE.findall(attributes))
+
+
 def _boiler(attributes: str, name: str) -> bool:
     if not attributes or name in ("html", "body"):
         return False
@@ -108,7 +121,7 @@ def _boiler(attributes: str, name: str) -> bool:
 
 def chosen(found: list[tuple[str, str]]) -> tuple[bool, list[str]]:
     """Whether the page has a main container, and its lines (all lines of one without)."""
-    for part in ("article", "main"):
+    for part in ("article", "main", "content"):
         own = [t for p, t in found if p == part]
         if own:
             return True, own

@@ -256,7 +256,7 @@ def near_duplicates(docs: DataFrame, size: int = 2, percent: int = 80, n_bands:
     With 48 bands of 6 coordinates a pair at the very threshold of 0.8 is missed with a
     probability of 5e-7, one at 0.85 with 5e-11; what is found is confirmed on full sets.
 
-    Null and empty texts, or texts of white space, have no shingles and link with nothing,
+    Ids are integers.  Null and empty texts, or texts of white space, have no shingles and link with nothing,
     not even each other.  Rows without an id take part in no group: component_id null, kept
     true.  Rows that share an id are one node.  Other columns of docs are ignored.
     """

@@ -35,6 +35,8 @@ def test_blocks():
     assert whole and lines == ["The & title", "Real text of one para­graph more <b>", "one", "two", "end &am"]
     for cut in range(len(PAGE)):
         htmldiff.blocks(PAGE[:cut])
+    page = '<body><div id="sidebar"><div>x</div></div><div class="post-content"><div><p>one</p></div><div class="cookieBar">c</div><p>two</p></div><div>tail</div></body>'
+    assert htmldiff.chosen(htmldiff.blocks(page)) == (True, ["one", "two"])
     assert htmldiff.blocks("a < b <3 <p>x<") == [("other", "a < b <3"), ("other", "x<")]
 
 
