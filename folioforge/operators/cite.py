@@ -71,6 +71,24 @@ def formatted(sources: DataFrame) -> DataFrame:
     return g.select("query_id", F.array_join(F.transform("b", lambda x: x["t"]), "\n\n").alias("context"), "tokens", "sources", "documents", "quality")
 
 
+def block_overlap(sources: DataFrame, threshold: float = 0.8) -> DataFrame:
+    """(query_id, a, b, overlap): pairs of a query's sources (with an array ``blocks``) whose smaller block set mostly lies in the other.
+
+    Sources meet on a shared block of the same query; a query has at most its top k.
+    """
+    s = sources.select("query_id", "chunk_id", F.array_distinct("blocks").alias("_b"))
+    e = s.select("query_id", "chunk_id", F.size("_b").alias("_n"), F.explode("_b").alias("_x"))
+    o = e.select("query_id", "_x", F.col("chunk_id").alias("b"), F.col("_n").alias("_m"))
+    p = e.join(o, ["query_id", "_x"]).where(F.col("chunk_id") < F.col("b")).groupBy("query_id", F.col("chunk_id").alias("a"), "b").agg(F.count("*").alias("_c"), F.first(F.least("_n", "_m")).alias("_s"))
+    return p.select("query_id", "a", "b", F.round(F.col("_c") / F.col("_s"), 6).alias("overlap")).where(F.col("overlap") >= threshold)
+
+
+def auditability(chunks: DataFrame, spans: str = "spans") -> DataFrame:
+    """Share of chunks with source spans, and how many have none."""
+    has = F.coalesce(F.size(spans) > 0, F.lit(False))
+    return chunks.agg(F.round(F.coalesce(F.avg(has.cast("int")), F.lit(0.0)), 6).alias("score"), F.count_if(~has).alias("without"))
+
+
 def deduplicated(sources: DataFrame, similarity: float = 0.98) -> DataFrame:
     """Per query, in rank order, sources that don't repeat a kept one.  The group is a query's hits: at most its top k."""
 

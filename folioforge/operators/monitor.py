@@ -2,20 +2,38 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Groups of fields of which one must be there.
 REQUIREMENTS = (("parser_used",), ("fallback_used",), ("ocr_used",), ("parse_confidence",), ("chunking_strategy",), ("heading_anchor",), ("overlap_prev", "previous_chunk_id"), ("overlap_next", "next_chunk_id"), ("source_block_ids",), ("chunk_quality_score",), ("ingestion_timestamp",), ("document_version",), ("embedding_model",), ("embedding_model_version",))
-#: name -> (layer, warning, critical, direction); thresholds where they are set.
-METRICS = {
-    "file_rejection_rate": ("ingestion", None, None, None), "parse_fallback_rate": ("ingestion", 0.15, 0.30, "above"), "manual_recovery_rate": ("ingestion", 0.02, 0.05, "above"), "ocr_usage_rate": ("ingestion", None, None, None), "mean_parse_confidence": ("ingestion", 0.60, 0.40, "below"),
-    "parse_latency_p50": ("ingestion", None, None, None), "parse_latency_p95": ("ingestion", None, None, None),
-    "block_duplicate_rate": ("block", None, None, None), "block_drop_rate": ("block", 0.10, 0.25, "above"), "blocks_per_document": ("block", None, None, None), "low_ocr_block_rate": ("block", None, None, None), "malformed_table_rate": ("block", None, None, None),
-    "chunks_per_document": ("chunk", None, None, None), "mean_chunk_tokens": ("chunk", None, None, None), "low_quality_chunk_rate": ("chunk", None, None, None), "oversized_chunk_rate": ("chunk", None, None, None), "audit_completeness": ("chunk", None, None, None),
-    "embedding_failure_rate": ("embedding", 0.01, 0.05, "above"), "embedding_latency_p95": ("embedding", None, None, None), "truncation_rate": ("embedding", None, None, None), "vector_duplicate_rate": ("embedding", None, None, None), "upsert_failure_rate": ("embedding", 0.005, 0.02, "above"),
-    "retrieval_latency_p50": ("retrieval", None, None, None), "retrieval_latency_p95": ("retrieval", None, None, None), "empty_result_rate": ("retrieval", None, None, None), "mrr_at_5": ("retrieval", None, None, None), "ndcg_at_5": ("retrieval", None, None, None), "recall_at_10": ("retrieval", None, None, None),
-}
+_LAYERS = {
+    "ingestion": "parser_success_rate parser_fallback_rate ocr_activation_rate parse_confidence_p50 parse_confidence_p95 file_type_failure_rate manual_recovery_rate",
+    "block_quality": "block_drop_rate ocr_cleanup_rate artifact_removal_rate malformed_table_rate dedup_drop_rate",
+    "chunking": "avg_chunk_token_count chunk_quality_score_p50 chunk_quality_score_p95 standalone_block_ratio overlap_validation_failures",
+    "embedding": "embedding_failure_rate embedding_retry_rate vector_duplicate_rate upsert_failure_rate re_index_consistency_rate",
+    "retrieval": "retrieval_hit_rate reranker_correction_rate citation_success_rate orphan_citation_rate unsupported_answer_rate faithfulness_score_p50",
+    "alerts": "chunk_quality_score_p50_alert parser_fallback_rate_alert manual_recovery_rate_alert upsert_failure_rate_alert",
+}
+#: (warning, critical, direction) where set.
+THRESHOLDS = {"embedding_failure_rate": (0.01, 0.05, "above"), "block_drop_rate": (0.10, 0.25, "above"), "chunk_quality_score_p50_alert": (0.60, 0.40, "below"), "parser_fallback_rate_alert": (0.15, 0.30, "above"), "manual_recovery_rate_alert": (0.02, 0.05, "above"), "upsert_failure_rate_alert": (0.005, 0.02, "above")}
+#: name -> (layer, warning, critical, direction): the 32 metrics of the pipeline.
+METRICS = {name: (layer, *THRESHOLDS.get(name, (None, None, None))) for layer, names in _LAYERS.items() for name in names.split()}
+
+
+def catalogue(spark: SparkSession) -> DataFrame:
+    """(metric, layer, warning, critical, direction)."""
+    return spark.createDataFrame([(k, *v) for k, v in METRICS.items()], "metric string, layer string, warning double, critical double, direction string")
+
+
+def measured(spark: SparkSession, values: dict[str, DataFrame]) -> DataFrame:
+    """(metric, layer, value, state) of metrics given as one-row, one-column aggregates of stage tables."""
+    rows = None
+    for name, df in values.items():
+        one = df.select(F.lit(name).alias("metric"), F.round(df[df.columns[0]].cast("double"), 5).alias("value"))
+        rows = one if rows is None else rows.unionByName(one)
+    j = rows.join(F.broadcast(catalogue(spark)), "metric")  # 32 rows
+    return j.select("metric", "layer", "value", alert(F.col("value"), F.col("warning"), F.col("critical"), F.col("direction")).alias("state"))
 
 
 def present(c: Column, kind: str) -> Column:
@@ -45,7 +63,7 @@ def alert(value: Column, warning: Column, critical: Column, direction: Column) -
     """ok, warning or critical; null thresholds never alert."""
     above, below = direction == "above", direction == "below"
     worse = lambda t: (above & (value > t)) | (below & (value < t))
-    return F.when(worse(critical), "critical").when(worse(warning), "warning").otherwise("ok")
+    return F.when(F.coalesce(worse(critical), F.lit(False)), "critical").when(F.coalesce(worse(warning), F.lit(False)), "warning").otherwise("ok")
 
 
 def rates(rows: DataFrame, group: str, **conditions: Column) -> DataFrame:

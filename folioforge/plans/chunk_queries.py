@@ -139,3 +139,8 @@ def reindex_plan(spark, d):
     e = table(spark, d, "embeddings")
     existing = e.select(F.col("vec_id").alias("chunk_id"), F.col("label").alias("doc_id"), F.when(F.col("vec_id") % 3 == 0, "v1").when(F.col("vec_id") % 3 == 1, "v2").alias("version"))
     return E.reindex_plan(e.select(F.col("label").alias("doc_id"), F.when(F.col("label") % 2 == 0, "v2").alias("version")), existing)
+
+
+@query(f"WITH {VECTORS}, p AS (SELECT a.chunk_id, b.chunk_id AS other, round(list_cosine_similarity(a.embedding, b.embedding), 6) AS similarity FROM vectors a JOIN vectors b ON a.doc_id <> b.doc_id) SELECT chunk_id, arg_max(other, (similarity, -other)) AS other, max(similarity) AS similarity FROM p WHERE similarity >= 0.97 GROUP BY chunk_id")
+def vector_cross_document(spark, d):
+    return E.cross_document(vectors(spark, d))

@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import blocks as B
+from ..operators import chunks as K
 from ..operators import monitor as M
 from ..streaming import limiter
+from .block_queries import _REASON
 from .catalogue import query
-from .fixtures import table
+from .fixtures import BLOCKS, blocks, table
 
 AUDIT = """au AS (SELECT doc_id, 'p' AS parser_used, FALSE AS fallback_used, FALSE AS ocr_used, CASE WHEN doc_id % 3 = 0 THEN NULL ELSE 0.0 END AS parse_confidence, 'fixed' AS chunking_strategy, CASE WHEN doc_id % 5 = 0 THEN ' ' ELSE 'a' END AS heading_anchor, doc_id % 7 <> 0 AS pv, [lang] AS source_block_ids, 0.5 AS chunk_quality_score FROM documents),
 ms AS (SELECT doc_id, list_filter([CASE WHEN parse_confidence IS NULL THEN 'parse_confidence' END, CASE WHEN trim(heading_anchor) = '' THEN 'heading_anchor' END, CASE WHEN NOT pv THEN 'overlap_prev|previous_chunk_id' END, 'overlap_next|next_chunk_id', 'ingestion_timestamp', 'document_version', 'embedding_model', 'embedding_model_version'], lambda x: x IS NOT NULL) AS m FROM au)"""
@@ -75,3 +78,33 @@ s AS (SELECT user_id, event_id, k, TRUE AS allowed, ts + INTERVAL 12 HOUR AS res
 SELECT user_id, event_id, allowed FROM s""")
 def rate_limit(spark, d):
     return limiter.limited(table(spark, d, "events"), "user_id", 2, 12 * 3600)
+
+
+_NS = "regexp_extract_all(text, '[^\\s\\x{0B}\\x{85}\\x{A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}]+')"
+
+
+@query(f"""WITH {BLOCKS}, {{reason}}, t AS (SELECT *, len({_NS}) AS n FROM blocks WHERE trim(text) <> ''), v AS (
+SELECT 'ocr_activation_rate' AS metric, 'ingestion' AS layer, avg(is_ocr::INT) AS value, NULL AS w, NULL AS c FROM blocks
+UNION ALL SELECT 'block_drop_rate', 'block_quality', avg((reason IS NOT NULL)::INT), 0.10, 0.25 FROM r
+UNION ALL SELECT 'standalone_block_ratio', 'chunking', avg((block_type = 'table')::INT), NULL, NULL FROM t
+UNION ALL SELECT 'avg_chunk_token_count', 'chunking', avg(n), NULL, NULL FROM t
+UNION ALL SELECT 'embedding_failure_rate', 'embedding', avg((value > 95)::INT), 0.01, 0.05 FROM events)
+SELECT metric, layer, round(value, 5) AS value, CASE WHEN value > c THEN 'critical' WHEN value > w THEN 'warning' ELSE 'ok' END AS state FROM v""".replace("{reason}", _REASON))
+def pipeline_metrics(spark, d):
+    b = blocks(spark, d)
+    plan = K.plan(b)
+    return M.measured(
+        spark,
+        {
+            "ocr_activation_rate": b.agg(F.avg(F.col("is_ocr").cast("int"))),
+            "block_drop_rate": B.quality_reason(b).agg(F.avg(F.col("reason").isNotNull().cast("int"))),
+            "standalone_block_ratio": plan.agg(F.avg(F.col("standalone").cast("int"))),
+            "avg_chunk_token_count": plan.agg(F.avg("tokens")),
+            "embedding_failure_rate": table(spark, d, "events").agg(F.avg((F.col("value") > 95).cast("int"))),
+        },
+    )
+
+
+@query("SELECT unnest(['parser_fallback_rate_alert', 'manual_recovery_rate_alert', 'upsert_failure_rate_alert', 'chunk_quality_score_p50_alert', 'block_drop_rate', 'embedding_failure_rate']) AS metric, unnest([0.15, 0.02, 0.005, 0.6, 0.1, 0.01])::DOUBLE AS warning, unnest([0.3, 0.05, 0.02, 0.4, 0.25, 0.05])::DOUBLE AS critical")
+def metric_thresholds(spark, d):
+    return M.catalogue(spark).where("direction is not null").select("metric", "warning", "critical")

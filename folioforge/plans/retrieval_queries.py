@@ -270,3 +270,29 @@ def context_window(spark, d):
 def prompt_text(spark, d):
     c = R.bm25_top(_questions(spark, d), chunks(spark, d), 10).groupBy("query_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "chunk_id"))), lambda x: x["chunk_id"].cast("string")), " ").alias("context"))
     return _questions(spark, d).join(c, "query_id").select("query_id", A.user_prompt(F.col("question"), F.col("context")).alias("prompt"))
+
+
+def _with_blocks(spark, d):
+    """Hits with the ids of ten lines' worth of blocks each, two thirds shared by neighbours."""
+    return _cited(spark, d).select("query_id", "chunk_id", F.transform(F.sequence(F.lit(0), F.lit(9)), lambda i: (F.col("chunk_id") % 5) + i).alias("blocks"))
+
+
+@query(f"WITH {CHUNKS}, {Q}, {BM25}, {HITS}, x AS (SELECT query_id, chunk_id, chunk_id % 5 AS r FROM cited) SELECT a.query_id, a.chunk_id AS a, b.chunk_id AS b, round((10 - abs(a.r - b.r)) / 10, 6) AS overlap FROM x a JOIN x b ON a.query_id = b.query_id AND a.chunk_id < b.chunk_id WHERE abs(a.r - b.r) <= 2")
+def block_overlap_pairs(spark, d):
+    return C.block_overlap(_with_blocks(spark, d))
+
+
+@query("SELECT round(avg((doc_id % 6 <> 0)::INT), 6) AS score, count_if(doc_id % 6 = 0) AS without FROM documents")
+def citation_auditability(spark, d):
+    spans = F.when(F.col("doc_id") % 6 == 0, F.array().cast("array<string>")).otherwise(F.array("lang"))
+    return C.auditability(table(spark, d, "documents").select(spans.alias("spans")))
+
+
+@query()
+def context_dedup(spark, d):
+    return C.deduplicated(_planted(spark, d)).select("query_id", "chunk_id", "rank")
+
+
+@query()
+def context_compress(spark, d):
+    return C.compressed(C.ordered(_planted(spark, d)), _questions(spark, d)).select("query_id", "chunk_id", "position")
