@@ -230,6 +230,7 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 2048, end: int = 0, id
     runs, _ = plan(counts, capacity)
     before = F.sum("n").over(W.partitionBy("length").orderBy("task").rowsBetween(W.unboundedPreceding, -1))
     base = by_task.select("length", "task", F.coalesce(before, F.lit(0)).alias("base"))
-    ranked = pieces.join(base, ["length", "task"]).withColumn("rank", F.col("base") + F.col("nth"))
+    # merged, not broadcast: this table grows with the number of tasks
+    ranked = pieces.join(base.hint("merge"), ["length", "task"]).withColumn("rank", F.col("base") + F.col("nth"))
     last = T.StructType([*fields, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
     return ranked.mapInArrow(_place(spark.sparkContext.broadcast(runs), to_arrow_schema(last)), last)
