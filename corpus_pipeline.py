@@ -2,8 +2,8 @@
 
 1. toxicity: documents that the classifier scores 0.5 or more go; it is trained on the labelled rows
    that no one holds out.
-2. line_dedup: near-duplicate lines of 40 bytes or more go, but for the first of each class; a
-   document that was nothing but such lines goes with them.
+2. line_dedup: equal lines, and near-duplicate ones of 40 bytes or more, go, but for the first of
+   each class; a document that was nothing but such lines and blank ones goes with them.
 3. near_dedup: of each group of near-duplicate documents the one with the least doc_id stays.
 4. decontamination: documents in which windows of benchmark items occur go.
 5. packing: what is left is packed into token sequences; the last stage returns the packing.
@@ -32,7 +32,7 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     columns = _columns(docs)
     gone = linededup.removals(core.keyed(docs)).select("k0", "k1", F.transform("gone", lambda g: g["line"]).alias("gone"))
     rows = linededup.without_lines(core.with_keys(docs.select(*columns)).join(gone, ["k0", "k1"], "left"))
-    rows = rows.where(F.col("gone").isNull() | (F.col("text") != ""))
+    rows = rows.where(F.col("gone").isNull() | F.col("text").rlike(r"[^ \t-\r]"))
     if "n_chars" in columns:
         rows = rows.withColumn("n_chars", F.when(F.col("gone").isNull(), F.col("n_chars")).otherwise(F.length("text")))
     return rows.select(*columns)

@@ -4,7 +4,8 @@ Two lines within ``threshold`` edits agree in one of ``threshold`` + 1 segments
 edit spoils one segment at most.  Every distinct line indexes its segments by (its length,
 segment number, content) and probes, for each length it may pair with, only the substrings
 whose start the edits left and right of the segment allow.  Candidates are verified by
-banded bit-parallel edit distance on their UTF-8 bytes, a lane for each pair.
+banded bit-parallel edit distance on their UTF-8 bytes, a lane for each pair.  Lines too short
+for edits are grouped by equality.
 """
 
 from __future__ import annotations
@@ -96,7 +97,7 @@ def lines_of(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray,
 
 
 def _occurrences(least: int, with_text: bool):
-    """A row for every line of at least ``least`` bytes; with text, one for each distinct line of a batch."""
+    """A row for every line but short blank ones; with text, one for each distinct line of a batch of at least ``least`` bytes."""
 
     def run(batches):
         for batch in batches:
@@ -105,7 +106,11 @@ def _occurrences(least: int, with_text: bool):
                 own = buf[off[i] : off[j]]
                 rel = off[i : j + 1] - off[i]
                 s, e, first = lines_of(own, rel)
-                keep = np.flatnonzero(e - s >= least)
+                kept = e - s >= least
+                if not with_text:  # shorter lines are compared for equality, by their ids alone
+                    ink = np.r_[0, np.cumsum(~core.SPACE[own])]
+                    kept |= ink[e] > ink[s]
+                keep = np.flatnonzero(kept)
                 if not len(keep):
                     continue
                 h = core.span_ids(own, s[keep], e[keep]).view(np.int64)
@@ -252,7 +257,10 @@ def confirmed(pairs: DataFrame, text: DataFrame, threshold: int) -> DataFrame:
 
 
 def near_lines(docs: DataFrame, threshold: int = 2, least: int = 40) -> tuple[DataFrame, DataFrame]:
-    """docs (of core.keyed) -> links (u, v) between distinct lines, and occurrences (h, doc_id, k0, k1, line)."""
+    """docs (of core.keyed) -> links (u, v) between distinct lines, and occurrences (h, doc_id, k0, k1, line).
+
+    Only lines of at least ``least`` bytes have links; occurrences are those of all lines but short blank ones.
+    """
     spark = docs.sparkSession
     parts = core.partitions(spark)
     text = docs.select("text")
@@ -321,17 +329,19 @@ def without_lines(rows: DataFrame) -> DataFrame:
 def dedup_lines(docs: DataFrame, threshold: int = 2, least: int = 40, id_col: str = "doc_id", text_col: str = "text", with_text: bool = True) -> DataFrame:
     """One row per row of docs: doc_id, n_lines, n_removed, removed, and with ``with_text`` the text that stays.
 
-    Lines are separated by line feeds.  Those of at least ``least`` bytes within ``threshold`` edits
-    of bytes are linked; linked lines are a class, whose first line in order of doc_id and
-    line number stays and whose others go.  Shorter lines stay.  removed names each
-    line that goes and where its class's first line is: "line>doc_id:line", comma-joined.
+    Lines are separated by line feeds.  Equal lines of any length are a class.  Lines of at least
+    ``least`` bytes are linked within ``threshold`` edits of bytes too (two edits make another word
+    of a shorter one), and linked lines are a class.  A class's first line in order of doc_id and
+    line number stays and its others go.  Blank lines of less than ``least`` bytes stay: they
+    separate paragraphs.  removed names each line that goes and where its class's first line
+    is: "line>doc_id:line", comma-joined.
 
     Null counts as empty: one empty line, which stays.  Lines of rows without an id come last in
     the order.  Repeated rows (same id and text) have the same lines, none of which is removed for
     the other's sake.  An empty table gives no rows.  Other columns are ignored.
     """
     if least <= threshold or threshold < 1:
-        raise ValueError("lines must be longer than the threshold, which is 1 at least")
+        raise ValueError("lines that are linked by edits must be longer than the threshold, which is 1 at least")
     keyed = core.keyed(docs, id_col, text_col)
     gone = removals(keyed, threshold, least)
     said = F.transform("gone", lambda g: F.concat(g["line"].cast("string"), F.lit(">"), F.coalesce(g["first_doc"].cast("string"), F.lit("")), F.lit(":"), g["first_line"].cast("string")))

@@ -1,9 +1,12 @@
 import random
 
+import duckdb
 import pytest
 
-from folioforge.llm import linededup
+import corpus_pipeline
+from folioforge.llm import linededup, registry
 
+from ..conftest import DATA
 from .common import corpus, frame, key
 
 
@@ -94,3 +97,39 @@ def test_edges(spark):
     rows = corpus(7) + [(None, "the same line of a text without an id, long enough"), (200, "the same line of a text without an id, long enough!")]
     got = {r["doc_id"]: r for r in linededup.dedup_lines(frame(spark, rows)).collect() if r["text"].startswith("the same") or r["n_removed"]}
     assert got[None]["n_removed"] == 1 and got[200]["n_removed"] == 0
+
+
+def test_short_lines_are_compared_for_equality(spark):
+    long = "a line that is long enough to be compared by edits, this one"
+    rows = [(1, "Les.\n\nab\n" + long), (2, "Les.\n\nLes.\nac\n  \n  "), (3, "ab \nab\nLez.\n" + long + "!"), (4, "Les.\n\nab\n" + long), (None, "ac\n\t\n")]
+    got = {r["doc_id"]: (r["n_removed"], r["removed"], r["text"]) for r in linededup.dedup_lines(frame(spark, rows).repartition(3)).collect()}
+    assert got == {
+        1: (0, "", rows[0][1]),
+        2: (2, "0>1:0,2>1:0", "\nac\n  \n  "),
+        3: (2, "1>1:2,3>1:3", "ab \nLez."),
+        4: (3, "0>1:0,2>1:2,3>1:3", ""),
+        None: (1, "0>2:3", "\t\n"),
+    }
+
+
+def test_query_has_short_lines_too(spark):
+    """The registered SQL has the lines of 40 bytes or more; equal shorter ones come on top."""
+    folder = f"{DATA}/sf0.01"
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{folder}/documents.parquet'")
+    want = {r[0]: set(r[3].split(",")) - {""} for r in con.execute("SELECT doc_id, n_lines, n_removed, removed FROM (" + registry.SQL["op2_line_dedup"] + ")").fetchall()}
+    short = con.execute("""
+WITH line AS (SELECT doc_id, unnest(l) AS x, unnest(range(0, len(l))) AS n FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents)),
+short AS (SELECT *, min((doc_id, n)) OVER (PARTITION BY x) AS f FROM line WHERE strlen(x) < 40 AND regexp_matches(x, '[^\\x20\\x09-\\x0D]'))
+SELECT doc_id, n, f[1], f[2] FROM short WHERE (doc_id, n) <> f""").fetchall()
+    assert len(short) > 100
+    for d, n, a, b in short:
+        want[d].add(f"{n}>{a}:{b}")
+    got = {r["doc_id"]: (set(r["removed"].split(",")) - {""}, r["n_removed"]) for r in registry.op2_line_dedup(spark, folder).collect()}
+    assert {d: (x, len(x)) for d, x in want.items()} == got
+
+
+def test_pipeline_drops_copies_of_short_lines(spark):
+    rows = [(1, "Les.\n\nab\n\ncd"), (2, "Les.\n\nab\n\ncd"), (3, ""), (4, " \n "), (5, "ef\nLes.")]
+    got = corpus_pipeline.drop_lines(spark, spark.createDataFrame(rows, "doc_id long, text string"), "").collect()
+    assert sorted(map(tuple, got)) == [rows[0], *rows[2:4], (5, "ef")]
