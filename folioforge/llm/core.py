@@ -182,22 +182,24 @@ def _tables() -> dict:
 def span_ids(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """64-bit identifiers of the byte strings buf[starts:ends], by polynomial prefix sums in blocks.
 
-    starts must ascend.  Strings of over BLOCK bytes are hashed one by one.
+    starts must ascend.  Strings of over BLOCK bytes are hashed one by one, all others by the sums:
+    an identifier depends on nothing but its string.
     """
     c = _tables()
     out = np.empty(len(starts), U64)
+    long = ends - starts > BLOCK
+    if long.any():
+        import xxhash
+
+        for k in np.flatnonzero(long):
+            out[k] = xxhash.xxh64_intdigest(buf[starts[k] : ends[k]].tobytes(), 77)
+        out[~long] = span_ids(buf, starts[~long], ends[~long])
+        return out
     i, n = 0, len(starts)
     while i < n:
         lo = int(starts[i])
         j = int(np.searchsorted(starts, lo + BLOCK, "left"))
         hi = int(ends[i:j].max())
-        if hi - lo > 2 * BLOCK - 1:
-            import xxhash
-
-            for k in range(i, j):
-                out[k] = xxhash.xxh64_intdigest(buf[starts[k] : ends[k]].tobytes(), 77)
-            i = j
-            continue
         part = c["table"][buf[lo:hi]]
         part *= c["power"][: hi - lo]
         total = np.zeros(hi - lo + 1, U64)

@@ -1,10 +1,11 @@
 import random
 
 import duckdb
+import numpy as np
 import pytest
 
 import corpus_pipeline
-from folioforge.llm import linededup, registry
+from folioforge.llm import core, decontam, linededup, minhash, registry, substring
 
 from ..conftest import DATA
 from .common import corpus, frame, key
@@ -133,3 +134,33 @@ def test_pipeline_drops_copies_of_short_lines(spark):
     rows = [(1, "Les.\n\nab\n\ncd"), (2, "Les.\n\nab\n\ncd"), (3, ""), (4, " \n "), (5, "ef\nLes.")]
     got = corpus_pipeline.drop_lines(spark, spark.createDataFrame(rows, "doc_id long, text string"), "").collect()
     assert sorted(map(tuple, got)) == [rows[0], *rows[2:4], (5, "ef")]
+
+
+def test_ids_beside_a_long_string():
+    """An id depends on its string alone, whatever its neighbours are."""
+    r = random.Random(3)
+    strings = [bytes(r.choice(b"abc") for _ in range(n)) for n in (5, 60, 0, 7)]
+    strings += [b"x" * core.BLOCK, b"y" * (core.BLOCK + 1), b"z" * 300_000, strings[1], b"q" * 600_000, strings[0], b"y" * (core.BLOCK + 1), b"z" * 300_000, b"x" * core.BLOCK, strings[3]]
+    size = np.array([len(x) for x in strings])
+    end = np.cumsum(size + 1) - 1
+    got = core.span_ids(np.frombuffer(b"\n".join(strings), np.uint8), end - size, end)
+    alone = [int(core.span_ids(np.frombuffer(x, np.uint8), np.array([0]), np.array([len(x)]))[0]) for x in strings]
+    assert got.tolist() == alone
+    assert len(set(alone)) == len(set(strings))
+
+
+def test_lines_before_a_very_long_one(spark):
+    """Lines, words and benchmark passages beside a text of one line of over 512 KB."""
+    r = random.Random(4)
+    line = lambda: " ".join("".join(r.choice("abcdefghij") for _ in range(5)) for _ in range(12))
+    own = [line() for _ in range(4)]
+    rows = [(1, "\n".join(own)), (2, "o" * 600_000), (3, own[0] + "\n" + own[1][:-1] + "!"), (4, "o" * 600_000), (5, own[2] + "x\nend")]
+    docs = frame(spark, rows).coalesce(1)
+    got = {x["doc_id"]: x["removed"] for x in linededup.dedup_lines(docs, with_text=False).collect()}
+    assert got == {1: "", 2: "", 3: "0>1:0,1>1:1", 4: "0>2:0", 5: "0>1:2"}
+    rows = [(1, own[0] + " " + own[1]), (2, "o" * 600_000), (3, own[0] + " " + own[1]), (4, own[2])]
+    docs = frame(spark, rows).coalesce(1)
+    bench = spark.createDataFrame([(1, own[0]), (2, own[2])], "item_id long, text string")
+    assert {x["doc_id"]: x["contaminated"] for x in decontam.digest(decontam.contamination(docs, bench)).collect()} == {1: True, 2: False, 3: True, 4: True}
+    assert {x["doc_id"]: x["kept"] for x in minhash.near_duplicates(docs).collect()} == {1: True, 2: True, 3: False, 4: True}
+    assert {x["doc_id"]: x["n_removed"] for x in substring.dedup_word_windows(docs, 12, with_text=False).collect()} == {1: 24, 2: 0, 3: 24, 4: 0}
