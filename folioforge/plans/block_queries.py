@@ -162,7 +162,9 @@ def dedup_stats(spark, d):
 SELECT lang, least(x.k, y.k) AS a, greatest(x.k, y.k) AS b, round(len(list_intersect(x.s, y.s)) / (x.n + y.n - len(list_intersect(x.s, y.s))), 6) AS similarity FROM c x JOIN c y USING (lang)
 WHERE x.k < y.k AND least(x.n, y.n) >= 0.95 * greatest(x.n, y.n) AND x.n > 0 AND len(list_intersect(x.s, y.s)) >= 0.95 * (x.n + y.n - len(list_intersect(x.s, y.s)))""")
 def near_dup_pairs(spark, d):
-    return B.near_pairs(table(spark, d, "documents").select("doc_id", "lang", F.coalesce("text", F.lit("")).alias("text")), "doc_id", "lang")
+    """Pairs of the least documents of their token sets, and (least, other, 1.0) of every other document of a set."""
+    docs = table(spark, d, "documents").select("doc_id", "lang", F.coalesce("text", F.lit("")).alias("text"))
+    return B.near_pairs(docs, "doc_id", "lang").unionByName(B.near_members(docs, "doc_id", "lang").withColumn("similarity", F.lit(1.0)))
 
 
 @query()

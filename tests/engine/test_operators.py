@@ -87,6 +87,12 @@ def test_near_pairs_equal_all_pairs(spark):
     assert {(r["a"], r["b"]) for r in got} == {(a, b) for a, b in want if first[sets[a]] == a and first[sets[b]] == b and sets[a] != sets[b]}
 
 
+def test_near_members_have_the_rest_of_each_class(spark):
+    rows = [(1, "s", "b a"), (2, "s", "A  b a"), (3, "s", "a c"), (4, "t", "a b"), (5, "s", "a b"), (6, "s", ""), (7, "s", " "), (5, "s", "a b"), (3, "s", "c a")]
+    got = blocks.near_members(spark.createDataFrame(rows, "id long, s string, text string"), "id", "s").collect()
+    assert sorted(map(tuple, got)) == [("s", 1, 2), ("s", 1, 5), ("s", 6, 7)]
+
+
 def test_quality_rules(spark):
     rows = [{"text": ""}, {"text": "too few"}, {"text": "a b c d e f", "is_ocr": True, "confidence": 0.3}, {"text": "one two three four five �"}, {"text": "1 2 3 4 5 a, b, c, d, e, f, ... 6 7 8 9 10 11"}, {"text": "one two three four five six"}, {"text": "Too  few"}, {"text": "code", "block_type": "code"}]
     d = blocks.quality_decisions(block(spark, *rows))

@@ -48,6 +48,23 @@ def test_query_without_sql_runs(spark, name):
     assert catalogue.QUERIES[name](spark, FOLDER).count() > 0
 
 
+def test_near_dup_pairs_lose_no_link_between_documents(spark, sql):
+    """Pairs and memberships, expanded, are all pairs of documents; the SQL starts from documents, not from classes."""
+    from folioforge.plans.fixtures import words_sql
+
+    want = sql.execute(f"""WITH t AS (SELECT lang, doc_id, list_sort(list_distinct({words_sql("coalesce(text, '')")})) AS s, len(s) AS n FROM documents),
+p AS (SELECT x.lang, x.doc_id AS a, y.doc_id AS b, x.n + y.n AS n, CASE WHEN x.s = y.s THEN x.n ELSE len(list_intersect(x.s, y.s)) END AS c FROM t x JOIN t y ON x.lang = y.lang AND x.doc_id < y.doc_id AND least(x.n, y.n) >= 0.95 * greatest(x.n, y.n))
+SELECT lang, a, b, CASE WHEN n = 0 THEN 1 ELSE round(c / (n - c), 6) END FROM p WHERE c >= 0.95 * (n - c)""").fetchall()
+    rows = catalogue.QUERIES["near_dup_pairs"](spark, FOLDER).collect()
+    classes = {}
+    for r in rows:
+        if r["similarity"] == 1:
+            classes.setdefault(r["a"], {r["a"]}).add(r["b"])
+    got = {(r["lang"], min(a, b), max(a, b), r["similarity"]) for r in rows for a in classes.get(r["a"], {r["a"]}) for b in classes.get(r["b"], {r["b"]}) if r["similarity"] < 1}
+    got |= {(r["lang"], a, b, 1.0) for r in rows if r["similarity"] == 1 for a in classes[r["a"]] for b in classes[r["a"]] if a < b}
+    assert classes and {(x[0], x[1], x[2], f"{x[3]:.6f}") for x in want} == {(x[0], x[1], x[2], f"{x[3]:.6f}") for x in got}
+
+
 def test_no_query_takes_a_sample():
     """The stated query set (ids divisible by 100) is the only filter on ids."""
     import inspect
