@@ -49,22 +49,42 @@ def normalize_headings(blocks: DataFrame, max_words: int = 18, sentence_chars: i
     )
 
 
-def section_paths(blocks: DataFrame, levels: int = 6) -> DataFrame:
-    """``path``: titles of the open headings at each block, as a stack would hold them.
+def section_paths(blocks: DataFrame, default: str = "Document") -> DataFrame:
+    """The section lineage of every block, as a stack of open headings holds it.
 
-    A heading of level L is open while no heading of the same or a lesser level follows: so for each
-    level its last heading counts if it came after the last ones of all lesser levels.
+    A heading closes all open ones of its level or a greater one; levels may be any number, null
+    counts as 1, titles are whole (``section``, else the text, else ``default``).  Adds ``path`` (titles joined by
+    " > ", "" before the first heading), ``depth``, ``parents`` (of a heading the titles above it, of
+    other blocks all open ones), ``section_path`` (the open titles, else the block's own section)
+    and sets ``section`` where it is blank.
+
+    The stacks of a document are built once, from its headings alone; each block looks up the one of
+    the headings before it.
     """
+    heading = F.col("block_type") == "heading"
+    blank = lambda c: F.coalesce(F.trim(c), F.lit("")) == ""
+    title = F.trim(F.when(~blank(F.col("section")), F.col("section")).when(~blank(F.col("text")), F.col("text")).otherwise(F.lit(default)))
+    entry = F.struct(F.coalesce(F.col("heading_level").cast("long"), F.lit(1).cast("long")).alias("level"), title.alias("title"))
+    none = F.array().cast("array<struct<level:bigint,title:string>>")
+
+    def push(done, x):
+        open_ = F.coalesce(F.try_element_at(done, F.lit(-1)), none)
+        return F.concat(done, F.array(F.concat(F.filter(open_, lambda y: y["level"] < x["h"]["level"]), F.array(x["h"]))))
+
+    own = blocks.where(heading).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("block_seq", entry.alias("h")))).alias("_h"))
+    own = own.select(F.col("doc_id").alias("_doc"), F.aggregate("_h", F.array().cast("array<array<struct<level:bigint,title:string>>>"), push).alias("_stacks"))
     at = Window.partitionBy("doc_id").orderBy("block_seq").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    is_heading = F.col("heading_level").isNotNull()
-    title = F.trim(F.substring("text", 1, 40))
-    marked = blocks.withColumns({f"_h{n}": F.max(F.when(is_heading & (F.col("heading_level") == n), F.struct("block_seq", title.alias("title")))).over(at) for n in range(1, levels + 1)})
-    parts = []
-    for n in range(1, levels + 1):
-        above = F.greatest(*(F.coalesce(F.col(f"_h{m}.block_seq"), F.lit(-1)) for m in range(1, n)), F.lit(-1), F.lit(-1)) if n > 1 else F.lit(-1)
-        parts.append(F.when(F.col(f"_h{n}.block_seq") > above, F.col(f"_h{n}.title")))
-    stack = F.filter(F.array(*parts), lambda x: x.isNotNull())
-    return marked.withColumn("path", F.array_join(stack, " > ")).withColumn("depth", F.size(stack).cast("bigint")).drop(*(f"_h{n}" for n in range(1, levels + 1)))
+    seen = blocks.withColumn("_n", F.count_if(heading).over(at).cast("int")).join(own, F.col("doc_id").eqNullSafe(F.col("_doc")), "left")
+    open_ = F.transform(F.coalesce(F.get("_stacks", F.col("_n") - 1), none), lambda x: x["title"])
+    b = seen.withColumn("_open", open_).drop("_stacks", "_doc", "_n")
+    section = F.when(heading, F.try_element_at("_open", F.lit(-1))).when(~blank(F.col("section")), F.trim("section")).otherwise(F.coalesce(F.try_element_at("_open", F.lit(-1)), F.lit(default)))
+    b = b.withColumn("section", section)
+    return b.withColumns({
+        "path": F.array_join("_open", " > "),
+        "depth": F.size("_open").cast("bigint"),
+        "parents": F.when(heading, F.slice("_open", 1, F.greatest(F.size("_open") - 1, F.lit(0)))).otherwise(F.col("_open")),
+        "section_path": F.when(F.size("_open") > 0, F.col("_open")).otherwise(F.array("section")),
+    }).drop("_open")
 
 
 def normalize_code(blocks: DataFrame) -> DataFrame:

@@ -68,14 +68,17 @@ def heading_demote(spark, d):
     return h.select("doc_id", "block_seq", "heading_demoted", "block_type", "section", "heading_level")
 
 
-_LEVELS = ", ".join(f"max(CASE WHEN heading_level = {n} THEN {{'s': block_seq, 't': trim(text[:40])}} END) OVER w AS h{n}" for n in range(1, 7))
-_OPEN = ", ".join(f"CASE WHEN h{n}.s > greatest(-1, {', '.join(f'coalesce(h{m}.s, -1)' for m in range(1, n)) or '-1'}) THEN h{n}.t END" for n in range(1, 7))
+_UNTITLED = "CASE WHEN doc_id % 2 = 0 THEN NULL ELSE section END"
 
 
-@query(f"""WITH {BLOCKS}, m AS (SELECT doc_id, block_seq, {_LEVELS} FROM blocks WINDOW w AS (PARTITION BY doc_id ORDER BY block_seq)),
-s AS (SELECT doc_id, block_seq, list_filter([{_OPEN}], lambda x: x IS NOT NULL) AS st FROM m) SELECT doc_id, block_seq, array_to_string(st, ' > ') AS path, len(st)::BIGINT AS depth FROM s""")
+@query(f"""WITH {BLOCKS}, b AS (SELECT * REPLACE ({_UNTITLED} AS section) FROM blocks), h AS (SELECT doc_id, block_seq AS s, coalesce(heading_level, 1) AS l, trim(CASE WHEN trim(coalesce(section, '')) <> '' THEN section WHEN trim(text) <> '' THEN text ELSE 'Document' END) AS t FROM b WHERE block_type = 'heading'),
+o AS (SELECT b.doc_id, b.block_seq, h.s, h.t FROM b JOIN h ON h.doc_id = b.doc_id AND h.s <= b.block_seq WHERE NOT EXISTS (SELECT 1 FROM h AS later WHERE later.doc_id = b.doc_id AND later.s > h.s AND later.s <= b.block_seq AND later.l <= h.l))
+SELECT b.doc_id, b.block_seq, coalesce(string_agg(o.t, ' > ' ORDER BY o.s), '') AS path, count(o.s) AS depth, CASE WHEN b.block_type = 'heading' THEN arg_max(o.t, o.s) WHEN b.section IS NOT NULL THEN b.section ELSE coalesce(arg_max(o.t, o.s), 'Document') END AS section
+FROM b LEFT JOIN o ON o.doc_id = b.doc_id AND o.block_seq = b.block_seq GROUP BY b.doc_id, b.block_seq, b.block_type, b.section""")
 def section_path(spark, d):
-    return N.section_paths(blocks(spark, d)).select("doc_id", "block_seq", "path", "depth")
+    """Whole titles at any level; documents of even ids have no section titles of their own."""
+    b = blocks(spark, d).withColumn("section", F.when(F.col("doc_id") % 2 != 0, F.col("section")))
+    return N.section_paths(b).select("doc_id", "block_seq", "path", "depth", "section")
 
 
 @query(f"""WITH {BLOCKS} SELECT doc_id, block_seq, CASE WHEN block_seq % 3 = 0 THEN 'python' END AS code_language, 'code_block' AS block_type,
@@ -158,9 +161,10 @@ def dedup_stats(spark, d):
     return n.crossJoin(F.broadcast(total)).select("decision", "blocks", F.round(F.col("blocks") / F.col("total"), 6).alias("share"))
 
 
-@query(f"""WITH t AS (SELECT lang, doc_id, list_sort(list_distinct({words_sql("coalesce(text, '')")})) AS s FROM documents), c AS (SELECT lang, s, min(doc_id) AS k, len(s) AS n FROM t GROUP BY ALL)
-SELECT lang, least(x.k, y.k) AS a, greatest(x.k, y.k) AS b, round(len(list_intersect(x.s, y.s)) / (x.n + y.n - len(list_intersect(x.s, y.s))), 6) AS similarity FROM c x JOIN c y USING (lang)
-WHERE x.k < y.k AND least(x.n, y.n) >= 0.95 * greatest(x.n, y.n) AND x.n > 0 AND len(list_intersect(x.s, y.s)) >= 0.95 * (x.n + y.n - len(list_intersect(x.s, y.s)))""")
+@query(f"""WITH t AS (SELECT lang, doc_id, list_sort(list_distinct({words_sql("coalesce(text, '')")})) AS s FROM documents),
+p AS (SELECT x.lang, x.doc_id AS a, y.doc_id AS b, len(x.s) + len(y.s) AS n, CASE WHEN x.s = y.s THEN len(x.s) ELSE len(list_intersect(x.s, y.s)) END AS c, x.s = y.s AS same FROM t x JOIN t y ON x.lang = y.lang AND x.doc_id < y.doc_id AND least(len(x.s), len(y.s)) >= 0.95 * greatest(len(x.s), len(y.s))),
+link AS (SELECT lang, a, b, same, CASE WHEN same THEN 1.0::DOUBLE ELSE round(c / (n - c), 6) END AS similarity FROM p WHERE same OR c >= 0.95 * (n - c)), later AS (SELECT b FROM link WHERE same)
+SELECT lang, a, b, similarity FROM link WHERE a NOT IN (SELECT b FROM later) AND (same OR b NOT IN (SELECT b FROM later))""")
 def near_dup_pairs(spark, d):
     """Pairs of the least documents of their token sets, and (least, other, 1.0) of every other document of a set."""
     docs = table(spark, d, "documents").select("doc_id", "lang", F.coalesce("text", F.lit("")).alias("text"))

@@ -41,9 +41,13 @@ def test_artifacts_and_banners(spark):
 
 
 def test_section_stack(spark):
-    h = lambda n, t: {"heading_level": n, "block_type": "heading", "text": t}
-    b = normalize.section_paths(block(spark, {"text": "x"}, h(1, "A"), h(3, "B"), h(2, "C"), {"text": "y"}, h(1, "D"), h(2, "E")))
-    assert column(b, "path") == ["", "A", "A > B", "A > C", "A > C", "D", "D > E"]
+    long = "A title of much more than forty characters, kept whole in every path"
+    h = lambda n, t: {"heading_level": n, "block_type": "heading", "text": t, "section": None}
+    rows = [{"text": "x", "section": " "}, h(None, long), h(3, "B"), h(2, "C"), {"text": "y"}, h(9, "deep"), {"text": "z", "section": None}, h(1, " "), h(2, "E"), h(2, "E")]
+    b = normalize.section_paths(block(spark, *rows))
+    assert column(b, "path") == ["", long, f"{long} > B", f"{long} > C", f"{long} > C", f"{long} > C > deep", f"{long} > C > deep", "Document", "Document > E", "Document > E"]
+    assert column(b, "section") == ["Document", long, "B", "C", "S", "deep", "deep", "Document", "E", "E"]
+    assert column(b, "parents")[3:6] == [[long], [long, "C"], [long, "C"]] and column(b, "section_path")[0] == ["Document"]
 
 
 def test_tables_and_code(spark):
