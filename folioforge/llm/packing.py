@@ -35,7 +35,7 @@ class Encoder:
 
     A single space between two other characters that aren't white space always begins a new
     pre-token, so the chunks of a text without neighbouring white space can be encoded apart.
-    Strings of special tokens are ordinary text.
+    Strings of special tokens are those tokens, as the tokenizer takes them: they cut the text.
     """
 
     def __init__(self, tokenizer: str):
@@ -49,7 +49,9 @@ class Encoder:
         # the same vocabulary as ranks: byte strings instead of their printable stand-ins
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
         letters = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in plain)}
-        special = {t["content"] for t in spec.get("added_tokens", [])}
+        special = {t["content"]: np.array([t["id"]], "<u4").tobytes() for t in spec.get("added_tokens", [])}
+        self.special = special
+        self.cut = re.compile("(" + "|".join(map(re.escape, sorted(special, key=len, reverse=True))) + ")").split if special else None
         ranks = {bytes(letters[c] for c in t): i for t, i in spec["model"]["vocab"].items() if t not in special}
         pattern = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
         self.fast = tiktoken.Encoding("byte_bpe", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
@@ -61,6 +63,11 @@ class Encoder:
 
     def __call__(self, text: str) -> bytes:
         """Token ids as little-endian unsigned 32-bit integers."""
+        if self.cut and any(x in text for x in self.special):
+            return b"".join(self.special[x] if k % 2 else self.plain(x) for k, x in enumerate(self.cut(text)))
+        return self.plain(text)
+
+    def plain(self, text: str) -> bytes:
         if not text:
             return b""
         if self.double(text):
@@ -211,7 +218,7 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 2048, end: int = 0, id
     ids_crc32, sequence_id, offset, and with ``with_ids`` the ids (binary, 32 bits each).  Only
     a document of over ``capacity`` ids is cut; its first piece may be shorter.
 
-    Null and empty texts are one id.  Rows without an id and repeated rows are packed like any
+    Null and empty texts are one id; strings of special tokens in a text are those tokens.  Rows without an id and repeated rows are packed like any
     other.  No rows, no sequences.  Other columns are ignored.
 
     The broadcast plan has at most a few runs for each of ``capacity`` lengths; its size doesn't

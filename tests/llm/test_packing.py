@@ -42,15 +42,13 @@ def test_plan_is_a_packing_near_the_bound(capacity):
 
 def test_encoder_equals_the_tokenizer():
     encode, hf = packing.Encoder(VOCABULARY), Tokenizer.from_file(VOCABULARY)
-    hf.encode_special_tokens = True
-    texts = ["", " ", "a  b \n c", "\n\n x", " lead", "trail ", "it's o'clock 12 34", "é " * 30, "x <|endoftext|> y", "a  b", "tab\tb c", "日本 語 x", "\x1c \x1d a"]
+    texts = ["", " ", "a  b \n c", "\n\n x", " lead", "trail ", "it's o'clock 12 34", "é " * 30, "x <|endoftext|> y", "<|endoftext|>", "a<|endoftext|><|endoftext|> b  c", " <|endoftext|> ", "<|endoftext|", "a  b", "tab\tb c", "日本 語 x", "\x1c \x1d a"]
     for t in texts * 2:
         assert np.frombuffer(encode(t), "<u4").tolist() == hf.encode(t, add_special_tokens=False).ids, repr(t)
 
 
 def check(rows, got, capacity):
     hf = Tokenizer.from_file(VOCABULARY)
-    hf.encode_special_tokens = True
     want = Counter()
     for d, t in rows:
         ids = [*hf.encode(t or "", add_special_tokens=False).ids, 0]
@@ -71,7 +69,7 @@ def check(rows, got, capacity):
 
 
 def test_pack(spark):
-    rows = corpus(5, longest=200)
+    rows = corpus(5, longest=200) + [(700, "a <|endoftext|> b " * 40)]
     got = packing.pack(frame(spark, rows).repartition(4), VOCABULARY, 64).collect()
     check(rows, got, 64)
     assert packing.pack(frame(spark, []), VOCABULARY).count() == 0
