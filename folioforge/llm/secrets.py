@@ -30,6 +30,7 @@ ASSIGN = re.compile(rb"(?i:password|passwd|secret|token|api_?key)[\"']?\x20*[:=]
 ACCESS = re.compile(rb"AKIA[A-Z0-9]+")
 GITHUB = re.compile(rb"gh[pousr]_([A-Za-z0-9]{30})([A-Za-z0-9]{6})(?![A-Za-z0-9])")
 NPM = re.compile(rb"npm_([A-Za-z0-9]{30})([A-Za-z0-9]{6})(?![A-Za-z0-9])")
+RUN = re.compile(rb"[A-Za-z0-9_-]+")
 JWT = re.compile(rb"eyJ[A-Za-z0-9_-]*\.eyJ[A-Za-z0-9_-]*\.[A-Za-z0-9_-]+")
 KEYWORDS = {"password": 0, "passwd": 0, "secret": 0, "token": 0, "apikey": 0, "api_key": 0, "akia": 1, "ghp_": 3, "gho_": 3, "ghu_": 3, "ghs_": 3, "ghr_": 3, "npm_": 4, "eyj": 5}
 DIGITS = b"0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
@@ -49,10 +50,10 @@ def _checksum(m: re.Match) -> bool:
 
 
 def _jwt(m: re.Match) -> bool:
-    """Header and claims are JSON objects, and the header names an algorithm."""
+    """Header and claims are JSON objects, and the header names an algorithm; JSON nested too deeply to read is none."""
     try:
         head, claims = (json.loads(base64.urlsafe_b64decode(x + b"=" * (-len(x) % 4))) for x in m[0].split(b".")[:2])
-    except (ValueError, binascii.Error):
+    except (ValueError, binascii.Error, RecursionError):
         return False
     return isinstance(head, dict) and isinstance(claims, dict) and "alg" in head
 
@@ -94,6 +95,8 @@ def find(buf: np.ndarray, offsets: np.ndarray, automaton) -> dict[int, list[tupl
                 done[d, kind] = m.end()
                 if holds(m):
                     out.setdefault(d, []).append((kind, start - int(rel[d]), m.end() - int(rel[d])))
+            elif kind == 5 and raw[start : start + 3] == b"eyJ":  # what follows this run isn't a token's rest for later keywords in it either
+                done[d, kind] = RUN.match(raw, start, int(rel[d + 1])).end()
     return {d: sorted(x, key=lambda t: (t[1], t[0])) for d, x in out.items()}
 
 
@@ -127,8 +130,9 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     Kinds: assign, access and hex as their expressions say, leftmost and non-overlapping within
     a kind; github and npm tokens whose embedded CRC-32 is right; jwt whose parts decode.
 
-    Null and empty texts have no spans; null ids and repeated rows are kept.  Nothing is
-    shuffled.  Other columns are ignored.
+    Null and empty texts have no spans; null ids and repeated rows are kept.  A token with JSON
+    nested too deeply to read is not reported.  Each byte is looked at a bounded number of times, so very long
+    runs of keywords cost in proportion to their length.  Nothing is shuffled.  Other columns are ignored.
     """
     from pyspark.sql.pandas.types import to_arrow_schema
 

@@ -48,6 +48,43 @@ def test_spans(spark):
     assert secrets.scan(frame(spark, [])).count() == 0
 
 
+def test_deep_json_and_runs_of_keywords(spark):
+    import base64
+    import time
+
+    deep = base64.urlsafe_b64encode(b'{"alg":' + b"[" * 200_000).decode().rstrip("=")
+    good = "eyJhbGciOiJIUzI1NiJ9.eyJzdWIiOiIxIn0.abc"
+    rows = [(1, f"{deep}.{deep}.abc {good}"), (2, "eyJ" * 400_000), (3, ("eyJ" * 50 + ".eyJ ") * 5_000 + good)]
+    start = time.time()
+    got = {r["doc_id"]: [tuple(s) for s in r["spans"]] for r in secrets.scan(frame(spark, rows)).collect()}
+    assert time.time() - start < 30
+    assert [rows[0][1][a:b] for k, a, b in got[1] if k == "jwt"] == [good] and not got[2]
+    assert [rows[2][1][a:b] for k, a, b in got[3]] == [good]
+
+
+def jwts(text):
+    """By trying every place: what the scan must find."""
+    out, at = [], 0
+    while m := re.compile(r"eyJ[A-Za-z0-9_-]*\.eyJ[A-Za-z0-9_-]*\.[A-Za-z0-9_-]+").search(text, at):
+        out.append(m.span())
+        at = m.end()
+    return out
+
+
+def test_jwt_candidates_equal_a_plain_search(monkeypatch):
+    import random
+
+    import numpy as np
+
+    monkeypatch.setitem(secrets.RULES, 5, (secrets.JWT, lambda m: True))
+    rnd = random.Random(4)
+    for _ in range(300):
+        text = "".join(rnd.choice(["eyJ", "eyJ", ".", "a", " ", ".eyJ", "EYJ"]) for _ in range(60))
+        buf = np.frombuffer(text.encode(), np.uint8)
+        got = secrets.find(buf, np.array([0, len(buf)]), secrets._automaton()).get(0, [])
+        assert [(a, b) for k, a, b in got if k == 5] == jwts(text), text
+
+
 def test_query(spark):
     texts = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{DATA}/sf0.01/documents.parquet").collect()}
     got = registry.QUERIES["op6_secret_scan"](spark, f"{DATA}/sf0.01").collect()
