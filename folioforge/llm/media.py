@@ -1,8 +1,8 @@
 """Telephony audio columns (operator 8).
 
 G.711 mu-law and A-law samples expand by lookup tables of 256 entries; IMA ADPCM blocks are
-decoded with numpy across blocks: one step per sample of a block, for all blocks at once.
-Decoded sound is resampled with a windowed-sinc polyphase filter and stored as 16-bit PCM.
+decoded with numpy across blocks: one step per sample of a block, for all blocks of a batch of
+files at once.  Decoded sound is resampled with a windowed-sinc polyphase filter and stored as 16-bit PCM.
 """
 
 from __future__ import annotations
@@ -11,6 +11,7 @@ import hashlib
 import math
 import struct
 import zlib
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -42,6 +43,17 @@ STEPS = np.array([min(32767, int(x)) for x in (7, 8, 9, 10, 11, 12, 13, 14, 16,
 MOVES = np.array([-1, -1, -1, -1, 2, 4, 6, 8] * 2, np.int32)
 
 
+def _adpcm_tables() -> tuple[np.ndarray, np.ndarray]:
+    """Change of the value, and next index, for each index and code."""
+    index, code = np.repeat(np.arange(89, dtype=np.int32), 16), np.tile(np.arange(16, dtype=np.int32), 89)
+    step = STEPS[index]
+    diff = (step >> 3) + np.where(code & 4, step, 0) + np.where(code & 2, step >> 1, 0) + np.where(code & 1, step >> 2, 0)
+    return np.where(code & 8, -diff, diff).astype(np.int32), np.clip(index + MOVES[code], 0, 88).astype(np.int32)
+
+
+CHANGES, NEXT = _adpcm_tables()
+
+
 def expand(codes: np.ndarray, codec: str) -> np.ndarray:
     """16-bit samples of G.711 codes."""
     return (MULAW_TABLE if codec == "mulaw" else ALAW_TABLE)[codes]
@@ -58,26 +70,45 @@ def compress(samples: np.ndarray, codec: str) -> np.ndarray:
     return order[k].astype(np.uint8)
 
 
-def _adpcm_step(code, value, index):
-    step = STEPS[index]
-    diff = (step >> 3) + np.where(code & 4, step, 0) + np.where(code & 2, step >> 1, 0) + np.where(code & 1, step >> 2, 0)
-    value = np.clip(value + np.where(code & 8, -diff, diff), -32768, 32767)
-    return value, np.clip(index + MOVES[code], 0, 88)
-
-
-def adpcm_decode(data: np.ndarray, block: int = 256) -> np.ndarray:
-    """Mono IMA ADPCM blocks of ``block`` bytes -> 16-bit samples; a partial last block is ignored."""
-    blocks = data[: len(data) // block * block].reshape(-1, block)
+def adpcm_blocks(blocks: np.ndarray) -> np.ndarray:
+    """Mono IMA ADPCM blocks, one a row (4 bytes of state, then two samples a byte) -> samples, one block a row."""
     value = blocks[:, :2].copy().view("<i2")[:, 0].astype(np.int32)
     index = np.clip(blocks[:, 2].astype(np.int32), 0, 88)
-    out = np.empty((len(blocks), 1 + 2 * (block - 4)), np.int16)
-    out[:, 0] = value
-    for k in range(block - 4):
-        byte = blocks[:, 4 + k].astype(np.int32)
+    codes = np.ascontiguousarray(blocks[:, 4:].T)
+    out = np.empty((1 + 2 * len(codes), len(blocks)), np.int16)
+    out[0] = value
+    for k, byte in enumerate(codes):
         for half, code in enumerate((byte & 15, byte >> 4)):
-            value, index = _adpcm_step(code, value, index)
-            out[:, 1 + 2 * k + half] = value
-    return out.reshape(-1)
+            # a step and its index are all that a code's change depends on
+            at = index * 16 + code
+            value = np.clip(value + CHANGES[at], -32768, 32767)
+            index = NEXT[at]
+            out[1 + 2 * k + half] = value
+    return out.T
+
+
+def adpcm_decode(data: np.ndarray, block: int = 256, channels: int = 1) -> np.ndarray:
+    """IMA ADPCM blocks of ``block`` bytes -> 16-bit samples (frames x channels where there are several).
+
+    A last block that is cut short gives the whole samples it has; less than a block's states gives none.
+    """
+    head = 4 * channels
+    full = len(data) // block * block
+    rows = [(data[:full].reshape(-1, block))] if full else []
+    rest = data[full:]
+    rest = rest[: len(rest) if channels == 1 else head + (len(rest) - head) // head * head]
+    if len(rest) >= head:
+        rows.append(rest.reshape(1, -1))
+    out = []
+    for x in rows:
+        if channels == 1:
+            out.append(adpcm_blocks(x).reshape(-1, 1))
+        else:  # states of all channels, then four bytes of each in turn
+            body = x[:, head : head + (x.shape[1] - head) // head * head].reshape(len(x), -1, channels, 4)
+            each = [adpcm_blocks(np.concatenate((x[:, 4 * c : 4 * c + 4], body[:, :, c].reshape(len(x), -1)), axis=1)).reshape(-1) for c in range(channels)]
+            out.append(np.stack(each, axis=1))
+    got = np.concatenate(out) if out else np.zeros((0, channels), np.int16)
+    return got[:, 0] if channels == 1 else got
 
 
 def adpcm_encode(samples: np.ndarray, block: int = 256) -> np.ndarray:
@@ -93,77 +124,129 @@ def adpcm_encode(samples: np.ndarray, block: int = 256) -> np.ndarray:
     for k in range(1, each):
         diff, step = x[:, k] - value, STEPS[index]
         code = np.where(diff < 0, 8, 0) | np.minimum(np.abs(diff) * 4 // step, 7)
-        value, index = _adpcm_step(code, value, index)
+        at = index * 16 + code
+        value, index = np.clip(value + CHANGES[at], -32768, 32767), NEXT[at]
         out[:, 4 + (k - 1) // 2] |= (code << (0 if k % 2 else 4)).astype(np.uint8)
     return out.reshape(-1)
 
 
-def resample(samples: np.ndarray, rate: int, to: int, taps: int = 16) -> np.ndarray:
-    """Windowed-sinc polyphase resampling to ``to`` samples a second."""
-    if rate == to or not len(samples):
-        return samples
+#: Samples that resample works on at once.
+SLICE = 1 << 18
+
+
+def _bank(rate: int, to: int, taps: int) -> tuple[int, int, int, np.ndarray]:
     g = math.gcd(rate, to)
     up, down = to // g, rate // g
     cut = min(1.0, up / down)
     half = int(math.ceil(taps / cut))
-    n = -(-len(samples) * up // down)
-    at = np.arange(n, dtype=np.int64) * down
-    whole, phase = at // up, at % up
-    x = np.pad(samples.astype(np.float64), (half, half + 1))
     k = np.arange(-half + 1, half + 1)
     bank = k[None, :] - np.arange(up)[:, None] / up
     bank = cut * np.sinc(cut * bank) * (0.5 + 0.5 * np.cos(np.pi * np.clip(bank / half, -1, 1)))
-    bank /= bank.sum(axis=1, keepdims=True)
-    out = np.zeros(n)
-    for j in range(2 * half):
-        out += x[whole + j + 1] * bank[phase, j]
-    return np.clip(np.rint(out), -32768, 32767).astype(np.int16)
+    return up, down, half, bank / bank.sum(axis=1, keepdims=True)
 
 
-def wav(data: bytes, codec: str, rate: int = 8000, block: int = 256) -> bytes:
-    """A mono RIFF file around encoded samples."""
+def resample(samples: np.ndarray, rate: int, to: int, taps: int = 16) -> np.ndarray:
+    """Windowed-sinc polyphase resampling to ``to`` samples a second, along the first axis, a slice at a time."""
+    if rate == to or not len(samples):
+        return samples
+    if samples.ndim > 1:
+        return np.stack([resample(x, rate, to, taps) for x in samples.T], axis=1)
+    up, down, half, bank = _bank(rate, to, taps)
+    n = -(-len(samples) * up // down)
+    out = np.empty(n, np.int16)
+    step = max(1, SLICE * up // down) // up * up or up
+    for first in range(0, n, step):
+        at = np.arange(first, min(n, first + step), dtype=np.int64) * down
+        whole, phase = at // up, at % up
+        lo, hi = int(whole[0]) - half + 1, int(whole[-1]) + half + 1
+        x = np.pad(samples[max(lo, 0) : hi].astype(np.float64), (max(-lo, 0), max(hi - len(samples), 0)))
+        got = np.zeros(len(at))
+        if down == 1:  # neighbours of a phase are neighbours in x
+            m = len(at) // up
+            for p in range(up):
+                own = np.zeros(m)
+                for j in range(2 * half):
+                    own += x[j : j + m] * bank[p, j]
+                got[p::up] = own
+        else:
+            for j in range(2 * half):
+                got += x[whole - int(whole[0]) + j] * bank[phase, j]
+        out[first : first + len(at)] = np.clip(np.rint(got), -32768, 32767)
+    return out
+
+
+def wav(data: bytes, codec: str, rate: int = 8000, block: int = 256, channels: int = 1) -> bytes:
+    """A RIFF file around encoded samples."""
     kind = CODECS[codec]
-    bits, align = {"pcm": (16, 2), "adpcm": (4, block)}.get(codec, (8, 1))
-    per_s = rate * align if codec != "adpcm" else rate * block // (1 + 2 * (block - 4))
-    extra = struct.pack("<HH", 2, 1 + 2 * (block - 4)) if codec == "adpcm" else b"" if codec == "pcm" else struct.pack("<H", 0)
-    fmt = struct.pack("<HHIIHH", kind, 1, rate, per_s, align, bits) + extra
+    bits, align = {"pcm": (16, 2 * channels), "adpcm": (4, block)}.get(codec, (8, channels))
+    frames = 1 + 2 * (block // channels - 4)
+    per_s = rate * align if codec != "adpcm" else rate * block // frames
+    extra = struct.pack("<HH", 2, frames) if codec == "adpcm" else b"" if codec == "pcm" else struct.pack("<H", 0)
+    fmt = struct.pack("<HHIIHH", kind, channels, rate, per_s, align, bits) + extra
     pad = b"\0" * (len(data) % 2)
     body = b"WAVE" + b"fmt " + struct.pack("<I", len(fmt)) + fmt + b"data" + struct.pack("<I", len(data)) + data + pad
     return b"RIFF" + struct.pack("<I", len(body)) + body
 
 
-def unwav(raw: bytes) -> tuple[str, int, int, bytes]:
-    """codec, rate, block and sample bytes of a RIFF file."""
+@dataclass
+class Track:
+    """What a RIFF file says of its samples, and their bytes."""
+
+    codec: str
+    rate: int
+    channels: int
+    bits: int
+    block: int
+    data: bytes
+
+
+def unwav(raw: bytes) -> Track:
+    """The track of a RIFF file; ValueError if it is none of a supported codec, or damaged in its header."""
     if raw[:4] != b"RIFF" or raw[8:12] != b"WAVE":
         raise ValueError("not a RIFF/WAVE file")
     at, head, data = 12, None, None
     while at + 8 <= len(raw):
         name, size = raw[at : at + 4], struct.unpack_from("<I", raw, at + 4)[0]
-        if name == b"fmt ":
+        if name == b"fmt " and at + 24 <= len(raw) and size >= 16:
             head = struct.unpack_from("<HHIIHH", raw, at + 8)
         elif name == b"data":
             data = raw[at + 8 : at + 8 + size]
         at += 8 + size + size % 2
     if head is None or data is None:
         raise ValueError("no format or no samples")
-    codec = {v: k for k, v in CODECS.items()}[head[0]]
-    return codec, head[2], head[4], data
+    codec = {v: k for k, v in CODECS.items()}.get(head[0])
+    _, channels, rate, _, block, bits = head
+    fits = {"pcm": bits in (8, 16, 24, 32), "adpcm": bits == 4 and block > 4 * channels and (channels == 1 or block % (4 * channels) == 0)}.get(codec, codec is not None and bits == 8)
+    if not fits or not rate or not channels:
+        raise ValueError("unsupported or damaged format")
+    return Track(codec, rate, channels, bits, block, data)
 
 
 def decode(raw: bytes) -> tuple[np.ndarray, int]:
-    """16-bit samples and rate of a RIFF file of any supported codec."""
-    codec, rate, block, data = unwav(raw)
-    codes = np.frombuffer(data, np.uint8)
-    if codec == "pcm":
-        return np.frombuffer(data[: len(data) // 2 * 2], "<i2"), rate
-    return (adpcm_decode(codes, block) if codec == "adpcm" else expand(codes, codec)), rate
+    """16-bit samples (frames x channels where there are several) and rate of a RIFF file of any supported codec."""
+    t = unwav(raw)
+    codes = np.frombuffer(t.data, np.uint8)
+    if t.codec == "adpcm":
+        return adpcm_decode(codes, t.block, t.channels), t.rate
+    if t.codec == "pcm":
+        width = t.bits // 8
+        x = codes[: len(codes) // width * width].reshape(-1, width)
+        # 8-bit samples are unsigned; of wider ones the upper 16 bits count
+        samples = ((x[:, 0].astype(np.int16) - 128) << 8).astype(np.int16) if width == 1 else np.ascontiguousarray(x[:, -2:]).view("<i2")[:, 0]
+    else:
+        samples = expand(codes, t.codec)
+    if t.channels > 1:
+        samples = samples[: len(samples) // t.channels * t.channels].reshape(-1, t.channels)
+    return samples, t.rate
 
 
 def to_pcm(audio: DataFrame, media_col: str = "media", rate: int = 16000) -> DataFrame:
     """Adds ``pcm``, the media column decoded, resampled to ``rate`` and stored as 16-bit PCM in RIFF.
 
-    Null stays null; what isn't a supported file gives null.  All columns of audio are kept; a
-    column named pcm is replaced.
+    Mu-law, A-law, IMA ADPCM, and PCM of 8 to 32 bits, with any number of channels, which are kept.
+    Null stays null; what isn't a supported file, or has a damaged header, gives null; samples that a
+    file is cut short of are missing.  All columns of audio are kept; a column named pcm is
+    replaced.  Repeated rows are handled alike, an empty table gives none.
     """
 
     @F.pandas_udf(T.BinaryType())
@@ -171,9 +254,9 @@ def to_pcm(audio: DataFrame, media_col: str = "media", rate: int = 16000) -> Dat
         def one(raw):
             try:
                 samples, at = decode(raw)
-            except (ValueError, KeyError, struct.error, TypeError):
+            except ValueError:
                 return None
-            return wav(resample(samples, at, rate).astype("<i2").tobytes(), "pcm", rate)
+            return wav(resample(samples, at, rate).astype("<i2").tobytes(), "pcm", rate, channels=1 if samples.ndim == 1 else samples.shape[1])
 
         return col.map(one, na_action="ignore")
 
@@ -184,36 +267,80 @@ def payload_of(text: bytes, unit: int = 64) -> bytes:
     return text + b"\0" * (max(unit, -(-len(text) // unit) * unit) - len(text))
 
 
-def _store(codec: str, rate: int, schema: pa.Schema, with_media: bool):
-    names = ["n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "media"]
+#: Bytes of an ADPCM block in stored payloads; a payload is a multiple of 64 bytes, so its last block may be shorter.
+ADPCM_BLOCK = 256
+
+
+def _batch_adpcm(payloads: list[bytes]) -> list[np.ndarray]:
+    """Samples of each payload read as ADPCM blocks, all blocks of one length decoded together."""
+    place: dict[int, list[tuple[int, int]]] = {}
+    for k, p in enumerate(payloads):
+        for at in range(0, len(p), ADPCM_BLOCK):
+            place.setdefault(min(ADPCM_BLOCK, len(p) - at), []).append((k, at))
+    out = [np.empty(sum(1 + 2 * (min(ADPCM_BLOCK, len(p) - at) - 4) for at in range(0, len(p), ADPCM_BLOCK)), np.int16) for p in payloads]
+    each = 1 + 2 * (ADPCM_BLOCK - 4)
+    for size, where in place.items():
+        for i in range(0, len(where), 4096):
+            some = where[i : i + 4096]
+            blocks = np.frombuffer(b"".join(payloads[k][at : at + size] for k, at in some), np.uint8).reshape(-1, size)
+            for (k, at), x in zip(some, np.ascontiguousarray(adpcm_blocks(blocks))):
+                first = at // ADPCM_BLOCK * each
+                out[k][first : first + len(x)] = x
+    return out
+
+
+def _batch_resampled(tracks: list[np.ndarray], rate: int, to: int) -> list[np.ndarray]:
+    """Each track resampled; where ``to`` is a multiple of ``rate`` all at once, with silence between them."""
+    if to % rate:
+        return [resample(x, rate, to) for x in tracks]
+    gap = 64
+    joined = np.zeros(sum(len(x) + gap for x in tracks), np.int16)
+    at, starts = 0, []
+    for x in tracks:
+        joined[at : at + len(x)] = x
+        starts.append(at)
+        at += len(x) + gap
+    out, up = resample(joined, rate, to), to // rate
+    return [out[s * up : (s + len(x)) * up] for s, x in zip(starts, tracks)]
+
+
+def _store(codec: str, rate: int, to: int, schema: pa.Schema, with_media: bool):
+    names = [f.name for f in schema if f.name != "doc_id"]
+    table = (MULAW_TABLE if codec == "mulaw" else ALAW_TABLE).astype(np.int64)
+    sha = lambda x: hashlib.sha256(x).hexdigest()
 
     def run(batches):
         for batch in batches:
             buf, off = core.text_buffer(batch.column("text"))
             out = {k: [] for k in names}
-            for k in range(batch.num_rows):
-                text = buf[off[k] : off[k + 1]].tobytes()
-                media = wav(payload_of(text), codec, rate)
-                back = unwav(media)[3]
-                codes = np.frombuffer(back, np.uint8)
-                count = np.bincount(codes, minlength=256)
-                table = (MULAW_TABLE if codec == "mulaw" else ALAW_TABLE).astype(np.int64)
-                loud = math.isqrt(int((count * table * table).sum()) // len(codes))
-                sign = codes >> 7
-                row = (len(text), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-64:]), len(media), hashlib.sha256(media).hexdigest(), f"codec={codec};rate={rate};samples={len(codes)};rms={loud};peak={int(np.abs(table[count > 0]).max())};crossings={int((sign[1:] != sign[:-1]).sum())}", media)
-                for n, x in zip(names, row):
-                    out[n].append(x)
+            for i, j in core.runs(off):
+                texts = [buf[off[k] : off[k + 1]].tobytes() for k in range(i, j)]
+                files = [wav(payload_of(x), codec, rate) for x in texts]
+                back = [unwav(x).data for x in files]
+                tracks = [expand(np.frombuffer(x, np.uint8), codec) for x in back]
+                for text, media, data, adpcm, high in zip(texts, files, back, _batch_adpcm(back), _batch_resampled(tracks, rate, to)):
+                    codes = np.frombuffer(data, np.uint8)
+                    count = np.bincount(codes, minlength=256)
+                    loud = math.isqrt(int((count * table * table).sum()) // len(codes))
+                    sign = codes >> 7
+                    pcm = wav(high.astype("<i2").tobytes(), "pcm", to)
+                    feature = f"codec={codec};rate={rate};samples={len(codes)};rms={loud};peak={int(np.abs(table[count > 0]).max())};crossings={int((sign[1:] != sign[:-1]).sum())};adpcm={zlib.crc32(adpcm.astype('<i2').tobytes())};pcm{to}={sha(pcm)[:16]}"
+                    row = {"n_bytes": len(text), "payload_bytes": len(data), "payload_sha256": sha(data), "tail_crc32": zlib.crc32(data[-64:]), "media_bytes": len(media), "media_sha256": sha(media), "feature": feature, "pcm_bytes": len(pcm), "media": media, "pcm": pcm}
+                    for n in names:
+                        out[n].append(row[n])
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(f.type) if f.name == "doc_id" else pa.array(out[f.name], f.type) for f in schema], schema=schema)
 
     return run
 
 
-def store_texts(docs: DataFrame, codec: str = "mulaw", rate: int = 8000, id_col: str = "doc_id", text_col: str = "text", with_media: bool = True) -> DataFrame:
+def store_texts(docs: DataFrame, codec: str = "mulaw", rate: int = 8000, to: int = 16000, id_col: str = "doc_id", text_col: str = "text", with_media: bool = True) -> DataFrame:
     """Stores each text's bytes, zero-filled to a multiple of 64, as 8-bit samples of a RIFF file.
 
-    Returns doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32 (both of the bytes read
-    back), media_bytes, media_sha256, feature (root mean square, peak and zero crossings of
-    the expanded samples) and, with ``with_media``, the file.
+    The stored bytes are read back and decoded: expanded by table, resampled to ``to`` and stored
+    as 16-bit PCM; and read as ADPCM blocks of 256 bytes.  Returns doc_id, n_bytes,
+    payload_bytes, payload_sha256, tail_crc32 (both of the bytes read back), media_bytes,
+    media_sha256, feature (root mean square, peak and zero crossings of the expanded samples, CRC-32
+    of the ADPCM samples, digest of the PCM file), pcm_bytes and, with ``with_media``, both files.
 
     Null counts as empty: 64 zero bytes.  Null ids and repeated rows are kept; equal texts give
     equal values.  Nothing is shuffled.  Other columns are ignored.
@@ -221,6 +348,7 @@ def store_texts(docs: DataFrame, codec: str = "mulaw", rate: int = 8000, id_col:
     from pyspark.sql.pandas.types import to_arrow_schema
 
     L, S = T.LongType(), T.StringType()
-    schema = T.StructType([T.StructField(n, t) for n, t in (("doc_id", docs.schema[id_col].dataType), ("n_bytes", L), ("payload_bytes", L), ("payload_sha256", S), ("tail_crc32", L), ("media_bytes", L), ("media_sha256", S), ("feature", S), *([("media", T.BinaryType())] if with_media else []))])
+    files = [("media", T.BinaryType()), ("pcm", T.BinaryType())] if with_media else []
+    schema = T.StructType([T.StructField(n, t) for n, t in (("doc_id", docs.schema[id_col].dataType), ("n_bytes", L), ("payload_bytes", L), ("payload_sha256", S), ("tail_crc32", L), ("media_bytes", L), ("media_sha256", S), ("feature", S), ("pcm_bytes", L), *files)])
     source = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    return source.mapInArrow(_store(codec, rate, to_arrow_schema(schema), with_media), schema)
+    return source.mapInArrow(_store(codec, rate, to, to_arrow_schema(schema), with_media), schema)
