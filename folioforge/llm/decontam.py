@@ -25,34 +25,34 @@ BLANK[0x30:0x3A] = BLANK[0x61:0x7B] = BLANK[0x80:] = False
 SHIFT_BITS = 20
 #: Windows of test strings start at so many words of a lane.
 LANE = 64
-#: Bytes of test-set text that one broadcast may hold; a larger set is searched in several passes.
-PASS_BYTES = 32 << 20
+#: Windows (of some 200 bytes in a worker) and bytes of their text that one pass broadcasts; a larger set takes more passes.
+PASS_WINDOWS, PASS_BYTES = 1 << 18, 32 << 20
 
 
-def text_words(text: str | None) -> list[bytes]:
-    buf = core.LOWER[np.frombuffer((text or "").encode(), np.uint8)]
-    s, e, _ = core.words(buf, np.array([0, len(buf)]), BLANK)
-    raw = buf.tobytes()
-    return [raw[i:j] for i, j in zip(s, e)]
+class Patterns:
+    """Tables of all distinct windows with one number of words, in array buffers.
 
+    The text of window k is buf[start[k] : start[k + 1]], its words parted by blanks.
+    """
 
-class Patterns:
-    """Tables of all distinct windows with one number of words."""
-
-    def __init__(self, size: int, windows: list[tuple[bytes, ...]]):
-        self.size, self.block, self.text = size, min(2, size), windows
-        flat = [w for t in windows for w in t]
-        ends = np.cumsum([len(w) for w in flat])
-        buf = np.frombuffer(b"".join(flat), np.uint8)
-        self.ids = core.span_ids(buf, ends - [len(w) for w in flat], ends).reshape(-1, size)
-        last = self.key(self.ids[:, size - self.block :])
-        order = np.argsort(last, kind="stable")
-        self.last, self.ids, self.text = last[order], self.ids[order], [windows[i] for i in order]
+    def __init__(self, size: int, windows: list[bytes]):
+        self.size, self.block = size, min(2, size)
+        start = np.r_[0, np.cumsum([len(t) for t in windows])]
+        buf = np.frombuffer(b"".join(windows), np.uint8)
+        s, e, _ = core.words(buf, start, BLANK)
+        ids = core.span_ids(buf, s, e).reshape(-1, size)
+        last = self.key(ids[:, size - self.block :])
+        self.order = np.argsort(last, kind="stable")
+        self.last, self.ids, self.buf, self.start = last[self.order], ids[self.order], buf, start
         self.shift = np.full(1 << SHIFT_BITS, size - self.block + 1, np.uint8)
         for j in range(size - self.block + 1):
             at = self.key(self.ids[:, j : j + self.block]) >> U64(64 - SHIFT_BITS)
             np.minimum.at(self.shift, at.astype(np.int64), size - self.block - j)
 
+    def text(self, pattern: int) -> bytes:
+        k = self.order[pattern]
+        return self.buf[self.start[k] : self.start[k + 1]].tobytes()
+
     def key(self, ids: np.ndarray) -> np.ndarray:
         return core.pair(ids[:, 0], ids[:, 1]) if self.block == 2 else core.mix(ids[:, 0])
 
@@ -85,20 +85,39 @@ class Patterns:
         return tuple(np.concatenate(c) for c in zip(*found))
 
 
-def tables(items: list[tuple[object, str | None]], size: int) -> list[tuple[Patterns, list[list]]]:
-    """Pattern tables by window length, each with the item ids of every pattern."""
-    owners: dict[tuple, set] = {}
-    for item, text in items:
-        w = text_words(text)
-        for i in range(max(1, len(w) - size + 1) if w else 0):
-            owners.setdefault(tuple(w[i : i + size]), set()).add(item)
+def tables(rows: list[tuple[int, str, object]]) -> list[tuple[Patterns, list[list]]]:
+    """Pattern tables by window length of (words, window, item) rows, each with the item ids of every pattern."""
+    owners: dict[int, dict[bytes, set]] = {}
+    for n, window, item in rows:
+        owners.setdefault(n, {}).setdefault(window.encode(), set()).add(item)
     out = []
-    for n in sorted({len(t) for t in owners}):
-        p = Patterns(n, sorted(t for t in owners if len(t) == n))
-        out.append((p, [sorted((x for x in owners[t] if x is not None), key=str) for t in p.text]))
+    for n in sorted(owners):
+        windows = sorted(owners[n])
+        p = Patterns(n, windows)
+        out.append((p, [sorted((x for x in owners[n][windows[k]] if x is not None), key=str) for k in p.order]))
     return out
 
 
+def windows_of(size: int, item_type: pa.DataType):
+    """(words, window, item) of every window of a batch of test items."""
+
+    def run(batches):
+        for batch in batches:
+            buf, off = core.text_buffer(batch.column("text"))
+            items = batch.column("item")
+            for k in range(batch.num_rows):
+                own = core.LOWER[buf[off[k] : off[k + 1]]]
+                s, e, _ = core.words(own, np.array([0, len(own)]), BLANK)
+                raw = own.tobytes()
+                w = [raw[i:j] for i, j in zip(s, e)]
+                for at in range(0, max(1, len(w) - size + 1) if w else 0, 10_000):
+                    some = [b" ".join(w[i : i + size]).decode() for i in range(at, min(at + 10_000, max(1, len(w) - size + 1)))]
+                    m = len(some)
+                    yield pa.RecordBatch.from_arrays([pa.array([min(size, len(w))] * m, pa.int32()), pa.array(some), pa.array([items[k].as_py()] * m, item_type)], names=["n", "window", "item"])
+
+    return run
+
+
 def _scan(shared, schema: pa.Schema):
     """Adds n_words, n_hit, items, spans and contaminated; items and spans of earlier passes are carried on."""
 
@@ -118,7 +137,7 @@ def _scan(shared, schema: pa.Schema):
                 for p, owners in got:
                     at, pat = p.search(w, bounds)
                     for a, k in zip(at.tolist(), pat.tolist()):
-                        if all(low[s[a + x] : e[a + x]].tobytes() == y for x, y in enumerate(p.text[k])):
+                        if b" ".join(low[s[a + x] : e[a + x]].tobytes() for x in range(p.size)) == p.text(k):
                             d = int(np.searchsorted(bounds, a, "right")) - 1
                             of_doc.setdefault(d, set()).update(owners[k])
                             where.setdefault(d, []).append([a - int(bounds[d]), a - int(bounds[d]) + p.size])
@@ -138,27 +157,31 @@ def _scan(shared, schema: pa.Schema):
     return run
 
 
-def _searched(source: DataFrame, benchmark: DataFrame, size: int, item_col: str, item_text_col: str, pass_bytes: int) -> DataFrame:
+def _searched(source: DataFrame, benchmark: DataFrame, size: int, item_col: str, item_text_col: str, pass_windows: int) -> DataFrame:
     """source (with a column text) and what _scan adds; the texts are never shuffled."""
     from pyspark.sql.pandas.types import to_arrow_schema
 
     spark = source.sparkSession
     tests = benchmark.select(F.col(item_col).alias("item"), F.col(item_text_col).cast("string").alias("text"))
     item_type = T.StringType() if isinstance(tests.schema["item"].dataType, T.NullType) else tests.schema["item"].dataType
-    total = tests.agg(F.coalesce(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 32), F.lit(0))).first()[0]
-    passes = 1 if total <= pass_bytes else math.ceil(1.25 * total / pass_bytes)
+    window = T.StructType([T.StructField("n", T.IntegerType()), T.StructField("window", T.StringType()), T.StructField("item", item_type)])
+    found = tests.select(F.col("item").cast(item_type).alias("item"), F.coalesce("text", F.lit("")).alias("text")).mapInArrow(windows_of(size, to_arrow_schema(window)[2].type), window)
+    found = core.materialise(found.distinct())
+    total = found.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("window")), F.lit(0)).alias("bytes")).first()
+    # pairs of window and item are spread evenly, so one window of many items may be searched in several passes
+    passes = max(math.ceil(share) if (share := 1.25 * total[k] / limit) > 1.25 else 1 for k, limit in (("n", pass_windows), ("bytes", PASS_BYTES)))
     added = [T.StructField("n_words", T.LongType()), T.StructField("n_hit", T.LongType()), T.StructField("items", T.ArrayType(item_type)), T.StructField("spans", T.ArrayType(T.ArrayType(T.LongType()))), T.StructField("contaminated", T.BooleanType())]
     own = {f.name for f in added}
     schema = T.StructType([*(f for f in source.schema.fields if f.name not in own), *added])
     source = source.drop(*own)
     for k in range(passes):
-        some = tests if passes == 1 else tests.where(F.pmod(F.xxhash64("text"), F.lit(passes)) == k)
-        shared = spark.sparkContext.broadcast(tables([tuple(r) for r in some.collect()], size))
+        some = found if passes == 1 else found.where(F.pmod(F.xxhash64("window", "item"), F.lit(passes)) == k)
+        shared = spark.sparkContext.broadcast(tables([tuple(r) for r in some.collect()]))
         source = source.mapInArrow(_scan(shared, to_arrow_schema(schema)), schema)
     return source
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, size: int = 10, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", pass_bytes: int = PASS_BYTES) -> DataFrame:
+def contamination(docs: DataFrame, benchmark: DataFrame, size: int = 10, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", pass_windows: int = PASS_WINDOWS) -> DataFrame:
     """Words of each document that lie in an occurrence of ``size`` consecutive words of a test item.
 
     Letters A-Z are lowered; words are runs of digits, letters a-z and non-ASCII characters.
@@ -170,18 +193,19 @@ def contamination(docs: DataFrame, benchmark: DataFrame, size: int = 10, id_col:
     rows and items give the same result each; items without an id mark words but aren't listed.
     An empty test set leaves all clean.  Other columns are ignored.
 
-    A test set of up to ``pass_bytes`` is broadcast at once; a larger one is searched in as
-    many passes as it needs.  The texts are never shuffled.
+    Windows are made and made distinct by tasks.  Up to ``pass_windows`` pairs of a window and an item (and
+    PASS_BYTES of their text) are broadcast at once; more are searched in as many passes as they
+    need, so that the broadcast is bounded, whatever repeats in the test set.  The texts are never shuffled.
     """
     source = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    found = _searched(source, benchmark, size, item_col, item_text_col, pass_bytes)
+    found = _searched(source, benchmark, size, item_col, item_text_col, pass_windows)
     return found.select("doc_id", "n_words", "n_hit", "items", "spans", "contaminated")
 
 
-def flagged(docs: DataFrame, benchmark: DataFrame, size: int = 10, pass_bytes: int = PASS_BYTES) -> DataFrame:
+def flagged(docs: DataFrame, benchmark: DataFrame, size: int = 10, pass_windows: int = PASS_WINDOWS) -> DataFrame:
     """docs, with all its columns, and ``contaminated``; a column of that name is replaced."""
     columns = [c for c in docs.columns if c != "contaminated"]
-    return _searched(docs.select(*columns), benchmark, size, "item_id", "text", pass_bytes).select(*columns, "contaminated")
+    return _searched(docs.select(*columns), benchmark, size, "item_id", "text", pass_windows).select(*columns, "contaminated")
 
 
 def digest(found: DataFrame) -> DataFrame:

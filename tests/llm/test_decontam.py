@@ -29,8 +29,8 @@ def test_against_brute_force_in_one_pass_and_several(spark):
     rows = corpus(3, 25) + [(900, "w1 W2\nw3-w20;w21 w4"), (901, "x été ñ w7 w8 w9 w10")]
     items = spark.createDataFrame(ITEMS, "item_id long, text string").selectExpr("*", "1 AS doc_id", "'x' AS items")
     docs = frame(spark, rows)
-    for limit in (decontam.PASS_BYTES, 150):
-        got = decontam.digest(decontam.contamination(docs, items, 3, pass_bytes=limit))
+    for limit in (decontam.PASS_WINDOWS, 3):
+        got = decontam.digest(decontam.contamination(docs, items, 3, pass_windows=limit))
         assert sorted(map(tuple, got.collect()), key=key) == brute(rows, ITEMS, 3)
         kept = decontam.flagged(docs, items, 3, limit)
         assert kept.columns == [c for c in docs.columns if c != "contaminated"] + ["contaminated"]
@@ -49,3 +49,13 @@ def test_long_lane(spark):
     item = spark.createDataFrame([(1, " ".join(f"w{i}" for i in range(10)))], "item_id long, text string")
     got = decontam.contamination(frame(spark, [(1, text)]), item).first()
     assert (got["n_words"], got["n_hit"], got["spans"]) == (10010, 10, [[5000, 5010]])
+
+
+def test_a_pass_is_bounded_whatever_repeats(spark):
+    """One text of 400 items: its windows are broadcast once, its owners in passes of bounded size."""
+    rows = [(i, "x1 x2 x3 x4 x5") for i in range(400)]
+    items = spark.createDataFrame(rows, "item_id long, text string")
+    got = decontam.contamination(frame(spark, [(1, "a x1 x2 x3 x4 x5 b")]), items, 3, pass_windows=100).first()
+    assert got["items"] == sorted(range(400), key=str) and got["n_hit"] == 5
+    made = decontam.tables([(3, "x1 x2 x3", i) for i in range(400)])
+    assert len(made[0][0].ids) == 1 and len(made[0][1][0]) == 400
