@@ -1,8 +1,8 @@
 """Toxicity scores (operator 9).
 
-A linear classifier over character n-grams, whose binary features are scaled by naive Bayes
+A linear classifier over character n-grams, whose features log(1 + count) are scaled by naive Bayes
 log-count ratios before logistic regression learns their weights.  Features are hashed into
-a table of fixed size, so the model is small whatever the corpus.  Texts are scored whole.
+a table of fixed size, so the model is small whatever the corpus.  Texts are scored whole, a part of bounded size at a time.
 """
 
 from __future__ import annotations
@@ -12,6 +12,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -19,29 +20,37 @@ from . import core
 from .core import U64
 
 BITS = 19
-#: Bytes of the n-grams.
+#: Characters of the n-grams.
 ORDERS = (3, 5, 7)
-#: Most labelled rows that a fit uses; of more, those with the least hashes of their ids.
+#: Most labelled rows that a fit uses; of more, those with the least hashes.
 FIT_ROWS = 6_000
 #: Most n-grams that get a weight.
 MOST = 20_000
-
-
-def grams(buf: np.ndarray, orders: tuple[int, ...] = ORDERS, bits: int = BITS) -> np.ndarray:
-    """Hashed ids of all n-grams of a text's bytes, A-Z lowered, white space as one blank at either end."""
-    x = np.empty(len(buf) + 2, np.uint8)
-    x[0] = x[-1] = 0x20
-    np.take(core.LOWER, buf, out=x[1:-1])
-    x[core.SPACE[x]] = 0x20
-    x = x.astype(U64)
-    out, at, n = [], x, 1
-    for order in orders:
-        while n < order:
-            to = min(2 * n, order)
-            at = at[: -(to - n)] | (at[to - n :] << U64(8 * (to - n))) if len(at) > to - n else at[:0]
-            n = to
-        out.append((core.mix(at ^ U64(order << 56)) >> U64(64 - bits)).astype(np.int32))
-    return np.concatenate(out)
+#: Characters that grams works on at once.
+STEP = 1 << 17
+
+
+def grams(text: str, orders: tuple[int, ...] = ORDERS, bits: int = BITS) -> tuple[np.ndarray, np.ndarray]:
+    """Hashed ids of a text's character n-grams and their counts, in lower case, ASCII white space as one blank at either end."""
+    text = f" {text.lower()} "
+    ids, counts = np.zeros(0, np.int32), np.zeros(0, np.int64)
+    for first in range(0, len(text), STEP):
+        x = np.frombuffer(text[first : first + STEP + max(orders) - 1].encode("utf-32-le", "surrogatepass"), np.uint32).astype(U64)
+        x[(x >= U64(0x09)) & (x <= U64(0x0D))] = 0x20
+        at, n, got = core.mix(x + U64(1)), 1, []
+        for order in orders:
+            while n < order:
+                to = min(2 * n, order)
+                step = to - n
+                at = core.pair(at[:-step], at[step:]) if len(at) > step else at[:0]
+                n = to
+            got.append((core.mix(at[:STEP] ^ U64(order)) >> U64(64 - bits)).astype(np.int32))
+        own, times = np.unique(np.concatenate(got), return_counts=True)
+        if first:
+            own, at = np.unique(np.concatenate((ids, own)), return_inverse=True)
+            times = np.bincount(at, np.concatenate((counts, times))).astype(np.int64)
+        ids, counts = own, times
+    return ids, counts
 
 
 @dataclass
@@ -51,17 +60,16 @@ class Model:
     weights: np.ndarray
     bias: float
 
-    def score(self, buf: np.ndarray) -> float:
-        ids = grams(buf)
-        ids = np.unique(ids[self.weights[ids] != 0])
-        z = self.bias + float(self.weights[ids].sum(dtype=np.float64))
+    def score(self, text: str) -> float:
+        ids, counts = grams(text)
+        z = self.bias + float((self.weights[ids] * np.log1p(counts)).sum(dtype=np.float64))
         return float(1 / (1 + np.exp(-np.clip(z, -40, 40))))
 
 
-def fit(features: list[np.ndarray], labels: np.ndarray, chosen: np.ndarray, ratio: np.ndarray, bits: int = BITS, penalty: float = 1.0, rounds: int = 400) -> Model:
-    """Logistic regression on presence x log-count ratio of the chosen n-grams, by accelerated gradient descent.
+def fit(features: list, labels: np.ndarray, chosen: np.ndarray, ratio: np.ndarray, bits: int = BITS, penalty: float = 1.0, rounds: int = 400) -> Model:
+    """Logistic regression on log(1 + count) x log-count ratio of the chosen n-grams, by accelerated gradient descent.
 
-    Without both labels the score is the smoothed share of label 1.
+    features: ids and counts of each row's chosen n-grams.  Without both labels the score is the smoothed share of label 1.
     """
     y = np.asarray(labels, np.float64)
     zero = np.zeros(1 << bits, np.float32)
@@ -70,15 +78,17 @@ def fit(features: list[np.ndarray], labels: np.ndarray, chosen: np.ndarray, rati
         return Model(zero, float(np.log(share / (1 - share))))
     place = np.full(1 << bits, -1, np.int32)
     place[chosen] = np.arange(len(chosen))
-    own = [place[f] for f in features]
-    flat, row = np.concatenate(own), np.repeat(np.arange(len(y)), [len(f) for f in own])
-    value = ratio[flat]
+    flat, row = np.concatenate([place[f] for f, _ in features]), np.repeat(np.arange(len(y)), [len(f) for f, _ in features])
+    value = ratio[flat] * np.log1p(np.concatenate([k for _, k in features]))
     m = len(chosen)
+    # rows of the rarer label weigh more, by the root of how much rarer it is
+    rare = np.sqrt((len(y) - y.sum()) / y.sum())
+    weight = np.where(y == 1, max(rare, 1.0), max(1 / rare, 1.0))
     times = lambda w: np.bincount(row, weights=w[flat] * value, minlength=len(y)) + w[m]
     back = lambda e: np.r_[np.bincount(flat, weights=e[row] * value, minlength=m), e.sum()]
     x = np.ones(m + 1)
     for _ in range(12):  # the greatest eigenvalue bounds the step
-        x = back(times(x))
+        x = back(weight * times(x))
         top = np.linalg.norm(x)
         x /= top
     shrink = np.r_[np.full(m, penalty), 0.0]
@@ -87,7 +97,7 @@ def fit(features: list[np.ndarray], labels: np.ndarray, chosen: np.ndarray, rati
     w[m] = np.log(share / (1 - share))
     v, t = w.copy(), 1.0
     for _ in range(rounds):
-        e = 1 / (1 + np.exp(-np.clip(times(v), -40, 40))) - y
+        e = weight * (1 / (1 + np.exp(-np.clip(times(v), -40, 40))) - y)
         new = v - step * (back(e) + shrink * v)
         t2 = (1 + np.sqrt(1 + 4 * t * t)) / 2
         v, w, t = new + (t - 1) / t2 * (new - w), new, t2
@@ -99,9 +109,8 @@ def _count(batches):
     """Rows of either label with each n-gram, by task."""
     table = np.zeros((2, 1 << BITS), np.int32)
     for batch in batches:
-        buf, off = core.text_buffer(batch.column("text"))
         for k, y in enumerate(batch.column("y").to_pylist()):
-            table[y][np.unique(grams(buf[off[k] : off[k + 1]]))] += 1
+            table[y][grams(batch.column("text")[k].as_py())[0]] += 1
     ids = np.flatnonzero(table.any(axis=0))
     for i in range(0, len(ids), 50_000):
         c = ids[i : i + 50_000]
@@ -113,24 +122,23 @@ def _restrict(shared):
         keep = np.zeros(1 << BITS, bool)
         keep[shared.value] = True
         for batch in batches:
-            buf, off = core.text_buffer(batch.column("text"))
             out = []
-            for k in range(batch.num_rows):
-                ids = grams(buf[off[k] : off[k + 1]])
-                out.append(np.unique(ids[keep[ids]]).astype(np.int32).tobytes())
+            for x in batch.column("text"):
+                ids, counts = grams(x.as_py())
+                out.append(core.pack(ids[keep[ids]].astype(np.int32), counts[keep[ids]]))
             yield pa.RecordBatch.from_arrays([batch.column("y"), pa.array(out, pa.binary())], names=["y", "ids"])
 
     return run
 
 
 def learn(texts: DataFrame, rows: int = FIT_ROWS, smooth: float = 0.5) -> Model:
-    """Fits texts (key, text, y with y 0 or 1); of more than ``rows`` those with the least key hashes are used.
+    """Fits texts (key, text, y with y 0 or 1), one row a key; of more than ``rows`` those with the least key hashes are used.
 
     Counts and the choice of n-grams are aggregates over the sample; the driver gets at most
     MOST counts and the chosen n-grams of the sample's rows.
     """
     spark = texts.sparkSession
-    sample = core.materialise(texts)
+    sample = core.materialise(texts.orderBy(F.xxhash64("key"), "key").limit(rows))
     total = {r["y"]: r["n"] for r in sample.groupBy("y").agg(F.count("*").alias("n")).collect()}
     n1, n0 = total.get(1, 0), total.get(0, 0)
     counts = sample.select("text", "y").mapInArrow(_count, "gram int, p int, q int").groupBy("gram").agg(F.sum("p").alias("p"), F.sum("q").alias("q"))
@@ -145,9 +153,9 @@ def learn(texts: DataFrame, rows: int = FIT_ROWS, smooth: float = 0.5) -> Model:
         ratio = np.log((p + smooth) / (n1 + 2 * smooth) / ((q + smooth) / (n0 + 2 * smooth)))
     got = sample.select("text", "y").mapInArrow(_restrict(spark.sparkContext.broadcast(chosen)), "y int, ids binary").collect() if len(chosen) else []
     if not got:
-        got = [{"y": y, "ids": b""} for y, n in total.items() for _ in range(n)]
+        got = [{"y": y, "ids": core.pack(np.zeros(0, np.int32), np.zeros(0, np.int64))} for y, n in total.items() for _ in range(n)]
     got.sort(key=lambda r: (bytes(r["ids"]), r["y"]))  # the order of rows doesn't change the model
-    return fit([np.frombuffer(r["ids"], np.int32) for r in got], np.array([r["y"] for r in got]), chosen, ratio)
+    return fit([core.unpack(r["ids"], ["i4", "i8"]) for r in got], np.array([r["y"] for r in got]), chosen, ratio)
 
 
 def held_out(key):
@@ -155,19 +163,25 @@ def held_out(key):
 
 
 def train(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
-    """Model of the labelled documents that aren't held out; of several labels of an id the greatest counts."""
+    """Model of the labelled documents that aren't held out.
+
+    Of several labels of an id the greatest counts, of several texts the one of the least hash, so
+    that at most ``rows`` rows are fitted whatever repeats.
+    """
     y = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull() & ~held_out(F.col(id_col))).groupBy(F.col(id_col).alias("key")).agg((F.max(label_col) > 0).cast("int").alias("y"))
-    sample = y.orderBy(F.xxhash64("key"), "key").limit(rows)  # its size is bounded: it is broadcast
+    # ids without a document take no place; both tables' ids are joined before the bound is applied
+    known = docs.select(F.col(id_col).alias("key")).where("key is not null")
+    sample = known.join(y, "key").groupBy("key").agg(F.max("y").alias("y")).orderBy(F.xxhash64("key"), "key").limit(rows)  # its size is bounded: it is broadcast
     text = docs.select(F.col(id_col).alias("key"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    return learn(text.join(F.broadcast(sample), "key"), rows)
+    chosen = text.join(F.broadcast(core.materialise(sample)), "key").withColumn("nth", F.row_number().over(W.partitionBy("key").orderBy(F.xxhash64("text"), "text")))
+    return learn(chosen.where("nth = 1").select("key", "text", "y"), rows)
 
 
 def _score(shared, schema: pa.Schema):
     def run(batches):
         model = shared.value
         for batch in batches:
-            buf, off = core.text_buffer(batch.column("text"))
-            score = [model.score(buf[off[k] : off[k + 1]]) for k in range(batch.num_rows)]
+            score = [model.score(x.as_py() or "") for x in batch.column("text")]
             yield pa.RecordBatch.from_arrays([pa.array(score, pa.float64()) if f.name == "score" else batch.column(f.name).cast(f.type) for f in schema], schema=schema)
 
     return run
