@@ -17,7 +17,7 @@ def connected(edges: DataFrame, limit: int = 60) -> DataFrame:
     """
     e = edges.where(F.col("u") != F.col("v")).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
     e = core.materialise(e)
-    mark = None
+    mark, at = None, len(core.made())
     for _ in range(limit):
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("m", "u").alias("m"))
@@ -26,6 +26,7 @@ def connected(edges: DataFrame, limit: int = 60) -> DataFrame:
         joined = large.join(least, "u")
         small = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).where(F.col("u") != F.col("v")).distinct()
         e = core.materialise(small)
+        core.release(at - 1, at)  # the table of the round before has been read for the last time
         now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if mark == tuple(now):
             break

@@ -48,9 +48,11 @@ def partitions(spark: SparkSession) -> int:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; a local one is made only where none is configured."""
+    """The folder all executors share; where none is configured, a local one is made, in local mode only."""
     got = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not got:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         got = tempfile.mkdtemp(prefix="folioforge-")
         atexit.register(shutil.rmtree, got, True)
         spark.conf.set("spark.checkpoint.dir", got)
@@ -62,16 +64,28 @@ def materialise(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/ff-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    worker_cache().setdefault("made", []).append((spark, path))
+    made().append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 
 
+def made() -> list:
+    """(session, path) of the tables that materialise wrote and nothing has deleted yet."""
+    return worker_cache().setdefault("made", [])
+
+
+def release(first: int, last: int) -> None:
+    """Deletes the tables made() [first:last], which nothing will read again."""
+    some = made()[first:last]
+    del made()[first:last]
+    for spark, path in some:
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def _clean() -> None:
-    for spark, path in worker_cache().get("made", []):
+    while made():
         try:
-            jvm = spark.sparkContext._jvm
-            at = jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+            release(0, 1)
         except Exception:  # noqa: BLE001 - the session may be gone; files of a shared folder are its owner's then
             pass
 
