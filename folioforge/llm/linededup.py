@@ -4,12 +4,15 @@ Two lines within ``threshold`` edits agree in one of ``threshold`` + 1 segments
 edit spoils one segment at most.  Every distinct line indexes its segments by (its length,
 segment number, content) and probes, for each length it may pair with, only the substrings
 whose start the edits left and right of the segment allow.  Candidates are verified by
-banded bit-parallel edit distance on their UTF-8 bytes, a lane for each pair.  Lines too short
-for edits are grouped by equality.
+banded bit-parallel edit distance on their UTF-8 bytes, a lane for each pair.  A bucket's lines are
+compared with one of them; where that leaves them apart, the bucket is split by further segments.
+Lines too short for edits are grouped by equality.
 """
 
 from __future__ import annotations
 
+import functools
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -126,13 +129,12 @@ def _occurrences(least: int, with_text: bool):
     return run
 
 
-def entries(buf: np.ndarray, s: np.ndarray, e: np.ndarray, h: np.ndarray, threshold: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(key, line, role) of distinct lines; role 1: a segment of the line itself, 0: a probe only."""
-    keys, nodes, roles = [], [], []
+def segments(s: np.ndarray, e: np.ndarray, threshold: int):
+    """(row, start, length, key's size and number, role) of all segments that the strings [s, e) index or probe."""
     k = threshold
     length = e - s
     for delta in range(k + 1):
-        size = length - delta  # of the indexed line
+        size = length - delta  # of the indexed string
         base, extra = size // (k + 1), size % (k + 1)
         for i in range(k + 1):  # the last segments are longer by one where it doesn't divide
             long_before = np.maximum(0, i - (k + 1 - extra))
@@ -143,14 +145,87 @@ def entries(buf: np.ndarray, s: np.ndarray, e: np.ndarray, h: np.ndarray, thresh
             for shift in range(int((hi - lo).max()) + 1 if len(lo) else 0):
                 start = lo + shift
                 ok = (start <= hi) & (start >= 0) & (start + seg <= length) & (seg > 0)
-                a = (s + start)[ok]
-                x = core.span_ids(buf, a, a + seg[ok])
-                keys.append(core.pair(x, (size[ok].astype(U64) << U64(8)) + U64(i)))
-                nodes.append(h[ok])
-                roles.append(((start == at) & (delta == 0))[ok].astype(np.uint8))
+                yield np.flatnonzero(ok), (s + start)[ok], seg[ok], (size[ok].astype(U64) << U64(8)) + U64(i), ((start == at) & (delta == 0))[ok].astype(np.uint8)
+
+
+def entries(buf: np.ndarray, s: np.ndarray, e: np.ndarray, h: np.ndarray, threshold: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(key, line, role) of distinct lines; role 1: a segment of the line itself, 0: a probe only."""
+    keys, nodes, roles = [], [], []
+    for row, at, seg, which, role in segments(s, e, threshold):
+        keys.append(core.pair(core.span_ids(buf, at, at + seg), which))
+        nodes.append(h[row])
+        roles.append(role)
     return np.concatenate(keys), np.concatenate(nodes), np.concatenate(roles)
 
 
+def _side_by_side(col) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray]:
+    """A binary column as one buffer, with starts and ends."""
+    buf, off = core.text_buffer(col)
+    own = buf[off[0] : off[-1]]
+    return own.tobytes(), own, off[:-1] - off[0], off[1:] - off[0]
+
+
+def _rests(threshold: int):
+    """(band, node, line) -> (band, node, rest): the line without the segment that brought it into the bucket, for every place it has there."""
+
+    def run(batches):
+        for batch in batches:
+            raw, buf, s, e = _side_by_side(batch.column("line"))
+            band = batch.column("band").to_numpy(zero_copy_only=False)
+            rows, rest = [], []
+            for row, at, seg, which, _ in segments(s, e, threshold):
+                hit = core.pair(core.span_ids(buf, at, at + seg), which).view(np.int64) == band[row]
+                for r, a, n in zip(row[hit].tolist(), at[hit].tolist(), seg[hit].tolist()):
+                    rows.append(r)
+                    rest.append(raw[s[r] : a] + raw[a + n : e[r]])
+            take = pa.array(rows, pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column("band").take(take), batch.column("node").take(take), pa.array(rest, pa.binary())], names=["band", "node", "rest"])
+
+    return run
+
+
+def _refine(threshold: int):
+    """Entries of a bucket's members by what is left of them: their segments again, or where little is left what deletions make of it."""
+    import xxhash
+
+    short = 3 * (threshold + 1)
+
+    def run(batches):
+        for batch in batches:
+            raw, buf, s, e = _side_by_side(batch.column("rest"))
+            band = batch.column("band").to_numpy(zero_copy_only=False)
+            rows, key, roles, kinds, rest = [], [], [], [], []
+            big = np.flatnonzero(e - s > short)
+            for row, at, seg, which, role in segments(s[big], e[big], threshold):
+                x = core.pair(band[big[row]].view(U64), core.pair(core.span_ids(buf, at, at + seg), which)).view(np.int64)
+                for r, a, n, k, p in zip(big[row].tolist(), at.tolist(), seg.tolist(), x.tolist(), role.tolist()):
+                    rows.append(r)
+                    key.append(k)
+                    roles.append(p)
+                    kinds.append(0)
+                    rest.append(raw[s[r] : a] + raw[a + n : e[r]])
+            for r in np.flatnonzero(e - s <= short + threshold).tolist():
+                own = raw[s[r] : e[r]]
+                made = {own}
+                for _ in range(threshold):
+                    made |= {x[:i] + x[i + 1 :] for x in made for i in range(len(x))}
+                for x in made:
+                    rows.append(r)
+                    key.append(xxhash.xxh64_intdigest(x, int(band[r]) & (1 << 64) - 1) - (1 << 63))
+                    roles.append(1)
+                    kinds.append(1)
+                    rest.append(b"")
+            for i in range(0, max(1, len(rows)), 50_000):
+                c = slice(i, i + 50_000)
+                yield pa.RecordBatch.from_arrays([pa.array(key[c], pa.int64()), batch.column("node").take(pa.array(rows[c], pa.int64())), pa.array(roles[c], pa.int32()), pa.array(kinds[c], pa.int32()), pa.array(rest[c], pa.binary())], names=["band", "node", "role", "kind", "rest"])
+
+    return run
+
+
+#: Members up to which a bucket's pairs are simply all compared (at most 3.5 pairs a member).
+SMALL = 8
+
+
 _BUCKET = "band long, u long, v long, ru int, rv int"
 
 
@@ -278,16 +353,49 @@ def near_lines(docs: DataFrame, threshold: int = 2, least: int = 40) -> tuple[Da
     own = line_texts(lines, wanted)
     tried = core.materialise(stars.where(indexed).select(*pair).distinct())
     first = core.materialise(confirmed(tried, own, threshold))
-    label = components.connected(first)
     member = stars.select("band", F.col("u").alias("node"), F.col("ru").alias("role")).unionByName(stars.select("band", F.col("v").alias("node"), F.col("rv").alias("role"))).groupBy("band", "node").agg(F.max("role").alias("role"))
-    member = member.join(label, "node", "left").select("band", "node", "role", F.coalesce("component", "node").alias("component"))
-    mixed = member.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.max("role").alias("some"), F.count("*").alias("n")).where("lo <> hi and some = 1 and n > 2").select("band")
-    open_ = core.materialise(member.join(mixed, "band"))
-    other = open_.select("band", F.col("node").alias("node2"), F.col("role").alias("role2"), F.col("component").alias("component2"))
-    across = open_.join(other, "band").where((F.col("node") > F.col("node2")) & (F.col("component") != F.col("component2")) & (F.col("role") + F.col("role2") > 0))
-    across = core.materialise(across.select(F.col("node").alias("u"), F.col("node2").alias("v")).distinct().join(tried, ["u", "v"], "left_anti"))
-    second = core.materialise(confirmed(across, own, threshold))
-    return first.unionByName(second), occurrences
+    links = [first, *_across(member.withColumns({"kind": F.lit(0), "rest": F.lit(None).cast("binary")}), first, tried, own, threshold)]
+    return functools.reduce(DataFrame.unionByName, links), occurrences
+
+
+def _across(member: DataFrame, first: DataFrame, tried: DataFrame, text: DataFrame, threshold: int):
+    """Links between members of a bucket that its pivot did not join, as tables.
+
+    Buckets of few members are compared pair by pair.  In larger ones two lines within the threshold also
+    agree in a segment of what is left of them beside the shared one: buckets are split by
+    these segments, again with pivots, until every bucket is of one component or small; so what
+    a frequent segment costs is in proportion to its lines.  Where at most 3 (threshold + 1) bytes
+    are left, two lines share what deletions make of them.
+    """
+    links, rests = [first], False
+    across = (F.col("component") != F.col("component2")) & (F.col("role") + F.col("role2") > 0)
+    new = lambda pairs: core.materialise(pairs.select(F.greatest("node", "node2").alias("u"), F.least("node", "node2").alias("v")).distinct().join(tried, ["u", "v"], "left_anti"))
+    size = F.count("*").alias("n")
+    mixed = [F.min("component").alias("lo"), F.max("component").alias("hi"), F.max("role").alias("some"), size]
+    while True:
+        label = components.connected(functools.reduce(DataFrame.unionByName, links))
+        named = member.join(label, "node", "left").withColumn("component", F.coalesce("component", "node")).drop("n")
+        open_ = core.materialise(named.join(named.groupBy("band").agg(*mixed).where("lo <> hi and some = 1 and n > 2").select("band", "n"), "band"))
+        near = open_.where((F.col("n") <= SMALL) | (F.col("kind") == 1))
+        other = near.select("band", F.col("node").alias("node2"), F.col("role").alias("role2"), F.col("component").alias("component2"))
+        pairs = new(near.join(other, "band").where((F.col("node") > F.col("node2")) & across))
+        yield core.materialise(confirmed(pairs, text, threshold))
+        large = open_.where((F.col("n") > SMALL) & (F.col("kind") == 0))
+        if large.isEmpty():
+            return
+        if not rests:
+            lines = text.withColumnRenamed("h", "node")
+            large = large.select("band", "node").join(lines, "node").select("band", "node", "line").mapInArrow(_rests(threshold), "band long, node long, rest binary")
+            rests = True
+        sub = large.select("band", "node", "rest").mapInArrow(_refine(threshold), "band long, node long, role int, kind int, rest binary").distinct()
+        sub = sub.join(label, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        sub = core.materialise(sub.join(sub.groupBy("band").agg(*mixed).where("lo <> hi and some = 1").select("band"), "band"))
+        pivot = sub.groupBy("band").agg(F.min(F.struct((1 - F.col("role")).alias("r"), "node", "component")).alias("p")).select("band", F.col("p.node").alias("node2"), (1 - F.col("p.r")).alias("role2"), F.col("p.component").alias("component2"))
+        pairs = new(sub.join(pivot, "band").where(across))
+        links.append(core.materialise(confirmed(pairs, text, threshold)))
+        yield links[-1]
+        tried = tried.unionByName(pairs)
+        member = sub.drop("component")
 
 
 def removals(docs: DataFrame, threshold: int = 2, least: int = 40) -> DataFrame:

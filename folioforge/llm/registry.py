@@ -94,8 +94,9 @@ SELECT d.doc_id, (len(x) // 2)::BIGINT AS n_bytes, coalesce(n, 0)::BIGINT AS n_r
 """,
     "op2_line_dedup": """
 WITH RECURSIVE line AS (SELECT doc_id, p - 1 AS n, l[p] AS x FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents), unnest(range(1, len(l) + 1)) AS t(p)),
-long AS (SELECT * FROM line WHERE strlen(x) >= 40),
-one AS (SELECT x, min((doc_id, n)) AS head, count(*) AS times, strlen(x) AS b FROM long GROUP BY x),
+own AS (SELECT * FROM line WHERE strlen(x) >= 40 OR regexp_matches(x, '[^\\x20\\x09-\\x0D]')),
+each AS (SELECT x, min((doc_id, n)) AS head FROM own GROUP BY x),
+one AS (SELECT x, head FROM each WHERE strlen(x) >= 40),
 seg AS (SELECT x, head, length(x) AS l, i, CASE i WHEN 0 THEN x[:length(x) // 3] WHEN 1 THEN x[length(x) // 3 + 1:2 * (length(x) // 3)] ELSE x[2 * (length(x) // 3) + 1:] END AS s FROM one, unnest([0, 1, 2]) AS t(i)),
 probe AS (SELECT x AS y, head AS head2, l, i, substring(x, i * (l // 3) + 1 + sh, CASE i WHEN 2 THEN l - 2 * (l // 3) ELSE l // 3 END) AS s FROM one, unnest([0, 1, 2]) AS t(i), unnest(range(-2, 3)) AS u(sh), unnest(range(length(x) - 2, length(x) + 3)) AS w(l) WHERE i * (l // 3) + 1 + sh > 0),
 pair AS (SELECT DISTINCT x, head, y, head2 FROM seg JOIN probe USING (l, i, s) WHERE x <> y),
@@ -103,7 +104,7 @@ link AS MATERIALIZED (SELECT head AS u, head2 AS v FROM pair WHERE abs(strlen(x)
 edge AS MATERIALIZED (SELECT u, v FROM link UNION SELECT v, u FROM link),
 reach AS (SELECT head AS u, head AS v FROM one WHERE head IN (SELECT u FROM edge) UNION SELECT r.u, e.v FROM reach r JOIN edge e ON r.v = e.u),
 class AS (SELECT u, min(v) AS first FROM reach GROUP BY u),
-gone AS (SELECT doc_id, n, coalesce(first, head) AS first FROM long JOIN one USING (x) LEFT JOIN class ON head = u WHERE (doc_id, n) <> coalesce(first, head)),
+gone AS (SELECT doc_id, n, coalesce(first, head) AS first FROM own JOIN each USING (x) LEFT JOIN class ON head = u WHERE (doc_id, n) <> coalesce(first, head)),
 said AS (SELECT doc_id, count(*) AS k, string_agg(n::VARCHAR || '>' || first[1]::VARCHAR || ':' || first[2]::VARCHAR, ',' ORDER BY n) AS t FROM gone GROUP BY doc_id)
 SELECT d.doc_id, (strlen(coalesce(text, '')) - strlen(replace(coalesce(text, ''), chr(10), '')) + 1)::BIGINT AS n_lines, coalesce(k, 0)::BIGINT AS n_removed, coalesce(t, '') AS removed
 FROM documents d LEFT JOIN said USING (doc_id)

@@ -42,9 +42,11 @@ def test_banded_distance(k):
 
 
 def brute(rows, k, least):
-    lines = [(d is None, d, t or "", n, x) for d, t in rows for n, x in enumerate((t or "").split("\n")) if len(x.encode()) >= least]
-    texts = sorted({x for *_, x in lines})
-    up = {x: x for x in texts}
+    """Equal lines are a class if they are long or not blank; long ones within k edits too."""
+    counts = lambda x: len(x.encode()) >= least or x.strip(" \t\n\x0b\x0c\r") != ""
+    lines = [(d is None, d, t or "", n, x) for d, t in rows for n, x in enumerate((t or "").split("\n")) if counts(x)]
+    texts = sorted({x for *_, x in lines if len(x.encode()) >= least})
+    up = {x: x for *_, x in lines}
 
     def root(x):
         while up[x] != x:
@@ -64,7 +66,7 @@ def brute(rows, k, least):
     for d, t in rows:
         gone = []
         for n, x in enumerate((t or "").split("\n")):
-            if len(x.encode()) >= least:
+            if counts(x):
                 f = first[root(x)]
                 if f != (d is None, d or 0, n):
                     gone.append((n, f))
@@ -113,21 +115,48 @@ def test_short_lines_are_compared_for_equality(spark):
     }
 
 
-def test_query_has_short_lines_too(spark):
-    """The registered SQL has the lines of 40 bytes or more; equal shorter ones come on top."""
+def test_query_equals_its_sql(spark):
     folder = f"{DATA}/sf0.01"
     con = duckdb.connect()
     con.execute(f"CREATE VIEW documents AS SELECT * FROM '{folder}/documents.parquet'")
-    want = {r[0]: set(r[3].split(",")) - {""} for r in con.execute("SELECT doc_id, n_lines, n_removed, removed FROM (" + registry.SQL["op2_line_dedup"] + ")").fetchall()}
-    short = con.execute("""
-WITH line AS (SELECT doc_id, unnest(l) AS x, unnest(range(0, len(l))) AS n FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents)),
-short AS (SELECT *, min((doc_id, n)) OVER (PARTITION BY x) AS f FROM line WHERE strlen(x) < 40 AND regexp_matches(x, '[^\\x20\\x09-\\x0D]'))
-SELECT doc_id, n, f[1], f[2] FROM short WHERE (doc_id, n) <> f""").fetchall()
-    assert len(short) > 100
-    for d, n, a, b in short:
-        want[d].add(f"{n}>{a}:{b}")
-    got = {r["doc_id"]: (set(r["removed"].split(",")) - {""}, r["n_removed"]) for r in registry.op2_line_dedup(spark, folder).collect()}
-    assert {d: (x, len(x)) for d, x in want.items()} == got
+    want = con.execute("SELECT doc_id, n_lines, n_removed, removed FROM (" + registry.SQL["op2_line_dedup"] + ")").fetchall()
+    assert sorted(want) == sorted(map(tuple, registry.op2_line_dedup(spark, folder).collect()))
+
+
+def hot_lines(n, seed=1):
+    """Lines that all begin alike and end apart, some with a copy by one edit and some alike at both ends."""
+    r = random.Random(seed)
+    lines = []
+    for i in range(n):
+        own = "".join(r.choice("abcdefghij") for _ in range(26))
+        lines.append("2024-01-01T00:00:00 host app " + own)
+        if i % 10 == 0:
+            lines.append(lines[-1][:40] + "#" + lines[-1][41:])
+        if i % 10 == 1:
+            lines.append("2024-01-01T00:00:00 host app " + own[:14] + " and the same end of the line")
+    return lines
+
+
+@pytest.mark.parametrize("k", [1, 2])
+def test_hot_segments_against_brute_force(spark, k):
+    rows = [(i, x) for i, x in enumerate(hot_lines(60))]
+    r = random.Random(9)
+    rows += [(1000 + i, "prefix of a line " + "".join(r.choice("ab") for _ in range(r.randint(1, 9)))) for i in range(60)]
+    got = linededup.dedup_lines(frame(spark, rows).repartition(5), k, 12)
+    assert sorted(map(tuple, got.collect()), key=key) == brute(rows, k, 12)
+
+
+def test_hot_segments_cost_in_proportion(spark, monkeypatch):
+    tried = []
+    real = linededup.confirmed
+    monkeypatch.setattr(linededup, "confirmed", lambda pairs, *a: tried.append(pairs.count()) or real(pairs, *a))
+    totals = []
+    for n in (2500, 10_000):
+        tried.clear()
+        got = linededup.dedup_lines(frame(spark, list(enumerate(hot_lines(n)))), with_text=False)
+        assert got.where("n_removed > 0").count() == n // 10
+        totals.append(sum(tried))
+    assert totals[1] < 6 * totals[0] and totals[1] < 120_000, totals
 
 
 def test_pipeline_drops_copies_of_short_lines(spark):
