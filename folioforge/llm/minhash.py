@@ -7,9 +7,10 @@ are cut into bands; documents with an equal band are candidates; candidates are
 confirmed by exact Jaccard similarity of the full sets.
 
 Documents of equal sets are one class from the start.  Within a band's bucket the members are
-compared with one pivot.  Only where members stay in different components afterwards are the
-remaining pairs across components compared, so that no link between components is lost
-and a group of thousands of copies costs as many comparisons as it has members.
+compared with one pivot.  Where members stay in different components afterwards, a small
+bucket's remaining pairs across components are compared.  In a larger one only those are that share one of
+the rarest shingles (prefix filter: two sets of this similarity always do), so that documents which
+have a long notice in common, and little else, cost in proportion to their number.
 """
 
 from __future__ import annotations
@@ -247,6 +248,67 @@ def confirmed(pairs: DataFrame, docs: DataFrame, reps: DataFrame, size: int, per
     return rows.mapInArrow(_confirm(percent), "u long, v long").distinct()
 
 
+#: Members up to which a bucket's pairs are simply all compared (at most 3.5 pairs a member).
+SMALL = 8
+#: Cells of the sketch of shingle frequencies.
+CELLS = 1 << 16
+
+
+def _cell(items: np.ndarray) -> np.ndarray:
+    return (core.mix(items) >> U64(48)).astype(np.int64)
+
+
+def _counts(size: int):
+    """Documents' shingles by cell, a row of a task and cell."""
+
+    def run(batches):
+        total = np.zeros(CELLS, np.int64)
+        for batch in batches:
+            buf, off = core.text_buffer(batch.column("text"))
+            for i, j in core.runs(off):
+                for x in shingle_sets(buf, off[i : j + 1], size):
+                    total += np.bincount(_cell(x), minlength=CELLS)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], names=["cell", "times"])
+
+    return run
+
+
+def _prefixes(shared, size: int, percent: int):
+    """(token, node, n, at): of each set its first n - ceil(percent n) + 1 shingles in order of rarity."""
+
+    def run(batches):
+        order = shared.value
+        for batch in batches:
+            buf, off = core.text_buffer(batch.column("text"))
+            node = batch.column("node").to_numpy(zero_copy_only=False)
+            for i, j in core.runs(off):
+                tokens, nodes, sizes, places = [], [], [], []
+                for k, x in enumerate(shingle_sets(buf, off[i : j + 1], size)):
+                    m = len(x) - -(-percent * len(x) // 100) + 1
+                    first = np.lexsort((x, order[_cell(x)]))[:m]
+                    tokens.append(x[first])
+                    nodes.append(np.full(len(first), node[i + k]))
+                    sizes.append(np.full(len(first), len(x)))
+                    places.append(np.arange(len(first)))
+                t, v, n, at = (np.concatenate(c) for c in (tokens, nodes, sizes, places))
+                yield pa.RecordBatch.from_arrays([pa.array(t.view(np.int64)), pa.array(v), pa.array(n), pa.array(at)], names=["band", "node", "n", "at"])
+
+    return run
+
+
+def _split(nodes: DataFrame, docs: DataFrame, reps: DataFrame, size: int, percent: int) -> DataFrame:
+    """(band, node, n, at) of the rarest shingles of the nodes' sets; ``band`` is the shingle."""
+    spark = docs.sparkSession
+    own = nodes.select("node").distinct().join(reps.withColumnRenamed("doc_id", "node"), "node")
+    texts = core.materialise(docs.join(own.select(F.col("node").alias("doc_id"), "k1"), ["doc_id", "k1"]).select(F.col("doc_id").alias("node"), "text").dropDuplicates(["node"]))
+    cells = texts.select("text").mapInArrow(_counts(size), "cell int, times long").groupBy("cell").agg(F.sum("times").alias("times")).collect()  # CELLS rows at most
+    order = np.zeros(CELLS, np.int64)
+    for r in cells:
+        order[r["cell"]] = r["times"]
+    return texts.mapInArrow(_prefixes(spark.sparkContext.broadcast(order), size, percent), "band long, node long, n long, at long")
+
+
 def near_duplicates(docs: DataFrame, size: int = 2, percent: int = 80, n_bands: int = BANDS, rows: int = ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Groups of documents linked by shingle similarity of at least ``percent`` per cent.
 
@@ -272,18 +334,35 @@ def near_duplicates(docs: DataFrame, size: int = 2, percent: int = 80, n_bands:
     fit = 100 * F.least("n_u", "n_v") >= percent * F.greatest("n_u", "n_v")
     reps = classes.select(F.col("node").alias("doc_id"), "k1")
     first = core.materialise(confirmed(stars.where(fit).select("u", "v").distinct(), docs, reps, size, percent))
-    label = components.connected(first)
-    found = first
     # buckets whose members are in different components by now
     member = stars.select("band", F.col("u").alias("node"), F.col("n_u").alias("n")).unionByName(stars.select("band", F.col("v").alias("node"), F.col("n_v").alias("n"))).distinct()
-    member = member.join(label, "node", "left").select("band", "node", "n", F.coalesce("component", "node").alias("component"))
-    mixed = member.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("band")
-    open_ = core.materialise(member.join(mixed, "band"))
-    other = open_.select("band", F.col("node").alias("node2"), F.col("n").alias("n2"), F.col("component").alias("component2"))
-    across = open_.join(other, "band").where((F.col("node") > F.col("node2")) & (F.col("component") != F.col("component2")) & (100 * F.least("n", "n2") >= percent * F.greatest("n", "n2")))
-    across = across.select(F.col("node").alias("u"), F.col("node2").alias("v")).distinct().join(stars.where(fit).select("u", "v").distinct(), ["u", "v"], "left_anti")
-    second = core.materialise(confirmed(core.materialise(across), docs, reps, size, percent))
-    links = first.unionByName(second)
+    tried = stars.where(fit).select("u", "v").distinct()
+    confirm = lambda pairs: core.materialise(confirmed(pairs, docs, reps, size, percent))
+
+    def open_of(member: DataFrame, links: DataFrame) -> DataFrame:
+        named = member.join(components.connected(links), "node", "left").withColumn("component", F.coalesce("component", "node"))
+        some = named.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("members"), F.min("node").alias("node2")).where("lo <> hi")
+        return core.materialise(named.join(some.select("band", "members", "node2"), "band"))
+
+    def across(left: DataFrame, right: DataFrame) -> DataFrame:
+        """Pairs of different components in a bucket whose sizes, and shingles left beside the shared one, suffice."""
+        other = right.select("band", F.col("node").alias("node2"), F.col("n").alias("n2"), F.col("component").alias("component2"), *([F.col("at").alias("at2")] if "at" in right.columns else []))
+        pairs = left.drop("node2").join(other, "band").where((F.col("node") != F.col("node2")) & (F.col("component") != F.col("component2")) & (100 * F.least("n", "n2") >= percent * F.greatest("n", "n2")))
+        if "at" in left.columns:
+            pairs = pairs.where(F.least(F.col("n") - F.col("at"), F.col("n2") - F.col("at2")) * (100 + percent) >= percent * (F.col("n") + F.col("n2")))
+        return core.materialise(pairs.select(F.greatest("node", "node2").alias("u"), F.least("node", "node2").alias("v")).distinct().join(tried, ["u", "v"], "left_anti"))
+
+    open_ = open_of(member, first)
+    few = open_.where(F.col("members") <= SMALL)
+    links = first.unionByName(confirm(across(few, few)))
+    large = open_.where(F.col("members") > SMALL)
+    if not large.isEmpty():
+        parts_of = core.materialise(_split(large, docs, reps, size, percent))
+        # pivots first, then what they leave apart
+        open_ = open_of(parts_of, links)
+        links = links.unionByName(confirm(across(open_, open_.where(F.col("node") == F.col("node2")))))
+        open_ = open_of(parts_of, links)
+        links = links.unionByName(confirm(across(open_, open_)))
     # rows of one id with different texts are one node, though of several classes
     twice = named.groupBy("doc_id").agg(F.min("h0").alias("lo"), F.max("h0").alias("hi")).where("lo <> hi").select("doc_id")
     same = named.join(twice, "doc_id").join(classes.select("h0", "h1", "node"), ["h0", "h1"]).select(F.col("doc_id").alias("u"), F.col("node").alias("v"))

@@ -47,6 +47,35 @@ def test_groups_and_edge_cases(spark):
     assert answer(minhash.near_duplicates(frame(spark, rows).repartition(5))) == brute(rows)
 
 
+def noticed(n, seed=5):
+    """Documents with one long notice in common and an own part each; some have a near copy."""
+    rnd = random.Random(seed)
+    notice = " ".join(f"n{rnd.randrange(10**6)}" for _ in range(130))
+    rows = []
+    for i in range(n):
+        own = [f"w{rnd.randrange(10**6)}" for _ in range(70)]
+        rows.append((10 * i, notice + " " + " ".join(own)))
+        if i % 10 == 0:
+            own[35] = "changed"
+            rows.append((10 * i + 1, notice + " " + " ".join(own)))
+    return rows
+
+
+def test_a_common_notice_costs_in_proportion(spark, monkeypatch):
+    tried = []
+    real = minhash.confirmed
+    monkeypatch.setattr(minhash, "confirmed", lambda pairs, *a: tried.append(pairs.count()) or real(pairs, *a))
+    rows = noticed(150)
+    assert answer(minhash.near_duplicates(frame(spark, rows))) == brute(rows)
+    totals = []
+    for n in (500, 2000):
+        tried.clear()
+        got = minhash.near_duplicates(frame(spark, noticed(n)))
+        assert got.where("not kept").count() == n // 10
+        totals.append(sum(tried))
+    assert totals[1] < 6 * totals[0], totals
+
+
 def test_empty_table(spark):
     assert minhash.near_duplicates(frame(spark, [])).count() == 0
 
