@@ -47,6 +47,16 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+#: Bytes of text whose entries one part of an exchange gathers in memory.
+PART_BYTES = 128 << 20
+
+
+def parts_for(docs: DataFrame) -> int:
+    """Parts of an exchange of docs' entries: the shuffle partitions, and more where a part would get the entries of over PART_BYTES of text."""
+    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return max(partitions(docs.sparkSession), -(-total // PART_BYTES))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share; where none is configured, a local one is made, in local mode only."""
     got = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
@@ -272,15 +282,15 @@ def part_of(key: np.ndarray, parts: int) -> np.ndarray:
     return ((key >> U64(33)) % U64(parts)).astype(np.int32)
 
 
-def by_part(key: np.ndarray, columns: list[np.ndarray], parts: int) -> Iterator[tuple[int, bytes]]:
-    """One packed row for each part that gets any of these entries; the key travels first."""
+def by_part(key: np.ndarray, columns: list[np.ndarray], parts: int, with_key: bool = True) -> Iterator[tuple[int, bytes]]:
+    """One packed row for each part that gets any of these entries; the key travels first, or not at all."""
     if not len(key):
         return
     p = part_of(key, parts)
     order = np.argsort(p, kind="stable")
     p = p[order]
     cut = np.flatnonzero(np.diff(p)) + 1
-    columns = [c[order] for c in (key, *columns)]
+    columns = [c[order] for c in ((key, *columns) if with_key else columns)]
     for i, j in zip(np.r_[0, cut], np.r_[cut, len(p)]):
         yield int(p[i]), pack(*(c[i:j] for c in columns))
 
@@ -298,6 +308,13 @@ def groups(sorted_key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(new), np.cumsum(new) - 1
 
 
+def groups2(first: np.ndarray, second: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """As groups, for elements sorted by two keys."""
+    new = np.ones(len(first), bool)
+    new[1:] = (first[1:] != first[:-1]) | (second[1:] != second[:-1])
+    return np.flatnonzero(new), np.cumsum(new) - 1
+
+
 def rows_of(columns: dict[str, tuple[pa.DataType, list]], chunk: int = 2000) -> Iterator[pa.RecordBatch]:
     names = list(columns)
     n = len(columns[names[0]][1])

@@ -1,6 +1,6 @@
 """Substring dedup over words, by level-wise doubling (operator 7).
 
-Windows repeated at one length alone are extended to twice that length, until no candidates
+Windows repeated at one length alone are extended to twice that length (9, 18, 35 words), until no candidates
 survive; see :mod:`repeats` for the levels and the sampling of positions.
 """
 

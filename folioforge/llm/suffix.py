@@ -1,9 +1,9 @@
 """Suffix-array dedup over bytes, by bucket-pointer refinement (operator 10).
 
-The bucket of a position starts as its q-gram and is refined with the bucket identifiers of
+The bucket of a position starts as its q-gram (50 bytes) and is refined with the bucket identifiers of
 later offsets: identifiers for h bytes at p and p + h give those for 2 h bytes at p, and each
-round reuses the last one's (25, 50, 100, 200 bytes).  Sorting on them orders equal
-strings together; :mod:`repeats` says which positions take part.
+round reuses the last one's (100, then 200 bytes).  Distributed tables of buckets are sorted on both
+identifiers, and buckets of one go; :mod:`repeats` says which positions take part.
 """
 
 from __future__ import annotations
