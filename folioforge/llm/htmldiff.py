@@ -1,11 +1,11 @@
 """HTML main-text extraction with nearest-URL page differencing (operator 4).
 
-A page is read as blocks of text, each with the part of the page it belongs to.  Navigation,
-headers, footers, sidebars, notices, adverts, forms, scripts and comments go by their element or class.
-What remains within an article (or main, or content) element is the text, and is never compared with other pages,
-which may well share paragraphs with it.  A page without such an element is compared with the
-page of its host whose URL path is nearest: the lines of both are aligned by longest common
-subsequence, and shared lines are deleted as template.
+A page is read as blocks of text, each with the containers it lies in.  Navigation, headers,
+footers, sidebars, notices, adverts, forms, scripts and comments go by their element or class.
+Of a page with an article or main element, or one named as content, what remains in it is the text; it is
+not compared, since neighbouring articles may well share paragraphs.  A page without one is compared with
+another page of its host, never with a copy of its own, whose URL path is nearest: the lines of both are
+aligned by longest common subsequence, and shared lines are deleted as template.
 """
 
 from __future__ import annotations
@@ -25,23 +25,28 @@ from . import core
 
 TAG = re.compile(r"<(?:!--.*?(?:--!?>|\Z)|(/?)([a-zA-Z][^\s/>]*)([^>\"']*(?:\"[^\"]*\"[^>\"']*|'[^']*'[^>\"']*)*)(?:>|\Z)|(/?)([a-zA-Z][^\s/>]*)[^>]*(?:>|\Z)|[!?/][^>]*(?:>|\Z))", re.S)
 ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
-RAW = {"script", "style", "textarea", "title", "iframe", "noscript", "template", "xmp", "svg", "math", "object", "canvas", "video", "audio"}
+RAW = {"script", "style", "textarea", "title", "iframe", "template", "xmp", "svg"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 BLOCK = set("p div h1 h2 h3 h4 h5 h6 li ul ol dl dt dd table thead tbody tfoot tr caption blockquote pre section article header footer main aside nav figure figcaption hr address details summary form fieldset body html head center dialog menu".split())
-SKIP = {"nav", "footer", "aside", "form", "button", "select", "dialog", "menu", "label", "option", "input"}
+SKIP = {"nav", "footer", "aside", "form", "button", "select", "dialog", "menu"}
 BOILER = re.compile(r"(?:^|[\s_-])(?:ads?[0-9]*|ad(?:box|slot|unit|wrap)\w*|adsbygoogle|advert(?:s|isements?|ising)?|banner|sponsor(?:ed)?|promo(?:tion)?s?|nav(?:bar|igation)?|menus?|breadcrumbs?|side-?bar|foot(?:er)?|masthead|site-?header|page-?header|top-?bar|cookies?\w*|consent|gdpr|notices?|alerts?|popup|modal|overlay|newsletter|subscribe|subscription|sign-?up|login|search|share|sharing|social|related|recommend(?:ed|ations)?|widgets?|comments?(?:-?(?:list|section|area|box|s))?|discussion|respond|disqus|pagination|pager|toolbar|toc|skip-?link|paywall)(?:$|[\s_-])", re.I)
+#: Names that count inside an article too: nothing but menus, sidebars, footers, notices, adverts and reader comments.
+INNER = re.compile(r"(?:^|[\s_-])(?:ads?[0-9]*|ad(?:box|slot|unit|wrap)\w*|adsbygoogle|advert(?:s|isements?|ising)?|sponsor(?:ed)?|nav(?:bar|igation)?|menus?|breadcrumbs?|side-?bar|foot(?:er)?|cookies?\w*|consent|notices?|comments?(?:-?(?:list|section|area|box|s))?|disqus)(?:$|[\s_-])", re.I)
 CONTENT = re.compile(r"(?:^|\s)(?:(?:main|page|article|post|entry|story)[_-]?)?(?:content|article|body|text)(?:$|\s)|(?:^|\s)(?:post|entry|story|main)(?:$|\s)", re.I)
 SPACES = re.compile(r"\s+")
 
 
-def blocks(page: str) -> list[tuple[str, str]]:
-    """(part, text) of each block of text outside boilerplate; part: article, main, content or other."""
-    out: list[tuple[str, str]] = []
+ARTICLE, MAIN, NAMED = 1, 2, 4
+
+
+def blocks(page: str) -> list[tuple[int, str]]:
+    """(containers, text) of each block of text outside boilerplate; containers: sum of ARTICLE, MAIN and NAMED."""
+    out: list[tuple[int, str]] = []
     piece: list[str] = []
     article = main = depth = 0
     content, inner = "", 0
     skipped, at, end = "", 0, len(page)
-    where = "other"
+    where = 0
 
     def flush() -> None:
         text = SPACES.sub(" ", "".join(piece)).strip()
@@ -71,7 +76,7 @@ def blocks(page: str) -> list[tuple[str, str]]:
                     skipped = skipped if depth else ""
                 continue
         if name in RAW and not closing:
-            if page[m.end() - 2 : m.end()] == "/>" and name in ("svg", "math", "template"):
+            if page[m.end() - 2 : m.end()] == "/>" and name in ("svg", "template"):
                 continue
             close = re.compile(rf"</{name}(?=[\s/>])", re.I).search(page, at)
             at = (page.find(">", close.end()) + 1 or end) if close else end
@@ -89,18 +94,19 @@ def blocks(page: str) -> list[tuple[str, str]]:
                 inner -= 1
                 content = content if inner else ""
         elif name not in VOID:
-            if name == "article" and not _boiler(m[3] or "", name):
+            names = INNER if article or main else BOILER
+            if name == "article" and not _boiler(m[3] or "", name, names):
                 article += 1
             elif name == "main":
                 main += 1
-            elif name in SKIP or (name == "header" and not article) or _boiler(m[3] or "", name):
+            elif name in SKIP or (name == "header" and not (article or main)) or _boiler(m[3] or "", name, names):
                 flush()
                 skipped, depth = name, 1
             elif name == content:
                 inner += 1
             elif not content and name in ("div", "section") and _names(m[3] or "", CONTENT):
                 content, inner = name, 1
-        where = "article" if article else "main" if main else "content" if content else "other"
+        where = ARTICLE * (article > 0) + MAIN * (main > 0) + NAMED * (content != "")
     flush()
     return out
 
@@ -109,22 +115,25 @@ def _names(attributes: str, what: re.Pattern) -> bool:
     return any(k.lower() in ("class", "id") and what.search(v.strip("\"'")) for k, v in ATTRIBUTE.findall(attributes))
 
 
-def _boiler(attributes: str, name: str) -> bool:
+def _boiler(attributes: str, name: str, names: re.Pattern) -> bool:
     if not attributes or name in ("html", "body"):
         return False
     for k, v in ATTRIBUTE.findall(attributes):
         k, v = k.lower(), v.strip("\"'").lower()
-        if k == "hidden" or (k == "aria-hidden" and v == "true") or (k in ("class", "id") and BOILER.search(v)) or (k == "role" and v in ("navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alert", "menu", "form")):
+        if k == "hidden" or (k == "aria-hidden" and v == "true") or (k in ("class", "id") and names.search(v)) or (k == "role" and v in ("navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alert", "menu", "form")):
             return True
     return False
 
 
-def chosen(found: list[tuple[str, str]]) -> tuple[bool, list[str]]:
-    """Whether the page has a main container, and its lines (all lines of one without)."""
-    for part in ("article", "main", "content"):
-        own = [t for p, t in found if p == part]
-        if own:
-            return True, own
+def chosen(found: list[tuple[int, str]]) -> tuple[bool, list[str]]:
+    """Whether the page has a main container, and its lines (all lines of one without).
+
+    Articles are the container unless most of a main element is beside them (teasers); then that is.
+    """
+    size = {part: sum(len(t) for p, t in found if p & part) for part in (ARTICLE, MAIN, NAMED)}
+    part = ARTICLE if size[ARTICLE] and 2 * size[ARTICLE] >= size[MAIN] else MAIN if size[MAIN] else NAMED
+    if size[part]:
+        return True, [t for p, t in found if p & part]
     return False, [t for _, t in found]
 
 
@@ -247,9 +256,10 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
 
     Blocks are joined by a line feed in page order; white space within one is a space; character
     references are decoded.  Null html has the empty text; so has a page with nothing but
-    boilerplate.  A null or malformed URL counts as host "".  Repeated rows are handled alike (a
-    page without an article whose neighbour is its own copy keeps nothing that both have).
-    Other columns are ignored.
+    boilerplate.  A null or malformed URL counts as host "".  Pages of a host with the same lines
+    are copies, repeated rows among them: they are handled alike, as the one with the least path, and never
+    compared with each other.  Of two pages whose paths agree as far with a page's own the one before it in
+    URL order is the nearest.  Other columns are ignored.
 
     Pages of a host are paired in URL order across task borders: rows are numbered in range
     partitions, so that a host with a third of all pages is spread like any other.
@@ -261,13 +271,15 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     source = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))
     schema = T.StructType([*source.schema.fields[:2], *_PARSED.fields[1:]])
     parsed = core.materialise(source.mapInArrow(_parse(to_arrow_schema(schema)), schema))
-    parsed = parsed.withColumns({"k0": F.xxhash64("page_id", "url"), "k1": F.xxhash64("ids", "path")})
+    parsed = parsed.withColumns({"k0": F.xxhash64("host", "ids"), "k1": F.xxhash64("ids", F.lit(7))})
     plain = parsed.where("whole").select("page_id", "url", "lines")
     open_ = parsed.where("not whole")
     if open_.isEmpty():
         kept = plain
     else:
-        small = parsed.select("host", "path", "k0", "k1", "whole", "ids").repartitionByRange(parts, "host", "path", "k0", "k1").sortWithinPartitions("host", "path", "k0", "k1")
+        # one row for the copies of a page, so that no page meets its own
+        small = parsed.select("host", "path", "k0", "k1", "whole", "ids").groupBy("k0", "k1", "host").agg(F.min("path").alias("path"), F.min("whole").alias("whole"), F.first("ids").alias("ids"))
+        small = small.select("host", "path", "k0", "k1", "whole", "ids").repartitionByRange(parts, "host", "path", "k0", "k1").sortWithinPartitions("host", "path", "k0", "k1")
         numbered = core.materialise(small.mapInArrow(_number, T.StructType([*small.schema.fields, T.StructField("pid", T.IntegerType()), T.StructField("n", T.LongType())])))
         base = numbered.groupBy("pid").agg(F.count("*").alias("m"))  # one row per partition
         base = base.select("pid", F.coalesce(F.sum("m").over(W.orderBy("pid").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("base"))

@@ -37,7 +37,85 @@ def test_blocks():
         htmldiff.blocks(PAGE[:cut])
     page = '<body><div id="sidebar"><div>x</div></div><div class="post-content"><div><p>one</p></div><div class="cookieBar">c</div><p>two</p></div><div>tail</div></body>'
     assert htmldiff.chosen(htmldiff.blocks(page)) == (True, ["one", "two"])
-    assert htmldiff.blocks("a < b <3 <p>x<") == [("other", "a < b <3"), ("other", "x<")]
+    assert htmldiff.blocks("a < b <3 <p>x<") == [(0, "a < b <3"), (0, "x<")]
+
+
+def test_nothing_but_boilerplate_goes_inside_an_article():
+    inside = '<p>a</p><section id="related-work"><p>b</p></section><div class="alert alert-info">c</div><p>The <label>lab</label> z <noscript>n</noscript><object>o</object></p><div class="toc">d</div><div class="comments">r</div><div class="ad-slot">s</div>'
+    want = ["a", "b", "c", "The lab z no", "d"]
+    for page in (f"<article>{inside}</article>", f"<main><header>h</header>{inside}</main>", f"<article class=card><p>teaser</p></article><main>{inside}</main>", f"<main><article>{inside}</article><p>x</p></main>"):
+        lines = htmldiff.chosen(htmldiff.blocks(page))[1]
+        assert lines == (["h"] * ("<header>" in page) + want), page
+
+
+def plain_lines(page):
+    """What is in article elements, by splitting at tags: enough for pages as these tables have them."""
+    import html
+    import re
+
+    out = []
+    for article in re.findall(r"(?s)<article>(.*?)</article>", re.sub(r"(?s)<(script|style)\b.*?</\1>|<!--.*?-->", "", page or "")):
+        for part in re.split(r"</?(?:p|h[1-6]|div|ul|ol|li|table|tr|blockquote|pre|section|figure|figcaption|header)\b[^>]*>", re.sub(r"(?s)<(form|aside|nav|footer)\b.*?</\1>|<div class=\"(?:ad|comments?)\">.*?</div>", "<p>", article)):
+            text = " ".join(html.unescape(re.sub(r"<[^>]*>", lambda m: " " if m[0].startswith(("<br", "<td", "<th", "</td", "</th")) else "", part)).split())
+            if text:
+                out.append(text)
+    return out
+
+
+def test_query_against_plain_splitting(spark):
+    from folioforge.llm import registry
+
+    from ..conftest import DATA
+
+    for sf in ("sf0.001", "sf0.01"):
+        pages = {r["page_id"]: r["html"] for r in spark.read.parquet(f"{DATA}/{sf}/pages.parquet").collect()}
+        got = registry.QUERIES["op4_html_extraction"](spark, f"{DATA}/{sf}").collect()
+        assert len(got) == len(pages)
+        for r in got:
+            assert r["text"].split("\n") == plain_lines(pages[r["page_id"]]), r["page_id"]
+            assert r["n_chars"] == len(r["text"])
+
+
+def slow_difference(pages):
+    """Each page without a container against every other page of its host that isn't its copy."""
+    from urllib.parse import urlsplit
+
+    parsed = []
+    for i, url, page in pages:
+        whole, lines = htmldiff.chosen(htmldiff.blocks(page or ""))
+        u = urlsplit(url or "")
+        parsed.append((i, u.netloc, u.path, whole or not lines, lines))
+    out = []
+    for i, host, path, whole, lines in parsed:
+        rest = lines
+        if not whole:
+            distinct = {}
+            for _, h, p, _, t in parsed:
+                if h == host:
+                    distinct[tuple(t)] = min(p, distinct.get(tuple(t), p))
+            order = sorted((p, t) for t, p in distinct.items())
+            at = order.index((distinct[tuple(lines)], tuple(lines)))
+            near = [order[k] for k in (at - 1, at + 1) if 0 <= k < len(order)]
+            if near:
+                own = order[at][0]
+                best = max(near, key=lambda x: len(__import__("os").path.commonprefix([x[0], own])))
+                number = {t: k for k, t in enumerate({*lines, *best[1]})}
+                gone = set(htmldiff.shared_lines([number[t] for t in lines], [number[t] for t in best[1]]))
+                rest = [t for k, t in enumerate(lines) if k not in gone]
+        out.append((i, "\n".join(rest)))
+    return sorted(out)
+
+
+def test_differencing_against_a_slow_one(spark):
+    r = random.Random(2)
+    pages = []
+    for i in range(120):
+        own = "".join(f"<p>{r.choice(['menu', 'about', 'legal', f'text {i} {k}', 'shared news'])}</p>" for k in range(r.randint(0, 6)))
+        pages.append((i, f"http://h{i % 3}.example/{r.choice('ab')}/{i:03d}", f"<body><div>Home {i % 3}</div>{own}<div>All rights</div></body>" if i % 9 else PAGE))
+    pages += [pages[10], pages[10], (500, "http://h1.example/z/copy", pages[10][2]), (501, "http://lone.example/x", pages[4][2]), (501, "http://lone.example/x", pages[4][2])]
+    got = htmldiff.main_text(spark.createDataFrame(pages, "page_id long, url string, html string").repartition(5)).collect()
+    assert sorted((x["page_id"], x["text"]) for x in got) == slow_difference(pages)
+    assert {x["text"] for x in got if x["page_id"] == 501} == {"\n".join(htmldiff.chosen(htmldiff.blocks(pages[4][2]))[1])}
 
 
 def test_differencing_of_pages_without_an_article(spark):
