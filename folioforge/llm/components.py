@@ -34,3 +34,14 @@ def connected(edges: DataFrame, limit: int = 60) -> DataFrame:
     else:
         raise RuntimeError("components did not converge")
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+
+
+def extended(label: DataFrame, edges: DataFrame) -> DataFrame:
+    """label (as of connected) with further edges: only what they join is followed, between components."""
+    name = lambda c: label.select(F.col("node").alias(c), F.col("component").alias(f"{c}_of"))
+    rows = edges.join(name("u"), "u", "left").join(name("v"), "v", "left").select("u", "v", F.coalesce("u_of", "u").alias("a"), F.coalesce("v_of", "v").alias("b"))
+    rows = core.materialise(rows)
+    up = connected(rows.select(F.col("a").alias("u"), F.col("b").alias("v"))).select(F.col("node").alias("component"), F.col("component").alias("to"))
+    met = rows.select(F.col("u").alias("node"), F.col("a").alias("component")).unionByName(rows.select(F.col("v").alias("node"), F.col("b").alias("component"))).distinct()
+    nodes = label.unionByName(met.join(label.select("node"), "node", "left_anti"))
+    return core.materialise(nodes.join(up, "component", "left").select("node", F.coalesce("to", "component").alias("component")))

@@ -222,8 +222,8 @@ def _refine(threshold: int):
     return run
 
 
-#: Members up to which a bucket's pairs are simply all compared (at most 3.5 pairs a member).
-SMALL = 8
+#: Members up to which a bucket's pairs are simply all compared (at most 15.5 pairs a member).
+SMALL = 32
 
 
 _BUCKET = "band long, u long, v long, ru int, rv int"
@@ -331,8 +331,8 @@ def confirmed(pairs: DataFrame, text: DataFrame, threshold: int) -> DataFrame:
     return rows.select("u", "v", "a", "b").mapInArrow(_verify(threshold), "u long, v long")
 
 
-def near_lines(docs: DataFrame, threshold: int = 2, least: int = 40) -> tuple[DataFrame, DataFrame]:
-    """docs (of core.keyed) -> links (u, v) between distinct lines, and occurrences (h, doc_id, k0, k1, line).
+def near_lines(docs: DataFrame, threshold: int = 2, least: int = 40) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """docs (of core.keyed) -> links (u, v) between distinct lines, their components, and occurrences (h, doc_id, k0, k1, line).
 
     Only lines of at least ``least`` bytes have links; occurrences are those of all lines but short blank ones.
     """
@@ -354,12 +354,16 @@ def near_lines(docs: DataFrame, threshold: int = 2, least: int = 40) -> tuple[Da
     tried = core.materialise(stars.where(indexed).select(*pair).distinct())
     first = core.materialise(confirmed(tried, own, threshold))
     member = stars.select("band", F.col("u").alias("node"), F.col("ru").alias("role")).unionByName(stars.select("band", F.col("v").alias("node"), F.col("rv").alias("role"))).groupBy("band", "node").agg(F.max("role").alias("role"))
-    links = [first, *_across(member.withColumns({"kind": F.lit(0), "rest": F.lit(None).cast("binary")}), first, tried, own, threshold)]
-    return functools.reduce(DataFrame.unionByName, links), occurrences
+    label = components.connected(first)
+    links = [first]
+    for found in _across(member.withColumns({"kind": F.lit(0), "rest": F.lit(None).cast("binary")}), label, tried, own, threshold):
+        links.append(found[0])
+        label = found[1]
+    return functools.reduce(DataFrame.unionByName, links), label, occurrences
 
 
-def _across(member: DataFrame, first: DataFrame, tried: DataFrame, text: DataFrame, threshold: int):
-    """Links between members of a bucket that its pivot did not join, as tables.
+def _across(member: DataFrame, label: DataFrame, tried: DataFrame, text: DataFrame, threshold: int):
+    """Links between members of a bucket that its pivot did not join, and the components with them, table by table.
 
     Buckets of few members are compared pair by pair.  In larger ones two lines within the threshold also
     agree in a segment of what is left of them beside the shared one: buckets are split by
@@ -367,19 +371,20 @@ def _across(member: DataFrame, first: DataFrame, tried: DataFrame, text: DataFra
     a frequent segment costs is in proportion to its lines.  Where at most 3 (threshold + 1) bytes
     are left, two lines share what deletions make of them.
     """
-    links, rests = [first], False
+    rests = False
     across = (F.col("component") != F.col("component2")) & (F.col("role") + F.col("role2") > 0)
     new = lambda pairs: core.materialise(pairs.select(F.greatest("node", "node2").alias("u"), F.least("node", "node2").alias("v")).distinct().join(tried, ["u", "v"], "left_anti"))
     size = F.count("*").alias("n")
     mixed = [F.min("component").alias("lo"), F.max("component").alias("hi"), F.max("role").alias("some"), size]
     while True:
-        label = components.connected(functools.reduce(DataFrame.unionByName, links))
         named = member.join(label, "node", "left").withColumn("component", F.coalesce("component", "node")).drop("n")
         open_ = core.materialise(named.join(named.groupBy("band").agg(*mixed).where("lo <> hi and some = 1 and n > 2").select("band", "n"), "band"))
         near = open_.where((F.col("n") <= SMALL) | (F.col("kind") == 1))
         other = near.select("band", F.col("node").alias("node2"), F.col("role").alias("role2"), F.col("component").alias("component2"))
         pairs = new(near.join(other, "band").where((F.col("node") > F.col("node2")) & across))
-        yield core.materialise(confirmed(pairs, text, threshold))
+        links = core.materialise(confirmed(pairs, text, threshold))
+        label = components.extended(label, links)
+        yield links, label
         large = open_.where((F.col("n") > SMALL) & (F.col("kind") == 0))
         if large.isEmpty():
             return
@@ -392,8 +397,9 @@ def _across(member: DataFrame, first: DataFrame, tried: DataFrame, text: DataFra
         sub = core.materialise(sub.join(sub.groupBy("band").agg(*mixed).where("lo <> hi and some = 1").select("band"), "band"))
         pivot = sub.groupBy("band").agg(F.min(F.struct((1 - F.col("role")).alias("r"), "node", "component")).alias("p")).select("band", F.col("p.node").alias("node2"), (1 - F.col("p.r")).alias("role2"), F.col("p.component").alias("component2"))
         pairs = new(sub.join(pivot, "band").where(across))
-        links.append(core.materialise(confirmed(pairs, text, threshold)))
-        yield links[-1]
+        links = core.materialise(confirmed(pairs, text, threshold))
+        label = components.extended(label, links)
+        yield links, label
         tried = tried.unionByName(pairs)
         member = sub.drop("component")
 
@@ -403,8 +409,7 @@ def removals(docs: DataFrame, threshold: int = 2, least: int = 40) -> DataFrame:
 
     Of a class the line of the least (doc_id, row key, line number) stays.
     """
-    links, occurrences = near_lines(docs, threshold, least)
-    label = components.connected(links)
+    _, label, occurrences = near_lines(docs, threshold, least)
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "k0", "k1", "line")
     heads = core.materialise(occurrences.groupBy("h").agg(F.min(place).alias("head"), F.count("*").alias("n")).join(label, F.col("h") == F.col("node"), "left").select("h", "n", "component", "head").where("n > 1 or component is not null"))
     classes = heads.groupBy(F.coalesce("component", "h").alias("class")).agg(F.min("head").alias("first"))
