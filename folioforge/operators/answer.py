@@ -42,6 +42,13 @@ def phones(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(PHONE), F.lit(0))
 
 
+def findings(rows: DataFrame, text: str = "text") -> DataFrame:
+    """A row for every e-mail address and phone number: rows' other columns, kind, match, start and end; addresses first."""
+    keys = [c for c in rows.columns if c != text]
+    kinds = [F.transform(cite._places(F.col(text), p), lambda x: F.struct(F.lit(k).alias("kind"), x["m"].alias("match"), x["start"].cast("bigint").alias("start"), x["end"].cast("bigint").alias("end"))) for k, p in (("email", EMAIL), ("phone", PHONE))]
+    return rows.select(*keys, F.explode(F.concat(*kinds)).alias("f")).select(*keys, "f.*")
+
+
 def validity(answers: DataFrame, resolved: Column) -> DataFrame:
     """valid: no orphan citation and nothing personal."""
     checked = cite.validate(answers, resolved)

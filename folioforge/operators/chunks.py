@@ -222,3 +222,27 @@ def source_spans(chunks: DataFrame, blocks: DataFrame) -> DataFrame:
     j = blocks.select("doc_id", "block_seq", F.trim("text").alias("_b")).where("_b <> ''").join(chunks.select("doc_id", F.col("text").alias("_c")), "doc_id")
     at = F.instr("_c", F.col("_b")) - 1
     return j.select("doc_id", "block_seq", at.cast("bigint").alias("start_char"), F.when(at >= 0, at + F.length("_b")).cast("bigint").alias("end_char"))
+
+
+def quality_flags(score: Column, parse: Column, ocr: Column, average: Column, references: Column, first: Column, last: Column, low: float = 0.40, low_parse: float = 0.55, low_ocr: float = 0.50) -> Column:
+    """Flags of a chunk, in the order low_quality, low_parse_confidence, high_ocr_risk, citation_out_of_bounds."""
+    flags = [F.when(score < low, "low_quality"), F.when(parse < low_parse, "low_parse_confidence"), F.when(ocr & (F.coalesce(average, F.lit(0.0)) < low_ocr), "high_ocr_risk"), F.when(F.exists(references, lambda p: (p < first) | (p > last)), "citation_out_of_bounds")]
+    return F.filter(F.array(*flags), lambda x: x.isNotNull())
+
+
+def starts_inside(text: Column) -> Column:
+    """Whether a chunk seems to begin inside a sentence: its first character is a lower-case letter."""
+    return F.coalesce(F.ltrim(text).rlike(r"^\p{Ll}"), F.lit(False))
+
+
+def final_text(text: Column) -> Column:
+    """Lines without blanks at their ends."""
+    lines = F.split(F.replace(text, F.lit("\r\n"), F.lit("\n")), "\n")
+    return F.array_join(F.transform(lines, lambda x: F.regexp_replace(x, r"\s+$", "")), "\n")
+
+
+def fallback_source(blocks: DataFrame, keys: tuple[str, ...] = ("block_id", "page", "section", "doc_type", "source_path", "parser_used")) -> DataFrame:
+    """Of each document the first block that has any of the keys: provenance of a chunk whose text is found in none."""
+    known = [c for c in keys if c in blocks.columns]
+    some = blocks.where(F.coalesce(*(F.col(c).cast("string") for c in known)).isNotNull())
+    return some.groupBy("doc_id").agg(F.min_by(F.struct("block_seq", *known), "block_seq").alias("b")).select("doc_id", "b.*")

@@ -25,7 +25,9 @@ def resolve(hits: DataFrame, catalogue: DataFrame) -> DataFrame:
     h = numbered(hits).join(catalogue.select("doc_id", F.col("title").alias("_title"), F.col("version").alias("_version")), "doc_id", "left")
     stem = F.nullif(F.regexp_extract("source_path", r"([^/]+?)(\.[^./]*)?$", 1), F.lit(""))
     known = F.col("_title").isNotNull()
-    confidence = 0.30 + F.when(F.col("page_start") >= 1, 0.15).otherwise(0.0) + F.when(known | stem.isNotNull(), 0.15).otherwise(0.0) + F.when(F.col("_version").isNotNull() | known, 0.05).otherwise(0.0)
+    said = lambda c: (F.coalesce(F.col(c).cast("string"), F.lit("")) != "") if c in hits.columns else F.lit(False)
+    signals = [(F.col("page_start") >= 1, 0.15), (known | stem.isNotNull(), 0.15), (said("section_path") | said("section_title"), 0.15), (said("heading_anchor"), 0.10), (said("source_block_ids"), 0.10), (F.col("_version").isNotNull() | known, 0.05)]
+    confidence = sum((F.when(c, w).otherwise(0.0) for c, w in signals), F.lit(0.30))
     return h.select("query_id", "chunk_id", "citation_id", F.coalesce("_title", stem, F.col("doc_id").cast("string")).alias("title"), F.col("_version").alias("version"), F.col("page_start").alias("page"), (~known).alias("unresolved"), F.round(F.least(confidence, F.lit(1.0)), 6).alias("confidence"))
 
 
@@ -39,6 +41,26 @@ def references(answer: Column) -> Column:
     return F.transform(F.flatten(F.transform(groups, lambda g: F.split(g, ","))), lambda x: F.trim(x).cast("bigint"))
 
 
+def _places(text: Column, pattern: str) -> Column:
+    """(m, start, end) of all matches in order, in characters, end exclusive."""
+    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    none = F.array().cast("array<struct<m:string,start:int,end:int>>")
+
+    def step(done, m):
+        behind = F.coalesce(F.try_element_at(done, F.lit(-1))["end"], F.lit(0))
+        start = behind + F.call_function("instr", F.substr(text, behind + 1), m) - 1
+        return F.concat(done, F.array(F.struct(m.alias("m"), start.cast("int").alias("start"), (start + F.length(m)).cast("int").alias("end"))))
+
+    return F.aggregate(found, none, step)
+
+
+def reference_places(answers: DataFrame) -> DataFrame:
+    """A row for every cited id: the columns beside answer, id, and start and end of the bracket that names it."""
+    keys = [c for c in answers.columns if c != "answer"]
+    rows = answers.select(*keys, F.explode(_places(F.col("answer"), REFERENCE)).alias("p"))
+    return rows.select(*keys, F.explode(F.split(F.regexp_replace("p.m", r"(?i)^\[(?:SOURCE\s+)?|\]$", ""), ",")).alias("id"), F.col("p.start").cast("bigint").alias("start"), F.col("p.end").cast("bigint").alias("end")).withColumn("id", F.trim("id").cast("bigint"))
+
+
 def validate(answers: DataFrame, resolved: Column) -> DataFrame:
     """Orphans (cited, not resolved) and uncited ids, ascending; valid without orphans."""
     cited = F.array_distinct(references(F.col("answer")))

@@ -105,9 +105,13 @@ def same_document_pairs(vectors: DataFrame, threshold: float = 0.98) -> DataFram
 def vector_decisions(vectors: DataFrame, threshold: float = 0.98) -> DataFrame:
     """decision of each vector in order of its id: suppressed by a kept earlier one of its document, or kept.
 
+    With a column ``version`` only vectors of one version, or of an unknown one, suppress each other.
     Only vectors with a close neighbour reach the greedy step, grouped by connected document.
     """
     pairs = same_document_pairs(vectors, threshold)
+    if "version" in vectors.columns:
+        of = lambda c: vectors.select(F.col("chunk_id").alias(c), F.col("version").alias(f"v{c}"))
+        pairs = pairs.join(of("a"), "a").join(of("b"), "b").where((F.col("va") == F.col("vb")) | F.col("va").isNull() | F.col("vb").isNull()).select("doc_id", "a", "b", "similarity")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         near: dict[int, list[tuple[float, int]]] = {}
@@ -143,24 +147,29 @@ def reindex_plan(incoming: DataFrame, existing: DataFrame) -> DataFrame:
 
 
 def publish(chunks: DataFrame, folder: str, version: str) -> str:
-    """Writes dense rows and postings of a version beside each other, then moves the pointer; readers see both or neither.
+    """Dense rows, postings and lengths of a version, written beside each other; readers see all of it or the version before."""
+    from . import retrieve, store
 
-    An executor or driver lost on the way leaves the old pointer, and so the old version, in place.
-    """
-    from . import retrieve
-
-    spark = chunks.sparkSession
-    chunks.write.mode("overwrite").parquet(f"{folder}/{version}/dense")
-    retrieve.postings(chunks).write.mode("overwrite").parquet(f"{folder}/{version}/sparse")
-    retrieve.doc_stats(chunks).write.mode("overwrite").parquet(f"{folder}/{version}/stats")
-    written = spark.read.parquet(f"{folder}/{version}/dense").count()
-    if written != chunks.count():
-        raise RuntimeError(f"version {version} holds {written} rows")
-    spark.createDataFrame([(version,)], "version string").coalesce(1).write.mode("overwrite").parquet(f"{folder}/current")
-    return version
+    return store.publish({"dense": chunks, "sparse": retrieve.postings(chunks), "stats": retrieve.doc_stats(chunks)}, folder, version)
 
 
 def current(spark, folder: str) -> tuple[DataFrame, DataFrame]:
     """Dense rows and postings of the published version."""
-    version = spark.read.parquet(f"{folder}/current").first()["version"]
-    return spark.read.parquet(f"{folder}/{version}/dense"), spark.read.parquet(f"{folder}/{version}/sparse")
+    from . import store
+
+    return store.current(spark, folder, "dense"), store.current(spark, folder, "sparse")
+
+
+def embed_texts(rows: DataFrame, encode: Column, text: str = "text") -> DataFrame:
+    """rows with ``embedding``, made once for each distinct text that isn't blank; blank ones have none.
+
+    encode: an expression over a column ``text`` (a pandas UDF of a model, or the hash embedding).
+    """
+    clean = F.trim(F.col(text))
+    some = rows.select(clean.alias("text")).where("text <> ''").distinct().withColumn("embedding", encode)
+    return rows.withColumn("_text", clean).join(some.withColumnRenamed("text", "_text"), "_text", "left").drop("_text")
+
+
+def query_vector(embedding: Column, text: Column, size: int) -> Column:
+    """Zeros for a blank query."""
+    return F.when(F.coalesce(F.trim(text), F.lit("")) == "", F.array_repeat(F.lit(0.0), size)).otherwise(embedding)

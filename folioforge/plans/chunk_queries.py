@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 from ..operators import chunks as K
 from ..operators import embed as E
+from ..operators import store as S
 from .catalogue import query
 from .fixtures import BLOCKS, VECTORS, blocks, table, vectors
 
@@ -144,3 +145,61 @@ def reindex_plan(spark, d):
 @query(f"WITH {VECTORS}, p AS (SELECT a.chunk_id, b.chunk_id AS other, round(list_cosine_similarity(a.embedding, b.embedding), 6) AS similarity FROM vectors a JOIN vectors b ON a.doc_id <> b.doc_id) SELECT chunk_id, arg_max(other, (similarity, -other)) AS other, max(similarity) AS similarity FROM p WHERE similarity >= 0.97 GROUP BY chunk_id")
 def vector_cross_document(spark, d):
     return E.cross_document(vectors(spark, d))
+
+
+@query(f"""WITH {BLOCKS}, s AS (SELECT *, list_filter(list_transform({NON.format('lower(replace(x, chr(44), chr(32)))')}, lambda y: trim(y, '[]().:')), lambda y: regexp_matches(y, '^(p\\.|page)[0-9]{{1,9}}$')) AS refs FROM (SELECT *, text || ' see p.' || block_seq AS x FROM blocks))
+SELECT doc_id, block_seq, concat_ws(',', CASE WHEN confidence < 0.4 THEN 'low_quality' END, CASE WHEN confidence < 0.55 THEN 'low_parse_confidence' END, CASE WHEN is_ocr AND confidence < 0.5 THEN 'high_ocr_risk' END,
+ CASE WHEN len(list_filter(refs, lambda y: regexp_extract(y, '([0-9]+)$', 1)::BIGINT NOT BETWEEN page AND page + 1)) > 0 THEN 'citation_out_of_bounds' END) AS flags, coalesce(regexp_matches(ltrim(text), '^\\p{{Ll}}'), false) AS inside FROM s""")
+def chunk_flags(spark, d):
+    refs = K.page_references(F.concat("text", F.lit(" see p."), F.col("block_seq").cast("string")))
+    c = F.col("confidence")
+    flags = K.quality_flags(c, c, F.col("is_ocr"), c, refs, F.col("page"), F.col("page") + 1)
+    return blocks(spark, d).select("doc_id", "block_seq", F.array_join(flags, ",").alias("flags"), K.starts_inside(F.col("text")).alias("inside"))
+
+
+@query(f"WITH {BLOCKS} SELECT doc_id, min(block_seq) AS block_seq, arg_min(page, block_seq) AS page, arg_min(section, block_seq) AS section FROM blocks WHERE block_seq % 4 = 3 GROUP BY doc_id")
+def fallback_provenance(spark, d):
+    """Only every fourth block of this fixture has any provenance."""
+    known = F.col("block_seq") % 4 == 3
+    b = blocks(spark, d).withColumns({c: F.when(known, F.col(c)) for c in ("page", "section", "doc_type")})
+    return K.fallback_source(b).select("doc_id", "block_seq", "page", "section")
+
+
+_STORE = "old AS (SELECT doc_id AS chunk_id, doc_id // 3 AS doc_id, coalesce(text, '') AS text FROM documents), new AS (SELECT item_id * 2 AS chunk_id, item_id // 3 AS doc_id, coalesce(text, '') AS text FROM benchmark)"
+
+
+def _store(spark, d):
+    """A store of all documents, three to a document, and the benchmark's items as what comes in."""
+    third = lambda c: F.floor(F.col(c) / 3).cast("bigint").alias("doc_id")
+    old = table(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), third("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    new = table(spark, d, "benchmark").select((F.col("item_id") * 2).alias("chunk_id"), third("item_id"), F.coalesce("text", F.lit("")).alias("text"))
+    return old, new
+
+
+@query(f"WITH {_STORE} SELECT chunk_id, doc_id, sha256(text) AS sha FROM new UNION ALL SELECT chunk_id, doc_id, sha256(text) FROM old WHERE chunk_id NOT IN (SELECT chunk_id FROM new)")
+def store_upsert(spark, d):
+    return S.upsert(*_store(spark, d)).select("chunk_id", "doc_id", F.sha2("text", 256).alias("sha"))
+
+
+@query(f"WITH {_STORE} SELECT chunk_id, doc_id, sha256(text) AS sha FROM new UNION ALL SELECT chunk_id, doc_id, sha256(text) FROM old WHERE chunk_id NOT IN (SELECT chunk_id FROM new) AND doc_id NOT IN (SELECT doc_id FROM new)")
+def store_replace(spark, d):
+    return S.replace_documents(*_store(spark, d)).select("chunk_id", "doc_id", F.sha2("text", 256).alias("sha"))
+
+
+@query(f"WITH {_STORE} SELECT doc_id, count(*) FILTER (WHERE o) AS before, count(*) FILTER (WHERE n) AS after, count(*) FILTER (WHERE o AND NOT n) AS stale FROM (SELECT doc_id, chunk_id, bool_or(o) AS o, bool_or(n) AS n FROM (SELECT doc_id, chunk_id, true AS o, false AS n FROM old UNION ALL SELECT doc_id, chunk_id, false, true FROM new) GROUP BY ALL) WHERE doc_id IN (SELECT doc_id FROM new) GROUP BY doc_id")
+def store_replaced(spark, d):
+    return S.replaced(*_store(spark, d))
+
+
+@query(f"WITH {_STORE} SELECT chunk_id, doc_id FROM old WHERE doc_id IN (SELECT doc_id FROM new)")
+def store_by_document(spark, d):
+    old, new = _store(spark, d)
+    return S.by_document(old, new).select("chunk_id", "doc_id")
+
+
+@query("SELECT doc_id AS chunk_id, coalesce(text, '') AS text, NULL::VARCHAR AS embedding_text, lang, n_chars FROM documents")
+def store_round_trip(spark, d):
+    """Chunks projected to stored documents and read back."""
+    rows = table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("chunk_id"), "text", F.lit("").alias("embedding_text"), "lang", "n_chars")
+    back = S.from_stored(S.sparse_document(rows, ["lang", "n_chars"]), "lang string, n_chars bigint")
+    return back.withColumn("chunk_id", F.col("chunk_id").cast("bigint"))

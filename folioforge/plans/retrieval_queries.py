@@ -296,3 +296,12 @@ def context_dedup(spark, d):
 @query()
 def context_compress(spark, d):
     return C.compressed(C.ordered(_planted(spark, d)), _questions(spark, d)).select("query_id", "chunk_id", "position")
+
+
+@query("""WITH t AS (SELECT doc_id, kind, unnest(m) AS match, unnest(range(1, len(m) + 1)) AS k FROM (SELECT doc_id, 'email' AS kind, regexp_extract_all(coalesce(text, ''), '\\b[A-Za-z0-9_.+-]+@[A-Za-z0-9_.-]+\\.[A-Za-z]{2,}\\b') AS m FROM documents UNION ALL SELECT doc_id, 'phone', regexp_extract_all(coalesce(text, ''), '\\b(?:\\+?[0-9][0-9\\s().-]{7,}[0-9])\\b') FROM documents))
+SELECT doc_id, kind, match, true AS found FROM t""")
+def pii_places(spark, d):
+    """Each finding, and whether its offsets are those of its text."""
+    docs = table(spark, d, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    found = A.findings(docs).join(docs, "doc_id")
+    return found.select("doc_id", "kind", "match", (F.substr("text", (F.col("start") + 1).cast("int"), (F.col("end") - F.col("start")).cast("int")) == F.col("match")).alias("found"))

@@ -279,3 +279,53 @@ def test_ingest_stream(spark, tmp_path):
     spark.createDataFrame([(1, "first line of text\nsecond line of text"), (2, "--")], "doc_id long, text string").write.parquet(str(tmp_path / "in"))
     ingest.ingest_stream(spark, str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination(120)
     assert sorted(r["text"] for r in spark.read.parquet(str(tmp_path / "out")).collect()) == ["first line of text", "second line of text"]
+
+
+def test_references_and_findings_have_places(spark):
+    df = spark.createDataFrame([(1, "as said [1] and [SOURCE 2, 3], again [1].")], "k int, answer string")
+    got = [tuple(r) for r in cite.reference_places(df).orderBy("start", "id").collect()]
+    assert got == [(1, 1, 8, 11), (1, 2, 16, 29), (1, 3, 16, 29), (1, 1, 37, 40)]
+    rows = spark.createDataFrame([(1, "é a.b@c.org or a.b@c.org, +49 (30) 1234-567")], "k int, text string")
+    assert [(r["kind"], r["start"], r["end"]) for r in answer.findings(rows).collect()] == [("email", 2, 11), ("email", 15, 24), ("phone", 27, 43)]
+
+
+def test_citation_confidence_counts_all_signals(spark):
+    hits = spark.createDataFrame([("q", "c", 1, "d", 1, "/x/paper.pdf", "A > B", "a-b", "b1"), ("q", "e", 2, "z", 0, "", "", None, None)], "query_id string, chunk_id string, rank int, doc_id string, page_start int, source_path string, section_path string, heading_anchor string, source_block_ids string")
+    known = spark.createDataFrame([("d", "Title", "v1")], "doc_id string, title string, version string")
+    assert [r["confidence"] for r in cite.resolve(hits, known).orderBy("citation_id").collect()] == [1.0, 0.3]
+
+
+def test_store_versions(spark, tmp_path):
+    from folioforge.operators import store
+
+    one = spark.createDataFrame([("a", "d", "x"), ("b", "d", "y"), ("c", "e", "z")], "chunk_id string, doc_id string, text string")
+    two = spark.createDataFrame([("a", "d", "X"), ("a", "d", "X"), ("f", "d", "w")], one.schema)
+    names = lambda df: sorted((r["chunk_id"], r["text"]) for r in df.collect())
+    assert names(store.upsert(one, two)) == [("a", "X"), ("b", "y"), ("c", "z"), ("f", "w")]
+    assert names(store.replace_documents(one, two)) == [("a", "X"), ("c", "z"), ("f", "w")]
+    assert names(store.delete(one, two)) == [("b", "y"), ("c", "z")]
+    at = str(tmp_path)
+    with pytest.raises(FileNotFoundError):
+        store.current(spark, at, "dense")
+    first = store.publish({"dense": one}, at)
+    store.publish({"dense": store.upsert(one, two)}, at, "second")
+    (tmp_path / "half" / "dense").mkdir(parents=True)  # what a lost job leaves
+    assert store.current(spark, at, "dense").count() == 4
+    assert store.restore(spark, at) == first and store.current(spark, at, "dense").count() == 3
+    payload = store.dense_payload(one, ["doc_id"], F.lit("t")).first()
+    assert payload["chunk_id"] == "a" and payload["metadata"] == '{"doc_id":"d"}' and payload["parser_used"] is None
+    bad = spark.createDataFrame([([1.0],), ([],), ([1.0, 2.0],), (None,)], "e array<double>")
+    assert [r[0] for r in bad.select(store.dimensions(F.col("e"), 2)).collect()] == ["dimension_mismatch", "missing_embedding", None, "missing_embedding"]
+
+
+def test_versions_texts_and_flags(spark):
+    v = spark.createDataFrame([(1, 1, "v1", [1.0, 0.0]), (2, 1, "v2", [1.0, 0.0]), (3, 1, None, [1.0, 0.0])], "chunk_id long, doc_id long, version string, embedding array<double>")
+    got = {r["chunk_id"]: r["decision"] for r in embed.vector_decisions(v).collect()}
+    assert got == {1: "kept", 2: "kept", 3: "suppressed"}
+    t = spark.createDataFrame([(1, " a "), (2, "a"), (3, " "), (4, None)], "k int, text string")
+    rows = {r["k"]: r["embedding"] for r in embed.embed_texts(t, F.array(F.length("text").cast("double"))).collect()}
+    assert rows == {1: [1.0], 2: [1.0], 3: None, 4: None}
+    q = t.select("k", embed.query_vector(F.array(F.lit(1.0), F.lit(2.0)), F.col("text"), 2).alias("v")).collect()
+    assert [r["v"] for r in q] == [[1.0, 2.0], [1.0, 2.0], [0.0, 0.0], [0.0, 0.0]]
+    f = spark.createDataFrame([("and so", " lines \r\nx  ")], "a string, b string").select(chunks.starts_inside(F.col("a")), chunks.final_text(F.col("b"))).first()
+    assert tuple(f) == (True, " lines\nx")
