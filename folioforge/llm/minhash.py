@@ -248,8 +248,8 @@ def confirmed(pairs: DataFrame, docs: DataFrame, reps: DataFrame, size: int, per
     return rows.mapInArrow(_confirm(percent), "u long, v long").distinct()
 
 
-#: Members up to which a bucket's pairs are simply all compared (at most 3.5 pairs a member).
-SMALL = 8
+#: Members up to which a bucket's pairs are simply all compared (at most 15.5 pairs a member).
+SMALL = 32
 #: Cells of the sketch of shingle frequencies.
 CELLS = 1 << 16
 
@@ -339,8 +339,8 @@ def near_duplicates(docs: DataFrame, size: int = 2, percent: int = 80, n_bands:
     tried = stars.where(fit).select("u", "v").distinct()
     confirm = lambda pairs: core.materialise(confirmed(pairs, docs, reps, size, percent))
 
-    def open_of(member: DataFrame, links: DataFrame) -> DataFrame:
-        named = member.join(components.connected(links), "node", "left").withColumn("component", F.coalesce("component", "node"))
+    def open_of(member: DataFrame, label: DataFrame) -> DataFrame:
+        named = member.join(label, "node", "left").withColumn("component", F.coalesce("component", "node"))
         some = named.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("members"), F.min("node").alias("node2")).where("lo <> hi")
         return core.materialise(named.join(some.select("band", "members", "node2"), "band"))
 
@@ -352,21 +352,25 @@ def near_duplicates(docs: DataFrame, size: int = 2, percent: int = 80, n_bands:
             pairs = pairs.where(F.least(F.col("n") - F.col("at"), F.col("n2") - F.col("at2")) * (100 + percent) >= percent * (F.col("n") + F.col("n2")))
         return core.materialise(pairs.select(F.greatest("node", "node2").alias("u"), F.least("node", "node2").alias("v")).distinct().join(tried, ["u", "v"], "left_anti"))
 
-    open_ = open_of(member, first)
+    label = components.connected(first)
+    open_ = open_of(member, label)
     few = open_.where(F.col("members") <= SMALL)
-    links = first.unionByName(confirm(across(few, few)))
+    found = confirm(across(few, few))
+    links, label = first.unionByName(found), components.extended(label, found)
     large = open_.where(F.col("members") > SMALL)
     if not large.isEmpty():
         parts_of = core.materialise(_split(large, docs, reps, size, percent))
         # pivots first, then what they leave apart
-        open_ = open_of(parts_of, links)
-        links = links.unionByName(confirm(across(open_, open_.where(F.col("node") == F.col("node2")))))
-        open_ = open_of(parts_of, links)
-        links = links.unionByName(confirm(across(open_, open_)))
+        open_ = open_of(parts_of, label)
+        found = confirm(across(open_, open_.where(F.col("node") == F.col("node2"))))
+        links, label = links.unionByName(found), components.extended(label, found)
+        open_ = open_of(parts_of, label)
+        found = confirm(across(open_, open_))
+        links, label = links.unionByName(found), components.extended(label, found)
     # rows of one id with different texts are one node, though of several classes
     twice = named.groupBy("doc_id").agg(F.min("h0").alias("lo"), F.max("h0").alias("hi")).where("lo <> hi").select("doc_id")
     same = named.join(twice, "doc_id").join(classes.select("h0", "h1", "node"), ["h0", "h1"]).select(F.col("doc_id").alias("u"), F.col("node").alias("v"))
-    label = components.connected(links.unionByName(same))
+    label = components.extended(label, same)
     degree = links.select(F.col("u").alias("node")).unionByName(links.select(F.col("v").alias("node"))).groupBy("node").agg(F.count("*").alias("links"))
     kind = classes.select("h0", "h1", "node").join(degree, "node", "left").select("h0", "h1", "node", "links").join(label, "node", "left").select("h0", "h1", F.coalesce("component", "node").alias("group"), "links")
     out = signed.select("doc_id", "h0", "h1", "n").join(kind, ["h0", "h1"], "left")
