@@ -6,7 +6,13 @@ pi[(sigma(x) + k) mod D] of the set: two permutations make all coordinates.  Coo
 are cut into bands; documents with an equal band are candidates; candidates are
 confirmed by exact Jaccard similarity of the full sets.
 
-Documents of equal sets are one class from the start.  Within a band's bucket the members are
+Documents of equal sets are one class from the start.  What buckets connect is a block, whether it is
+similar or not: variants of one text, most of them.  A block's sets meet in one task, once each, where all its
+pairs are compared together by products of incidence matrices; a block too large for one task is
+cut into parts, and each two parts meet.  So a group of variants that grows with the table takes no exchange
+of pairs, and some 50 ns a pair.
+
+In blocks of over PARTS parts buckets are looked at one by one: the members are
 compared with one pivot.  Where members stay in different components afterwards, a small
 bucket's remaining pairs across components are compared.  In a larger one only those are that share one of
 the rarest shingles (prefix filter: two sets of this similarity always do), so that documents which
@@ -200,8 +206,9 @@ def _sets(size: int):
             u = batch.column("u").to_numpy(zero_copy_only=False)
             out = []
             for k in range(batch.num_rows):
-                if u[k] != last:
-                    last, mine = u[k], next(shingle_sets(buf, off[k : k + 2], size)).tobytes()
+                now = (u[k], buf[off[k] : off[k + 1]].tobytes())  # an id may have several texts
+                if now != last:
+                    last, mine = now, next(shingle_sets(buf, off[k : k + 2], size)).tobytes()
                 out.append(mine)
             names = ["u", "v", "salt"]
             yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.array(out, pa.binary())], names=[*names, "items"])
@@ -210,10 +217,10 @@ def _sets(size: int):
 
 
 def _confirm(percent: int):
-    """Rows sorted by (pivot, salt), the pivot's own set first: emits the pairs that hold."""
+    """Rows sorted by (pivot, salt), the pivot's own sets first (several, if its id has several texts): emits the pairs that hold."""
 
     def run(batches):
-        at, mine = None, None
+        at, mine = None, []
         for batch in batches:
             u, v, salt = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("u", "v", "salt"))
             sets = batch.column("items")
@@ -221,10 +228,10 @@ def _confirm(percent: int):
             for k in range(batch.num_rows):
                 x = np.frombuffer(sets[k].as_buffer(), U64)
                 if (v[k], salt[k]) != at:
-                    at, mine = (v[k], salt[k]), None
+                    at, mine = (v[k], salt[k]), []
                 if u[k] == v[k]:
-                    mine = x.copy()
-                elif mine is not None and _similar(x, mine, percent):
+                    mine.append(x.copy())
+                elif any(_similar(x, y, percent) for y in mine):
                     hu.append(int(u[k]))
                     hv.append(int(v[k]))
             if hu:
@@ -233,19 +240,113 @@ def _confirm(percent: int):
     return run
 
 
+#: Sets, and shingles of them, in one part of a block, and parts up to which all of a block's pairs are compared.
+PART_SETS, PART_ITEMS, PARTS = 4096, 1 << 19, 32
+#: Cells that one step of a comparison works on: its arrays have 2 MB each.
+STEP = 1 << 18
+
+
+def _common(sets: list[np.ndarray]) -> Iterator[tuple[int, int, np.ndarray]]:
+    """(i, j, sizes of the intersections of sets i to j - 1 with all sets), for all of them in steps."""
+    m = len(sets)
+    sizes = np.array([len(x) for x in sets])
+    own = np.repeat(np.arange(m, dtype=np.int32), sizes)
+    items = np.concatenate(sets)
+    order = np.argsort(items)
+    at, group = core.groups(items[order])
+    holder, kind = own[order], np.empty(len(items), np.int32)
+    kind[order] = group
+    times = np.diff(np.r_[at, len(items)])
+    # shingles that an eighth of the sets have: a dense matrix; others but for single ones: lists of holders
+    hot = (times > 1) & (8 * times >= m)
+    listed = np.where((times > 1) & ~hot, times, 0)
+    dense = np.zeros((m, int(hot.sum())), np.float32)
+    k = hot[kind]
+    dense[own[k], (np.cumsum(hot) - 1)[kind[k]]] = 1
+    first = np.r_[0, np.cumsum(sizes)]
+    cost = np.r_[0, np.cumsum(listed[kind])][first] + m * np.arange(m + 1)
+    for i, j in core.runs(cost, STEP):
+        both = (dense[i:j] @ dense.T).astype(np.int64)
+        mine = kind[first[i] : first[j]]
+        n = listed[mine]
+        if n.any():
+            cell = np.repeat((own[first[i] : first[j]] - i).astype(np.int64) * m, n) + holder[core.ranges(at[mine], n)]
+            both += np.bincount(cell, minlength=(j - i) * m).reshape(j - i, m)
+        yield i, j, both
+
+
+def _joined(node: np.ndarray, part: np.ndarray, sets: list[np.ndarray], percent: int, across: bool) -> pa.RecordBatch:
+    """(u, least node reachable, number of similar sets) of the sets that have such; nodes ascend.  across: pairs of two parts only."""
+    n = np.array([len(x) for x in sets])
+    label, links = np.searchsorted(node, node), np.zeros(len(node), np.int64)
+    for i, j, both in _common(sets):
+        near = 100 * both >= percent * (n[i:j, None] + n - both)
+        near[np.arange(j - i), np.arange(i, j)] = False
+        if across:
+            near &= part[i:j, None] != part
+        links[i:j] = near.sum(axis=1)
+        for k in np.flatnonzero(links[i:j]):
+            met = label[near[k]]
+            if (met != label[i + k]).any():
+                met = np.unique(np.append(met, label[i + k]))
+                label[np.isin(label, met[1:])] = met[0]
+    some = links > 0
+    return pa.RecordBatch.from_arrays([pa.array(node[some]), pa.array(node[label[some]]), pa.array(links[some])], names=["u", "v", "links"])
+
+
+def _blocks(size: int, percent: int):
+    """Rows sorted by block, two parts of it, and id: the links of each such group."""
+
+    def run(batches):
+        at, node, part, sets, last = None, [], [], [], None
+
+        def settle():
+            if len(sets) > 1:
+                yield _joined(np.array(node), np.array(part), sets, percent, at[1] != at[2])
+
+        for batch in batches:
+            buf, off = core.text_buffer(batch.column("text"))
+            block, i, j, u, k1, own = (batch.column(c).to_pylist() for c in ("block", "i", "j", "u", "k1", "own"))
+            for x, y in core.runs(off):
+                for k, items in enumerate(shingle_sets(buf, off[x : y + 1], size), x):
+                    if at != (block[k], i[k], j[k]):
+                        yield from settle()
+                        at, node, part, sets, last = (block[k], i[k], j[k]), [], [], [], None
+                    if last != (u[k], k1[k]):  # else a repeated row
+                        last = (u[k], k1[k])
+                        node.append(u[k])
+                        part.append(own[k])
+                        sets.append(items)
+        yield from settle()
+
+    return run
+
+
+def _within(pairs: DataFrame, docs: DataFrame, reps: DataFrame, size: int, percent: int) -> DataFrame:
+    """Links within the blocks of pairs (u, v, block, parts): each set and the least one of its part or two that it reaches."""
+    node = pairs.select(F.col("u").alias("doc_id"), "block", "parts").unionByName(pairs.select(F.col("v").alias("doc_id"), "block", "parts")).distinct()
+    rows = docs.join(reps.join(node, "doc_id"), ["doc_id", "k1"])
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("doc_id", "k1"), F.col("parts"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    rows = rows.select("block", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), F.col("doc_id").alias("u"), "k1", "own", "text")
+    rows = rows.repartition("block", "i", "j").sortWithinPartitions("block", "i", "j", "u", "k1")
+    return rows.mapInArrow(_blocks(size, percent), "u long, v long, links long")
+
+
 def confirmed(pairs: DataFrame, docs: DataFrame, reps: DataFrame, size: int, percent: int, per_task: int = 512) -> DataFrame:
-    """Those of pairs (u, v) whose full sets are similar.
+    """Those of pairs (u, v) whose full sets are similar; of pairs (u, v, block, parts), all similar ones of their blocks, see _within.
 
     A pivot v's members are split into salted groups of about ``per_task``; its set goes to each
     of them, so that no task gets an unbounded group.
     """
+    if "block" in pairs.columns:
+        return _within(pairs, docs, reps, size, percent)
     many = pairs.groupBy("v").agg(F.count("*").alias("members"))
     salted = pairs.join(many, "v").select("u", "v", F.pmod(F.xxhash64("u"), F.ceil(F.col("members") / per_task)).alias("salt"))
     asked = salted.unionByName(salted.select(F.col("v").alias("u"), "v", "salt").distinct())
     asked = asked.join(reps.withColumnRenamed("doc_id", "u"), "u").select(F.col("u").alias("doc_id"), "k1", "v", "salt")
     rows = docs.join(asked, ["doc_id", "k1"]).select(F.col("doc_id").alias("u"), "v", "salt", "text").mapInArrow(_sets(size), "u long, v long, salt long, items binary")
     rows = rows.repartition("v", "salt").sortWithinPartitions("v", "salt", F.col("u") != F.col("v"))
-    return rows.mapInArrow(_confirm(percent), "u long, v long").distinct()
+    return rows.mapInArrow(_confirm(percent), "u long, v long").distinct().withColumn("links", F.lit(None).cast("long"))
 
 
 #: Members up to which a bucket's pairs are simply all compared (at most 15.5 pairs a member).
@@ -301,38 +402,17 @@ def _split(nodes: DataFrame, docs: DataFrame, reps: DataFrame, size: int, percen
     """(band, node, n, at) of the rarest shingles of the nodes' sets; ``band`` is the shingle."""
     spark = docs.sparkSession
     own = nodes.select("node").distinct().join(reps.withColumnRenamed("doc_id", "node"), "node")
-    texts = core.materialise(docs.join(own.select(F.col("node").alias("doc_id"), "k1"), ["doc_id", "k1"]).select(F.col("doc_id").alias("node"), "text").dropDuplicates(["node"]))
+    texts = core.materialise(docs.join(own.select(F.col("node").alias("doc_id"), "k1"), ["doc_id", "k1"]).select(F.col("doc_id").alias("node"), "k1", "text").dropDuplicates(["node", "k1"]))
     cells = texts.select("text").mapInArrow(_counts(size), "cell int, times long").groupBy("cell").agg(F.sum("times").alias("times")).collect()  # CELLS rows at most
     order = np.zeros(CELLS, np.int64)
     for r in cells:
         order[r["cell"]] = r["times"]
-    return texts.mapInArrow(_prefixes(spark.sparkContext.broadcast(order), size, percent), "band long, node long, n long, at long")
-
-
-def near_duplicates(docs: DataFrame, size: int = 2, percent: int = 80, n_bands: int = BANDS, rows: int = ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Groups of documents linked by shingle similarity of at least ``percent`` per cent.
-
-    Returns per row of docs: doc_id, n_shingles, component_id (smallest doc_id reachable),
-    kept (doc_id = component_id), links (candidate links of its class that were confirmed; 0 for alone).
+    return texts.select("node", "text").mapInArrow(_prefixes(spark.sparkContext.broadcast(order), size, percent), "band long, node long, n long, at long")
 
-    With 48 bands of 6 coordinates a pair at the very threshold of 0.8 is missed with a
-    probability of 5e-7, one at 0.85 with 5e-11; what is found is confirmed on full sets.
 
-    Ids are integers.  Null and empty texts, or texts of white space, have no shingles and link with nothing,
-    not even each other.  Rows without an id take part in no group: component_id null, kept
-    true.  Rows that share an id are one node.  Other columns of docs are ignored.
-    """
-    spark = docs.sparkSession
-    parts = core.partitions(spark)
-    t = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), t.alias("text")).select("doc_id", F.xxhash64("text").alias("k1"), "text")
-    signed = core.materialise(docs.mapInArrow(_sign(size, n_bands * rows, rows), "doc_id long, k1 long, h0 long, h1 long, n long, bands binary"))
-    named = signed.where(F.col("doc_id").isNotNull() & (F.col("n") > 0))
-    classes = core.materialise(named.groupBy("h0", "h1").agg(F.min(F.struct("doc_id", "k1")).alias("rep"), F.first("n").alias("n"), F.first("bands").alias("bands")).select("h0", "h1", F.col("rep.doc_id").alias("node"), F.col("rep.k1").alias("k1"), "n", "bands"))
-    sent = classes.select("node", "n", "bands").mapInArrow(_local_buckets(parts), "part int, " + EDGE + ", payload binary")
-    stars = core.materialise(sent.repartitionById(parts, F.col("part")).mapInArrow(_join_buckets(), EDGE))
+def _by_buckets(stars: DataFrame, label: DataFrame, docs: DataFrame, reps: DataFrame, size: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Links found bucket by bucket, and label extended by them."""
     fit = 100 * F.least("n_u", "n_v") >= percent * F.greatest("n_u", "n_v")
-    reps = classes.select(F.col("node").alias("doc_id"), "k1")
     first = core.materialise(confirmed(stars.where(fit).select("u", "v").distinct(), docs, reps, size, percent))
     # buckets whose members are in different components by now
     member = stars.select("band", F.col("u").alias("node"), F.col("n_u").alias("n")).unionByName(stars.select("band", F.col("v").alias("node"), F.col("n_v").alias("n"))).distinct()
@@ -352,26 +432,64 @@ def near_duplicates(docs: DataFrame, size: int = 2, percent: int = 80, n_bands:
             pairs = pairs.where(F.least(F.col("n") - F.col("at"), F.col("n2") - F.col("at2")) * (100 + percent) >= percent * (F.col("n") + F.col("n2")))
         return core.materialise(pairs.select(F.greatest("node", "node2").alias("u"), F.least("node", "node2").alias("v")).distinct().join(tried, ["u", "v"], "left_anti"))
 
-    label = components.connected(first)
+    label = components.extended(label, first)
     open_ = open_of(member, label)
     few = open_.where(F.col("members") <= SMALL)
     found = confirm(across(few, few))
     links, label = first.unionByName(found), components.extended(label, found)
     large = open_.where(F.col("members") > SMALL)
     if not large.isEmpty():
-        parts_of = core.materialise(_split(large, docs, reps, size, percent))
+        prefixes = core.materialise(_split(large, docs, reps, size, percent))
         # pivots first, then what they leave apart
-        open_ = open_of(parts_of, label)
+        open_ = open_of(prefixes, label)
         found = confirm(across(open_, open_.where(F.col("node") == F.col("node2"))))
         links, label = links.unionByName(found), components.extended(label, found)
-        open_ = open_of(parts_of, label)
+        open_ = open_of(prefixes, label)
         found = confirm(across(open_, open_))
         links, label = links.unionByName(found), components.extended(label, found)
+    return links, label
+
+
+def near_duplicates(docs: DataFrame, size: int = 2, percent: int = 80, n_bands: int = BANDS, rows: int = ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Groups of documents linked by shingle similarity of at least ``percent`` per cent.
+
+    Returns per row of docs: doc_id, n_shingles, component_id (smallest doc_id reachable),
+    kept (doc_id = component_id), links (sets of its block that are similar to its own; in blocks of over PARTS
+    parts, candidate links that were confirmed; 0 for alone).
+
+    With 48 bands of 6 coordinates a pair at the very threshold of 0.8 is missed with a
+    probability of 5e-7, one at 0.85 with 5e-11; what is found is confirmed on full sets.
+
+    Ids are integers.  Null and empty texts, or texts of white space, have no shingles and link with nothing,
+    not even each other.  Rows without an id take part in no group: component_id null, kept
+    true.  Rows that share an id are one node.  Other columns of docs are ignored.
+    """
+    spark = docs.sparkSession
+    parts = core.partitions(spark)
+    t = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), t.alias("text")).select("doc_id", F.xxhash64("text").alias("k1"), "text")
+    signed = core.materialise(docs.mapInArrow(_sign(size, n_bands * rows, rows), "doc_id long, k1 long, h0 long, h1 long, n long, bands binary"))
+    named = signed.where(F.col("doc_id").isNotNull() & (F.col("n") > 0))
+    classes = core.materialise(named.groupBy("h0", "h1").agg(F.min(F.struct("doc_id", "k1")).alias("rep"), F.first("n").alias("n"), F.first("bands").alias("bands")).select("h0", "h1", F.col("rep.doc_id").alias("node"), F.col("rep.k1").alias("k1"), "n", "bands"))
+    sent = classes.select("node", "n", "bands").mapInArrow(_local_buckets(parts), "part int, " + EDGE + ", payload binary")
+    stars = core.materialise(sent.repartitionById(parts, F.col("part")).mapInArrow(_join_buckets(), EDGE))
+    reps = classes.select(F.col("node").alias("doc_id"), "k1")
+    pairs = core.materialise(stars.select("u", "v").distinct())
+    block = core.materialise(components.connected(pairs).withColumnRenamed("component", "block"))
+    parts_of = block.join(classes.select("node", "n"), "node").groupBy("block").agg(F.greatest(F.ceil(F.count("*") / PART_SETS), F.ceil(F.sum("n") / PART_ITEMS)).alias("parts"))
+    block = core.materialise(block.join(parts_of, "block"))
+    whole = block.where(F.col("parts") <= PARTS)
+    links = core.materialise(confirmed(pairs.join(whole.withColumnRenamed("node", "u"), "u"), docs, reps, size, percent))
+    label = components.connected(links)
+    rest = block.where(F.col("parts") > PARTS).select("node")
+    if not rest.isEmpty():
+        more, label = _by_buckets(stars.join(rest.withColumnRenamed("node", "u"), "u"), label, docs, reps, size, percent)
+        links = links.unionByName(more)
     # rows of one id with different texts are one node, though of several classes
     twice = named.groupBy("doc_id").agg(F.min("h0").alias("lo"), F.max("h0").alias("hi")).where("lo <> hi").select("doc_id")
     same = named.join(twice, "doc_id").join(classes.select("h0", "h1", "node"), ["h0", "h1"]).select(F.col("doc_id").alias("u"), F.col("node").alias("v"))
     label = components.extended(label, same)
-    degree = links.select(F.col("u").alias("node")).unionByName(links.select(F.col("v").alias("node"))).groupBy("node").agg(F.count("*").alias("links"))
+    degree = links.select(F.col("u").alias("node"), F.coalesce("links", F.lit(1)).alias("links")).unionByName(links.where("links IS NULL").select(F.col("v").alias("node"), F.lit(1).alias("links"))).groupBy("node").agg(F.sum("links").alias("links"))
     kind = classes.select("h0", "h1", "node").join(degree, "node", "left").select("h0", "h1", "node", "links").join(label, "node", "left").select("h0", "h1", F.coalesce("component", "node").alias("group"), "links")
     out = signed.select("doc_id", "h0", "h1", "n").join(kind, ["h0", "h1"], "left")
     group = F.when(F.col("doc_id").isNotNull(), F.coalesce("group", "doc_id"))

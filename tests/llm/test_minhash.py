@@ -76,6 +76,40 @@ def test_a_common_notice_costs_in_proportion(spark, monkeypatch):
     assert totals[1] < 6 * totals[0], totals
 
 
+def variants(n, seed=9):
+    """One text with some words replaced, other ones each time: neighbours are just over or under the threshold."""
+    rnd = random.Random(seed)
+    base = [f"w{rnd.randrange(10**6)}" for _ in range(150)]
+    return [(3 * i, " ".join(w if rnd.random() > share else f"x{rnd.randrange(10**6)}" for w in base)) for i in range(n) for share in [rnd.uniform(0.01, 0.14)]]
+
+
+def test_variants_of_one_text_cost_in_proportion(spark, monkeypatch):
+    tried = []
+    real = minhash.confirmed
+    monkeypatch.setattr(minhash, "confirmed", lambda pairs, *a: tried.append(pairs.count()) or real(pairs, *a))
+    totals = []
+    for n in (150, 600):
+        tried.clear()
+        rows = variants(n)
+        assert answer(minhash.near_duplicates(frame(spark, rows))) == brute(rows)
+        totals.append(sum(tried))
+    assert totals[1] < 6 * totals[0], totals
+
+
+def test_blocks_in_parts_and_by_buckets(spark, monkeypatch):
+    rows = variants(120) + [(i + 1, t) for i, t in noticed(60)] + [(0, "a text of the first id"), (3, None), (None, "x y"), (360, variants(1)[0][1])]
+    want = brute(rows)
+    whole = minhash.near_duplicates(frame(spark, rows))
+    assert answer(whole) == want
+    links = sorted((tuple(r) for r in whole.select("doc_id", "component_id", "links").collect()), key=str)
+    assert any(x[2] > 1 for x in links)
+    monkeypatch.setattr(minhash, "PART_SETS", 25)
+    parted = minhash.near_duplicates(frame(spark, rows))
+    assert sorted((tuple(r) for r in parted.select("doc_id", "component_id", "links").collect()), key=str) == links
+    monkeypatch.setattr(minhash, "PARTS", 2)
+    assert answer(minhash.near_duplicates(frame(spark, rows))) == want
+
+
 def test_empty_table(spark):
     assert minhash.near_duplicates(frame(spark, [])).count() == 0
 
