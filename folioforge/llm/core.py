@@ -15,6 +15,7 @@ Three ideas carry most operators of this subpackage:
 from __future__ import annotations
 
 import atexit
+import ctypes
 import shutil
 import struct
 import sys
@@ -109,6 +110,25 @@ def worker_cache() -> dict:
     return sys.modules.setdefault(name, types.ModuleType(name)).__dict__
 
 
+def lean(run):
+    """run (of mapInArrow), after which the worker gives the memory it has freed back to the system.
+
+    Workers outlive their tasks, and malloc and Arrow keep what a task has freed: an executor's idle workers
+    would hold the memory of the largest task each has run.
+    """
+
+    def lean_run(batches):
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+            if trim:
+                trim(0)
+
+    return lean_run
+
+
 def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, k0, k1, text: the 80 bits (k0, k1) name a row by its id and text, nulls included."""
     return with_keys(docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))).select("doc_id", "k0", "k1", "text")

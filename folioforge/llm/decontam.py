@@ -165,7 +165,7 @@ def _searched(source: DataFrame, benchmark: DataFrame, size: int, item_col: str,
     tests = benchmark.select(F.col(item_col).alias("item"), F.col(item_text_col).cast("string").alias("text"))
     item_type = T.StringType() if isinstance(tests.schema["item"].dataType, T.NullType) else tests.schema["item"].dataType
     window = T.StructType([T.StructField("n", T.IntegerType()), T.StructField("window", T.StringType()), T.StructField("item", item_type)])
-    found = tests.select(F.col("item").cast(item_type).alias("item"), F.coalesce("text", F.lit("")).alias("text")).mapInArrow(windows_of(size, to_arrow_schema(window)[2].type), window)
+    found = tests.select(F.col("item").cast(item_type).alias("item"), F.coalesce("text", F.lit("")).alias("text")).mapInArrow(core.lean(windows_of(size, to_arrow_schema(window)[2].type)), window)
     found = core.materialise(found.distinct())
     total = found.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("window")), F.lit(0)).alias("bytes")).first()
     # pairs of window and item are spread evenly, so one window of many items may be searched in several passes
@@ -177,7 +177,7 @@ def _searched(source: DataFrame, benchmark: DataFrame, size: int, item_col: str,
     for k in range(passes):
         some = found if passes == 1 else found.where(F.pmod(F.xxhash64("window", "item"), F.lit(passes)) == k)
         shared = spark.sparkContext.broadcast(tables([tuple(r) for r in some.collect()]))
-        source = source.mapInArrow(_scan(shared, to_arrow_schema(schema)), schema)
+        source = source.mapInArrow(core.lean(_scan(shared, to_arrow_schema(schema))), schema)
     return source
 
 

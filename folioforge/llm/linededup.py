@@ -222,6 +222,16 @@ def _refine(threshold: int):
     return run
 
 
+def _refine_lines(threshold: int):
+    """_refine of what _rests makes, in one worker: two operators in a row take two workers a task."""
+    rests, refine = _rests(threshold), _refine(threshold)
+
+    def run(batches):
+        yield from refine(b.slice(i, 10_000) for b in rests(batches) for i in range(0, b.num_rows, 10_000))
+
+    return run
+
+
 #: Members up to which a bucket's pairs are simply all compared (at most 15.5 pairs a member).
 SMALL = 32
 
@@ -328,7 +338,7 @@ def line_texts(lines: DataFrame, wanted: DataFrame) -> DataFrame:
 def confirmed(pairs: DataFrame, text: DataFrame, threshold: int) -> DataFrame:
     """Those of pairs (u, v) whose lines are within the threshold; a frequent v is split by the skew join."""
     rows = pairs.join(text.select(F.col("h").alias("u"), F.col("line").alias("a")), "u").join(text.select(F.col("h").alias("v"), F.col("line").alias("b")), "v")
-    return rows.select("u", "v", "a", "b").mapInArrow(_verify(threshold), "u long, v long")
+    return rows.select("u", "v", "a", "b").mapInArrow(core.lean(_verify(threshold)), "u long, v long")
 
 
 def near_lines(docs: DataFrame, threshold: int = 2, least: int = 40) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -341,10 +351,10 @@ def near_lines(docs: DataFrame, threshold: int = 2, least: int = 40) -> tuple[Da
     text = docs.select("text")
     kind = docs.schema["doc_id"].dataType
     occurrence = T.StructType([T.StructField("h", T.LongType()), T.StructField("doc_id", kind), T.StructField("k0", T.LongType()), T.StructField("k1", T.IntegerType()), T.StructField("line", T.IntegerType())])
-    occurrences = core.materialise(docs.select("doc_id", "k0", "k1", "text").mapInArrow(_occurrences(least, False), occurrence))
-    sent = text.mapInArrow(_send(least, threshold, parts), "part int, " + _BUCKET + ", payload binary")
-    stars = core.materialise(sent.repartitionById(parts, F.col("part")).mapInArrow(_meet(), _BUCKET))
-    lines = text.mapInArrow(_occurrences(least, True), "h long, line binary")
+    occurrences = core.materialise(docs.select("doc_id", "k0", "k1", "text").mapInArrow(core.lean(_occurrences(least, False)), occurrence))
+    sent = text.mapInArrow(core.lean(_send(least, threshold, parts)), "part int, " + _BUCKET + ", payload binary")
+    stars = core.materialise(sent.repartitionById(parts, F.col("part")).mapInArrow(core.lean(_meet()), _BUCKET))
+    lines = text.mapInArrow(core.lean(_occurrences(least, True)), "h long, line binary")
     indexed = F.col("ru") + F.col("rv") > 0
     pair = [F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")]
     # buckets of probes alone have nothing to compare
@@ -371,7 +381,7 @@ def _across(member: DataFrame, label: DataFrame, tried: DataFrame, text: DataFra
     a frequent segment costs is in proportion to its lines.  Where at most 3 (threshold + 1) bytes
     are left, two lines share what deletions make of them.
     """
-    rests = False
+    first = True
     across = (F.col("component") != F.col("component2")) & (F.col("role") + F.col("role2") > 0)
     new = lambda pairs: core.materialise(pairs.select(F.greatest("node", "node2").alias("u"), F.least("node", "node2").alias("v")).distinct().join(tried, ["u", "v"], "left_anti"))
     size = F.count("*").alias("n")
@@ -388,11 +398,11 @@ def _across(member: DataFrame, label: DataFrame, tried: DataFrame, text: DataFra
         large = open_.where((F.col("n") > SMALL) & (F.col("kind") == 0))
         if large.isEmpty():
             return
-        if not rests:
+        if first:
             lines = text.withColumnRenamed("h", "node")
-            large = large.select("band", "node").join(lines, "node").select("band", "node", "line").mapInArrow(_rests(threshold), "band long, node long, rest binary")
-            rests = True
-        sub = large.select("band", "node", "rest").mapInArrow(_refine(threshold), "band long, node long, role int, kind int, rest binary").distinct()
+            large = large.select("band", "node").join(lines, "node").select("band", "node", "line")
+        sub = large.select("band", "node", "line" if first else "rest").mapInArrow(core.lean(_refine_lines(threshold) if first else _refine(threshold)), "band long, node long, role int, kind int, rest binary").distinct()
+        first = False
         sub = sub.join(label, "node", "left").withColumn("component", F.coalesce("component", "node"))
         sub = core.materialise(sub.join(sub.groupBy("band").agg(*mixed).where("lo <> hi and some = 1").select("band"), "band"))
         pivot = sub.groupBy("band").agg(F.min(F.struct((1 - F.col("role")).alias("r"), "node", "component")).alias("p")).select("band", F.col("p.node").alias("node2"), (1 - F.col("p.r")).alias("role2"), F.col("p.component").alias("component2"))
@@ -436,7 +446,7 @@ def without_lines(rows: DataFrame) -> DataFrame:
     """rows without the lines of ``text`` whose numbers are in ``gone`` (null: none)."""
     from pyspark.sql.pandas.types import to_arrow_schema
 
-    return rows.mapInArrow(_drop_lines(to_arrow_schema(rows.schema)), rows.schema)
+    return rows.mapInArrow(core.lean(_drop_lines(to_arrow_schema(rows.schema))), rows.schema)
 
 
 def dedup_lines(docs: DataFrame, threshold: int = 2, least: int = 40, id_col: str = "doc_id", text_col: str = "text", with_text: bool = True) -> DataFrame:

@@ -329,7 +329,7 @@ def _within(pairs: DataFrame, docs: DataFrame, reps: DataFrame, size: int, perce
     rows = rows.withColumn("own", F.pmod(F.xxhash64("doc_id", "k1"), F.col("parts"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
     rows = rows.select("block", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), F.col("doc_id").alias("u"), "k1", "own", "text")
     rows = rows.repartition("block", "i", "j").sortWithinPartitions("block", "i", "j", "u", "k1")
-    return rows.mapInArrow(_blocks(size, percent), "u long, v long, links long")
+    return rows.mapInArrow(core.lean(_blocks(size, percent)), "u long, v long, links long")
 
 
 def confirmed(pairs: DataFrame, docs: DataFrame, reps: DataFrame, size: int, percent: int, per_task: int = 512) -> DataFrame:
@@ -344,9 +344,9 @@ def confirmed(pairs: DataFrame, docs: DataFrame, reps: DataFrame, size: int, per
     salted = pairs.join(many, "v").select("u", "v", F.pmod(F.xxhash64("u"), F.ceil(F.col("members") / per_task)).alias("salt"))
     asked = salted.unionByName(salted.select(F.col("v").alias("u"), "v", "salt").distinct())
     asked = asked.join(reps.withColumnRenamed("doc_id", "u"), "u").select(F.col("u").alias("doc_id"), "k1", "v", "salt")
-    rows = docs.join(asked, ["doc_id", "k1"]).select(F.col("doc_id").alias("u"), "v", "salt", "text").mapInArrow(_sets(size), "u long, v long, salt long, items binary")
+    rows = docs.join(asked, ["doc_id", "k1"]).select(F.col("doc_id").alias("u"), "v", "salt", "text").mapInArrow(core.lean(_sets(size)), "u long, v long, salt long, items binary")
     rows = rows.repartition("v", "salt").sortWithinPartitions("v", "salt", F.col("u") != F.col("v"))
-    return rows.mapInArrow(_confirm(percent), "u long, v long").distinct().withColumn("links", F.lit(None).cast("long"))
+    return rows.mapInArrow(core.lean(_confirm(percent)), "u long, v long").distinct().withColumn("links", F.lit(None).cast("long"))
 
 
 #: Members up to which a bucket's pairs are simply all compared (at most 15.5 pairs a member).
@@ -403,11 +403,11 @@ def _split(nodes: DataFrame, docs: DataFrame, reps: DataFrame, size: int, percen
     spark = docs.sparkSession
     own = nodes.select("node").distinct().join(reps.withColumnRenamed("doc_id", "node"), "node")
     texts = core.materialise(docs.join(own.select(F.col("node").alias("doc_id"), "k1"), ["doc_id", "k1"]).select(F.col("doc_id").alias("node"), "k1", "text").dropDuplicates(["node", "k1"]))
-    cells = texts.select("text").mapInArrow(_counts(size), "cell int, times long").groupBy("cell").agg(F.sum("times").alias("times")).collect()  # CELLS rows at most
+    cells = texts.select("text").mapInArrow(core.lean(_counts(size)), "cell int, times long").groupBy("cell").agg(F.sum("times").alias("times")).collect()  # CELLS rows at most
     order = np.zeros(CELLS, np.int64)
     for r in cells:
         order[r["cell"]] = r["times"]
-    return texts.select("node", "text").mapInArrow(_prefixes(spark.sparkContext.broadcast(order), size, percent), "band long, node long, n long, at long")
+    return texts.select("node", "text").mapInArrow(core.lean(_prefixes(spark.sparkContext.broadcast(order), size, percent)), "band long, node long, n long, at long")
 
 
 def _by_buckets(stars: DataFrame, label: DataFrame, docs: DataFrame, reps: DataFrame, size: int, percent: int) -> tuple[DataFrame, DataFrame]:
@@ -468,11 +468,11 @@ def near_duplicates(docs: DataFrame, size: int = 2, percent: int = 80, n_bands:
     parts = core.partitions(spark)
     t = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), t.alias("text")).select("doc_id", F.xxhash64("text").alias("k1"), "text")
-    signed = core.materialise(docs.mapInArrow(_sign(size, n_bands * rows, rows), "doc_id long, k1 long, h0 long, h1 long, n long, bands binary"))
+    signed = core.materialise(docs.mapInArrow(core.lean(_sign(size, n_bands * rows, rows)), "doc_id long, k1 long, h0 long, h1 long, n long, bands binary"))
     named = signed.where(F.col("doc_id").isNotNull() & (F.col("n") > 0))
     classes = core.materialise(named.groupBy("h0", "h1").agg(F.min(F.struct("doc_id", "k1")).alias("rep"), F.first("n").alias("n"), F.first("bands").alias("bands")).select("h0", "h1", F.col("rep.doc_id").alias("node"), F.col("rep.k1").alias("k1"), "n", "bands"))
-    sent = classes.select("node", "n", "bands").mapInArrow(_local_buckets(parts), "part int, " + EDGE + ", payload binary")
-    stars = core.materialise(sent.repartitionById(parts, F.col("part")).mapInArrow(_join_buckets(), EDGE))
+    sent = classes.select("node", "n", "bands").mapInArrow(core.lean(_local_buckets(parts)), "part int, " + EDGE + ", payload binary")
+    stars = core.materialise(sent.repartitionById(parts, F.col("part")).mapInArrow(core.lean(_join_buckets()), EDGE))
     reps = classes.select(F.col("node").alias("doc_id"), "k1")
     pairs = core.materialise(stars.select("u", "v").distinct())
     block = core.materialise(components.connected(pairs).withColumnRenamed("component", "block"))

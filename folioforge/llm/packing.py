@@ -231,7 +231,7 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 2048, end: int = 0, id
     fields = [T.StructField("doc_id", kind), T.StructField("piece", T.IntegerType()), *(T.StructField(c, T.LongType()) for c in ("start", "length", "ids_crc32")), *([T.StructField("ids", T.BinaryType())] if with_ids else [])]
     first = T.StructType([*fields, T.StructField("task", T.StringType()), T.StructField("nth", T.LongType())])
     source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    pieces = core.materialise(source.mapInArrow(_pieces(tokenizer, capacity, end, to_arrow_schema(first), with_ids), first))
+    pieces = core.materialise(source.mapInArrow(core.lean(_pieces(tokenizer, capacity, end, to_arrow_schema(first), with_ids)), first))
     by_task = core.materialise(pieces.groupBy("length", "task").agg(F.count("*").alias("n")))
     counts = {r["length"]: r["n"] for r in by_task.groupBy("length").agg(F.sum("n").alias("n")).collect()}
     runs, _ = plan(counts, capacity)
@@ -240,4 +240,4 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 2048, end: int = 0, id
     # merged, not broadcast: this table grows with the number of tasks
     ranked = pieces.join(base.hint("merge"), ["length", "task"]).withColumn("rank", F.col("base") + F.col("nth"))
     last = T.StructType([*fields, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
-    return ranked.mapInArrow(_place(spark.sparkContext.broadcast(runs), to_arrow_schema(last)), last)
+    return ranked.mapInArrow(core.lean(_place(spark.sparkContext.broadcast(runs), to_arrow_schema(last))), last)

@@ -141,7 +141,7 @@ def learn(texts: DataFrame, rows: int = FIT_ROWS, smooth: float = 0.5) -> Model:
     sample = core.materialise(texts.orderBy(F.xxhash64("key"), "key").limit(rows))
     total = {r["y"]: r["n"] for r in sample.groupBy("y").agg(F.count("*").alias("n")).collect()}
     n1, n0 = total.get(1, 0), total.get(0, 0)
-    counts = sample.select("text", "y").mapInArrow(_count, "gram int, p int, q int").groupBy("gram").agg(F.sum("p").alias("p"), F.sum("q").alias("q"))
+    counts = sample.select("text", "y").mapInArrow(core.lean(_count), "gram int, p int, q int").groupBy("gram").agg(F.sum("p").alias("p"), F.sum("q").alias("q"))
     chosen, ratio = np.zeros(0, np.int64), np.zeros(0)
     if n1 and n0:
         both = (F.col("p") + F.col("q")) / (n1 + n0)
@@ -151,7 +151,7 @@ def learn(texts: DataFrame, rows: int = FIT_ROWS, smooth: float = 0.5) -> Model:
         chosen = np.array([r["gram"] for r in best], np.int64)
         p, q = (np.array([r[c] for r in best], np.float64) for c in "pq")
         ratio = np.log((p + smooth) / (n1 + 2 * smooth) / ((q + smooth) / (n0 + 2 * smooth)))
-    got = sample.select("text", "y").mapInArrow(_restrict(spark.sparkContext.broadcast(chosen)), "y int, ids binary").collect() if len(chosen) else []
+    got = sample.select("text", "y").mapInArrow(core.lean(_restrict(spark.sparkContext.broadcast(chosen))), "y int, ids binary").collect() if len(chosen) else []
     if not got:
         got = [{"y": y, "ids": core.pack(np.zeros(0, np.int32), np.zeros(0, np.int64))} for y, n in total.items() for _ in range(n)]
     got.sort(key=lambda r: (bytes(r["ids"]), r["y"]))  # the order of rows doesn't change the model
@@ -199,7 +199,7 @@ def scored(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     if text_col != "text":
         docs = docs.drop("text").withColumnRenamed(text_col, "text")
     schema = T.StructType([*docs.schema.fields, T.StructField("score", T.DoubleType())])
-    out = docs.mapInArrow(_score(spark.sparkContext.broadcast(model), to_arrow_schema(schema)), schema)
+    out = docs.mapInArrow(core.lean(_score(spark.sparkContext.broadcast(model), to_arrow_schema(schema))), schema)
     return out if text_col == "text" else out.withColumnRenamed("text", text_col)
 
 

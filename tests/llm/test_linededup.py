@@ -1,4 +1,5 @@
 import random
+import re
 
 import duckdb
 import numpy as np
@@ -159,6 +160,34 @@ def test_hot_segments_cost_in_proportion(spark, monkeypatch):
     assert totals[1] < 6 * totals[0] and totals[1] < 120_000, totals
 
 
+def test_a_task_has_one_worker(spark, monkeypatch):
+    """No Python operator reads another's rows within a task: each of them would have a worker of its own."""
+    plans, real = [], core.materialise
+    monkeypatch.setattr(core, "materialise", lambda df: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or real(df))
+    linededup.dedup_lines(frame(spark, list(enumerate(hot_lines(60)))), with_text=False)
+    assert any("role" in x and "MapInArrow" in x for x in plans)
+    assert not [x for x in plans if re.search(r"MapInArrow.*\n(?:[\s:+-]*(?:Project|Filter).*\n)*[\s:+-]*MapInArrow", x)]
+
+
+def test_lean_gives_freed_memory_back():
+    def used():
+        with open("/proc/self/statm") as f:
+            return int(f.read().split()[1]) * 4 // 1024
+
+    held = []
+
+    def run(batches):
+        blocks = [np.ones(100_000, np.uint8) for _ in range(2000)]  # below what malloc maps by itself
+        held.append(np.ones(100_000, np.uint8))  # nothing before it leaves the heap by its end
+        yield used()
+        del blocks
+
+    before = used()
+    top, *_ = core.lean(run)(iter(()))
+    assert top > before + 150
+    assert used() < before + 100
+
+
 def test_pipeline_drops_copies_of_short_lines(spark):
     rows = [(1, "Les.\n\nab\n\ncd"), (2, "Les.\n\nab\n\ncd"), (3, ""), (4, " \n "), (5, "ef\nLes.")]
     got = corpus_pipeline.drop_lines(spark, spark.createDataFrame(rows, "doc_id long, text string"), "").collect()
