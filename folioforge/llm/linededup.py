@@ -148,11 +148,11 @@ def segments(s: np.ndarray, e: np.ndarray, threshold: int):
                 yield np.flatnonzero(ok), (s + start)[ok], seg[ok], (size[ok].astype(U64) << U64(8)) + U64(i), ((start == at) & (delta == 0))[ok].astype(np.uint8)
 
 
-def entries(buf: np.ndarray, s: np.ndarray, e: np.ndarray, h: np.ndarray, threshold: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(key, line, role) of distinct lines; role 1: a segment of the line itself, 0: a probe only."""
+def entries(ids, s: np.ndarray, e: np.ndarray, h: np.ndarray, threshold: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(key, line, role) of distinct lines, ids as of core.span_ids_of; role 1: a segment of the line itself, 0: a probe only."""
     keys, nodes, roles = [], [], []
     for row, at, seg, which, role in segments(s, e, threshold):
-        keys.append(core.pair(core.span_ids(buf, at, at + seg), which))
+        keys.append(core.pair(ids(at, at + seg), which))
         nodes.append(h[row])
         roles.append(role)
     return np.concatenate(keys), np.concatenate(nodes), np.concatenate(roles)
@@ -241,8 +241,14 @@ _BUCKET = "band long, u long, v long, ru int, rv int"
 
 def _stars(key, node, role):
     """Of each bucket its pivot (least line that is indexed in it, else the least), and the other members beside it."""
-    order = np.lexsort((node, 1 - role, key))
+    order = np.argsort(key)
     key, node, role = key[order], node[order], role[order]
+    same = np.zeros(len(key), bool)
+    same[1:] = key[1:] == key[:-1]
+    same[:-1] |= same[1:]
+    many = np.flatnonzero(same)  # most entries are alone in their bucket: the others are put in order
+    order = many[np.lexsort((node[many], 1 - role[many], key[many]))]
+    node[many], role[many] = node[order], role[order]
     keep = np.ones(len(key), bool)
     keep[1:] = (key[1:] != key[:-1]) | (node[1:] != node[:-1])
     key, node, role = key[keep], node[keep], role[keep]
@@ -264,7 +270,7 @@ def _send(least: int, threshold: int, parts: int):
             m = len(u[c])
             yield pa.RecordBatch.from_arrays([pa.array(core.part_of(u[c].view(U64) * core.K1, parts)), pa.array(key[rest][c].view(np.int64)), pa.array(u[c]), pa.array(v[c]), pa.array(role[rest][c].astype(np.int32)), pa.array(role[pivot][c].astype(np.int32)), pa.nulls(m, pa.binary())], names=names)
 
-    def settle(found, seen):
+    def settle(found):
         key, node, role = (np.concatenate(c) for c in zip(*found))
         at, key, node, role, rest, pivot = _stars(key, node, role)
         yield from pairs(key, node, role, rest, pivot)
@@ -280,21 +286,26 @@ def _send(least: int, threshold: int, parts: int):
                 s, e, _ = lines_of(own, off[i : j + 1] - off[i])
                 keep = e - s >= least
                 s, e = s[keep], e[keep]
-                h = core.span_ids(own, s, e).view(np.int64)
-                h, one = np.unique(h, return_index=True)
-                new = ~np.isin(h, seen)
-                h, one = h[new], np.sort(one[new])
+                if not len(s):
+                    continue
+                ids = core.span_ids_of(own)
+                h = ids(s, e).view(np.int64)
+                own_h, one = np.unique(h, return_index=True)
+                at = np.searchsorted(seen, own_h)
+                new = np.ones(len(own_h), bool)
+                inner = at < len(seen)
+                new[inner] = seen[at[inner]] != own_h[inner]
+                seen = np.insert(seen, at[new], own_h[new])  # stays in order
+                one = np.sort(one[new])
                 if not len(one):
                     continue
-                h = core.span_ids(own, s[one], e[one]).view(np.int64)
-                found.append(entries(own, s[one], e[one], h, threshold))
-                seen = np.concatenate((seen, h))
-                held += len(h)
+                found.append(entries(ids, s[one], e[one], h[one], threshold))
+                held += len(one)
             if held > GATHER:
-                yield from settle(found, seen)
+                yield from settle(found)
                 found, seen, held = [], np.zeros(0, np.int64), 0
         if found:
-            yield from settle(found, seen)
+            yield from settle(found)
 
     return run
 

@@ -222,3 +222,52 @@ def test_lines_before_a_very_long_one(spark):
     assert {x["doc_id"]: x["contaminated"] for x in decontam.digest(decontam.contamination(docs, bench)).collect()} == {1: True, 2: False, 3: True, 4: True}
     assert {x["doc_id"]: x["kept"] for x in minhash.near_duplicates(docs).collect()} == {1: True, 2: True, 3: False, 4: True}
     assert {x["doc_id"]: x["n_removed"] for x in substring.dedup_word_windows(docs, 12, with_text=False).collect()} == {1: 24, 2: 0, 3: 24, 4: 0}
+
+
+def test_ids_of_one_buffer():
+    """span_ids_of gives the identifiers of span_ids, within and above the size of its prefix sums."""
+    r = np.random.default_rng(5)
+    for n in (1, 50, 300_000, 2 * core.BLOCK, 2 * core.BLOCK + 1):
+        buf = r.integers(97, 100, n).astype(np.uint8)
+        s = np.sort(np.r_[0, n, r.integers(0, n + 1, 200)])
+        e = np.minimum(n, s + r.integers(0, 90, len(s)))
+        ids = core.span_ids_of(buf)
+        assert ids(s, e).tolist() == core.span_ids(buf, s, e).tolist()
+        e[:3] = n  # over BLOCK bytes in the larger buffers
+        assert ids(s, e).tolist() == core.span_ids(buf, s, e).tolist()
+        assert ids(s[:0], e[:0]).tolist() == []
+
+
+def test_a_bucket_has_one_pivot():
+    """_stars against a slow version: rows in any order, repeated ones too."""
+    r = random.Random(6)
+    rows = [(r.randrange(40), r.randrange(12), r.randrange(2)) for _ in range(300)] + [(100 + i, i % 7, i % 2) for i in range(50)]
+    r.shuffle(rows)
+    key, node, role = (np.array(c) for c in zip(*rows))
+    at, key, node, role, rest, pivot = linededup._stars(key.astype(np.uint64), node, role)
+    heads = {k: min((1 - c, b) for a, b, c in rows if a == k) for k in {a for a, _, _ in rows}}
+    assert {int(key[i]): (1 - int(role[i]), int(node[i])) for i in at} == heads and len(at) == len(heads)
+    assert {(int(a), int(b)) for a, b in zip(key, node)} == {(a, b) for a, b, _ in rows}
+    assert node[pivot].tolist() == [heads[int(k)][1] for k in key[rest]]
+
+
+def test_a_task_hashes_its_text_once(monkeypatch):
+    """All segments of a block of text come from one pass over its bytes, and a line met again sends nothing."""
+
+    class Counted:
+        def __init__(self, table):
+            self.table, self.bytes = table, 0
+
+        def __getitem__(self, at):
+            self.bytes += len(at)
+            return self.table[at]
+
+    r = random.Random(8)
+    texts = ["\n".join("".join(r.choice("abcdefgh ") for _ in range(60)) for _ in range(40)) for _ in range(250)]
+    some = [linededup.pa.RecordBatch.from_arrays([linededup.pa.array(x)], names=["text"]) for x in (texts, texts[::-1])]
+    send = lambda batches: sorted((b["part"][0].as_py(), len(b["payload"][0].as_py())) for b in linededup._send(40, 2, 4)(iter(batches)) if b["payload"][0].is_valid)
+    counted = Counted(core._tables()["table"])
+    monkeypatch.setitem(core._tables(), "table", counted)
+    once = send(some[:1])
+    assert once and counted.bytes <= sum(len(x) for x in texts)
+    assert send(some) == once
