@@ -74,3 +74,20 @@ def test_no_query_takes_a_sample():
     for m in (block_queries, chunk_queries, file_queries, operation_queries, retrieval_queries):
         for line in re.findall(r"\.where\([^)]*%[^)]*\)|\.limit\(|\.sample\(", inspect.getsource(m)):
             assert "vec_id % 100 = 0" in line, line
+
+
+def test_quality_equals_its_sql_at_borders_and_odd_characters(spark, tmp_path):
+    """Shares at a rule's border as 1 - rest / n, wide blanks at the ends, vertical tabs, a capital I with a dot, carriage returns in a table's row."""
+    lines = ["a" * k + "1" * (n - k) + x for n in (40, 50, 60, 80, 100) for k in range(n // 10, n // 2 + 1) for x in ("", "\r")]
+    lines += ["a" * k + "1" * (n - k - r) + "." * r for n in (40, 60, 100) for k in (int(n * 0.45), int(n * 0.3)) for r in range(n // 4, n // 2)]
+    lines += [" ", "　 a b c d e 　", "a b c d İx", "a b c d e" + "\x0b" * 6, "a|b|c d e f\rg|h i", "a|b|c d e f\r\ng|h|i j"] + ["word " * 9 + "end" + x for x in ("", " ", " ", " ", "\r") for _ in range(5)]
+    docs = [(i, "\n".join(lines[i:] + lines[:i])) for i in range(11)]
+    pd.DataFrame({"doc_id": [i for i, _ in docs], "text": [t for _, t in docs], "source": "s"}).to_parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet'")
+    for name in ("quality_drops", "quality_decisions", "quality_summary"):
+        df = catalogue.QUERIES[name](spark, str(tmp_path))
+        r = con.execute(catalogue.SQL[name])
+        names = [x[0] for x in r.description]
+        want = sorted([norm(x[names.index(c)]) for c in df.columns] for x in r.fetchall())
+        assert sorted([norm(r[c]) for c in df.columns] for r in df.collect()) == want
