@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 from dataclasses import dataclass
 
 import pandas as pd
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import text as X
+from ..functions.stream import by_key
 
 
 @dataclass(frozen=True)
@@ -111,18 +113,23 @@ def recursive_split(text: pd.Series) -> pd.Series:
     return text.map(lambda t: split_recursively(t or ""))
 
 
-def multiset_jaccard(a: str, b: str) -> float:
-    from collections import Counter
+def multiset_jaccard(x: Counter, y: Counter) -> float:
+    low = common(x, y)
+    union = x.total() + y.total() - low
+    return low / union if union else 1.0
 
-    x, y = Counter(a.lower().split()), Counter(b.lower().split())
-    union = sum((x | y).values())
-    return sum((x & y).values()) / union if union else 1.0
+
+def common(x: Counter, y: Counter) -> int:
+    """Size of the intersection of two multisets."""
+    if len(x) > len(y):
+        x, y = y, x
+    return sum(min(n, y[t]) for t, n in x.items() if t in y)
 
 
 def semantic_chunks(blocks: DataFrame, limits: Limits = Limits()) -> DataFrame:
     """Chunks of a running buffer over a document's blocks; headings and lists flush it and become the anchor.
 
-    The state runs through a document, so a document is one Arrow group.
+    The state runs through a document, so a document's blocks come in order to one task.
     """
 
     def label(v: str | None) -> str | None:
@@ -131,8 +138,11 @@ def semantic_chunks(blocks: DataFrame, limits: Limits = Limits()) -> DataFrame:
     def human(v: str) -> str:
         return " ".join(re.sub(r"(?<=[0-9])-(?=[0-9])", ".", v.replace("_", " ")).replace("-", " ").split())
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        out, held, anchor = [], [], None
+    def bag(r) -> Counter:
+        return Counter(r.text.lower().split())
+
+    def run(blocks: list) -> list[tuple]:
+        out, held, anchor, size, last = [], [], None, 0, None
 
         def add(parts, rows, strategy, tokens, at):
             head = label(rows[0].section) or (human(at) if at else None)
@@ -148,7 +158,7 @@ def semantic_chunks(blocks: DataFrame, limits: Limits = Limits()) -> DataFrame:
                 add([r.text for r in held], list(held), "semantic_merge", sum(r.tokens for r in held), anchor)
                 held.clear()
 
-        for r in pdf.sort_values("block_seq").itertuples():
+        for r in blocks:
             own = (r.text.strip() if r.block_type == "heading" else None) or (r.section or "").strip() or None
             if r.strategy == "heading_anchored":
                 flush()
@@ -161,16 +171,23 @@ def semantic_chunks(blocks: DataFrame, limits: Limits = Limits()) -> DataFrame:
                 flush()
                 add([r.text], [r], r.strategy, r.tokens, anchor)
             else:
-                size = sum(x.tokens for x in held)
-                if held and (r.boundary or size + r.tokens > limits.most or (size >= limits.least and multiset_jaccard(held[-1].text, r.text) < limits.similarity)):
+                size, now = size if held else 0, None
+                if held and not r.boundary and size + r.tokens <= limits.most and size >= limits.least:
+                    now = bag(r)
+                    new = multiset_jaccard(last if last is not None else bag(held[-1]), now) < limits.similarity
+                else:
+                    new = held and (r.boundary or size + r.tokens > limits.most)
+                if new:
                     flush()
+                    size = 0
                 held.append(r)
+                size, last = size + r.tokens, now
                 anchor = anchor or own
         flush()
-        return pd.DataFrame(out, columns=["doc_id", "chunk_index", "strategy", "chunk_type", "tokens", "anchor", "page_start", "page_end", "blocks", "text"])
+        return out
 
     p = plan(blocks, limits).select("doc_id", "block_seq", "page", "block_type", "section", "text", "strategy", "tokens", "standalone", "boundary")
-    return p.groupBy("doc_id").applyInPandas(run, "doc_id long, chunk_index long, strategy string, chunk_type string, tokens long, anchor string, page_start long, page_end long, blocks string, text string")
+    return by_key(p, "doc_id", "block_seq", run, "doc_id long, chunk_index long, strategy string, chunk_type string, tokens long, anchor string, page_start long, page_end long, blocks string, text string")
 
 
 def chunk_ids(chunks: DataFrame) -> DataFrame:
@@ -207,14 +224,14 @@ def page_references(text: Column) -> Column:
 
 def adjacent_similarity(blocks: DataFrame) -> DataFrame:
     """Multiset Jaccard of every block with the one before it in its document."""
-    w = Window.partitionBy("doc_id").orderBy("block_seq")
-    tokens = F.array_sort(X.nonspace(F.lower("text")))
-    b = blocks.select("doc_id", "block_seq", tokens.alias("_t")).withColumn("_p", F.lag("_t").over(w)).where(F.col("_p").isNotNull())
-    count = lambda a, t: F.size(F.filter(a, lambda x: x == t))
-    both = F.array_distinct(F.concat("_t", "_p"))
-    low = F.aggregate(both, F.lit(0), lambda s, t: s + F.least(count(F.col("_t"), t), count(F.col("_p"), t)))
-    union = F.size("_t") + F.size("_p") - F.col("_low")
-    return b.withColumn("_low", low).select("doc_id", "block_seq", F.when(union == 0, F.lit(1.0)).otherwise(F.round(F.col("_low") / union, 6)).alias("similarity"))
+
+    def run(rows: list) -> list[tuple]:
+        bags = [Counter(r.tokens or ()) for r in rows]
+        return [(r.doc_id, r.block_seq, low := common(x, y), x.total() + y.total() - low) for r, x, y in zip(rows[1:], bags, bags[1:])]
+
+    tokens = X.nonspace(F.lower("text")).alias("tokens")
+    b = by_key(blocks.select("doc_id", "block_seq", "text"), "doc_id", "block_seq", run, "doc_id long, block_seq long, low long, total long", ["doc_id", "block_seq", tokens])
+    return b.select("doc_id", "block_seq", F.when(F.col("total") == 0, F.lit(1.0)).otherwise(F.round(F.col("low") / F.col("total"), 6)).alias("similarity"))
 
 
 def source_spans(chunks: DataFrame, blocks: DataFrame) -> DataFrame:

@@ -329,3 +329,77 @@ def test_versions_texts_and_flags(spark):
     assert [r["v"] for r in q] == [[1.0, 2.0], [1.0, 2.0], [0.0, 0.0], [0.0, 0.0]]
     f = spark.createDataFrame([("and so", " lines \r\nx  ")], "a string, b string").select(chunks.starts_inside(F.col("a")), chunks.final_text(F.col("b"))).first()
     assert tuple(f) == (True, " lines\nx")
+
+
+def _lines(spark):
+    """40 documents of up to 60 lines from few words, some again, some blank."""
+    r = np.random.default_rng(3)
+    words = np.array([f"w{i}" for i in range(12)])
+    rows = []
+    for d in range(40):
+        for i in range(int(r.integers(1, 60))):
+            old = [x["text"] for x in rows if x["doc_id"] == d]
+            new = " ".join(r.choice(words, int(r.integers(0, 40)))) if r.random() < 0.6 or not old else old[int(r.integers(len(old)))] + r.choice(["", " w1", " New"])
+            rows.append({"doc_id": d, "block_seq": i, "text": new, "doc_type": ["contract", "web_document"][d % 2], "block_type": ["clause", "paragraph"][i % 2]})
+    return rows
+
+
+@pytest.fixture
+def small_batches(spark):
+    key, old = "spark.sql.execution.arrow.maxRecordsPerBatch", spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set(key, "7")
+    yield
+    spark.conf.set(key, old)
+
+
+def _plan(df):
+    return df._jdf.queryExecution().toString()
+
+
+def test_near_duplicates_as_by_comparing_all(spark, small_batches):
+    """One stream a task instead of a Python group a document, and the decisions of comparing every kept block."""
+    rows = _lines(spark)
+    got = blocks.near_duplicate_greedy(block(spark, *rows))
+    assert "FlatMapGroupsInPandas" not in _plan(got) and "MapInArrow" in _plan(got)
+    want = []
+    for d in range(40):
+        kept, seen = [], {}
+        for x in (x for x in rows if x["doc_id"] == d):
+            own, sig = set(x["text"].lower().split()), " ".join(x["text"].lower().split())
+            best, at = max(((len(own & o) / len(own | o) if own | o else 1.0, -s) for s, o in kept), default=(0, 0))
+            if sig in seen:
+                want.append((d, x["block_seq"], "exact_duplicate", seen[sig]))
+            elif best >= 0.95 and not (best < 0.99 and x["doc_type"] == "contract" and x["block_type"] == "clause"):
+                want.append((d, x["block_seq"], "near_duplicate", -at))
+            else:
+                kept.append((x["block_seq"], own))
+                seen[sig] = x["block_seq"]
+                want.append((d, x["block_seq"], "kept", None))
+    assert sorted((r["doc_id"], r["block_seq"], r["decision"], r["duplicate_of"]) for r in got.collect()) == sorted(want)
+    assert {x[2] for x in want} == {"kept", "near_duplicate", "exact_duplicate"}
+
+
+def test_semantic_chunks_are_a_stream(spark, small_batches):
+    """Documents longer than a batch; every block in one chunk, in order; no Python group a document."""
+    rows = _lines(spark)
+    got = chunks.semantic_chunks(block(spark, *rows), chunks.Limits(least=20, target=60, most=90))
+    assert "FlatMapGroupsInPandas" not in _plan(got) and "MapInArrow" in _plan(got)
+    of = {}
+    for c in got.orderBy("doc_id", "chunk_index").collect():
+        of.setdefault(c["doc_id"], []).extend(map(int, c["blocks"].split(",")))
+        assert c["tokens"] <= 90
+    assert of == {d: [x["block_seq"] for x in rows if x["doc_id"] == d and x["text"].strip()] for d in of} and len(of) > 30
+
+
+def test_adjacent_similarity_counts_each_token_once(spark, small_batches):
+    from collections import Counter
+
+    rows = _lines(spark)
+    got = chunks.adjacent_similarity(block(spark, *rows))
+    assert "lambda" not in _plan(got)  # before, every distinct token was counted by a pass over both blocks
+    want = {}
+    for x, y in zip(rows, rows[1:]):
+        if x["doc_id"] == y["doc_id"]:
+            a, b = Counter(x["text"].lower().split()), Counter(y["text"].lower().split())
+            want[y["doc_id"], y["block_seq"]] = round(sum((a & b).values()) / sum((a | b).values()), 6) if a or b else 1.0
+    assert {(r["doc_id"], r["block_seq"]): r["similarity"] for r in got.collect()} == pytest.approx(want, abs=1e-6)
