@@ -17,14 +17,20 @@ CHARS, ROWS = 1 << 22, 4096
 def values(column: pa.Array) -> list:
     """Python objects of a column; lists of strings by their flat values."""
     if pa.types.is_list(column.type) and not column.null_count:
-        flat = column.values.to_numpy(zero_copy_only=False).tolist()
-        at = column.offsets.to_pylist()
-        return [flat[a:b] for a, b in zip(at, at[1:])]
+        flat, at = column.flatten().to_numpy(zero_copy_only=False).tolist(), column.offsets.to_pylist()
+        return [flat[a - at[0] : b - at[0]] for a, b in zip(at, at[1:])]
     if pa.types.is_string(column.type) or pa.types.is_large_string(column.type):
         return column.to_numpy(zero_copy_only=False).tolist()
     return column.to_pylist()
 
 
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """Arrow batches in pieces, so that Python objects are made of a few rows at once."""
+    for b in batches:
+        for i in range(0, b.num_rows, rows):
+            yield b.slice(i, rows)
+
+
 def by_key(rows: DataFrame, key: str, order: str, each: Callable[[list], list[tuple]], schema: str, select: list[str | Column] | None = None) -> DataFrame:
     """each(rows of a key in order, as named tuples) -> tuples of schema, for every key.
 
@@ -43,7 +49,7 @@ def by_key(rows: DataFrame, key: str, order: str, each: Callable[[list], list[tu
         def batch():
             return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), made)], schema=made)
 
-        for b in batches:
+        for b in slices(batches, 1024):
             for r in map(Row._make, zip(*map(values, b.columns))):
                 if held and r[at] != held[0][at]:
                     got = each(held)

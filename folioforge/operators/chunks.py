@@ -4,15 +4,15 @@ from __future__ import annotations
 
 import re
 from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions import text as X
-from ..functions.stream import by_key
+from ..functions.stream import by_key, slices
 
 
 @dataclass(frozen=True)
@@ -108,9 +108,18 @@ def split_recursively(text: str, limits: Limits = Limits()) -> list[str]:
     return [*merged, "\n\n".join(held)] if held else merged
 
 
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def recursive_split(text: pd.Series) -> pd.Series:
-    return text.map(lambda t: split_recursively(t or ""))
+def recursive_split(rows: DataFrame, key: str, text: str = "text") -> DataFrame:
+    """(key, part, text) of each row's pieces; a task holds those of a few texts at once."""
+    kind = rows.schema[key].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, 64):
+            parts = [(i, k, p) for i, t in enumerate(b.column(1).to_pylist()) for k, p in enumerate(split_recursively(t or ""))]
+            if parts:
+                at, part, made = zip(*parts)
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at)), pa.array(part, pa.int32()), pa.array(made, pa.string())], [key, "part", "text"])
+
+    return rows.select(key, text).mapInArrow(run, f"{key} {kind}, part int, text string")
 
 
 def multiset_jaccard(x: Counter, y: Counter) -> float:

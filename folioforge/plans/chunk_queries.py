@@ -77,8 +77,7 @@ def source_spans_exact(spark, d):
 
 @query()
 def recursive_split(spark, d):
-    parts = _docs(spark, d).select("doc_id", F.posexplode(K.recursive_split(F.col("text"))).alias("part", "text"))
-    return parts
+    return K.recursive_split(_docs(spark, d), "doc_id")
 
 
 @query()

@@ -403,3 +403,55 @@ def test_adjacent_similarity_counts_each_token_once(spark, small_batches):
             a, b = Counter(x["text"].lower().split()), Counter(y["text"].lower().split())
             want[y["doc_id"], y["block_seq"]] = round(sum((a & b).values()) / sum((a | b).values()), 6) if a or b else 1.0
     assert {(r["doc_id"], r["block_seq"]): r["similarity"] for r in got.collect()} == pytest.approx(want, abs=1e-6)
+
+
+def test_embeddings_and_splits_hold_a_few_rows_at_once(spark):
+    """Arrow slices instead of a whole batch of Python lists; the values of the single functions."""
+    texts = ["A b a", "", None, "one. two! three " * 700] + [f"w{i} x" for i in range(600)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    e, parts = embed.hash_embeddings(df, 64), chunks.recursive_split(df, "doc_id")
+    for made in (e, parts):
+        assert "MapInArrow" in _plan(made) and "MapInPandas" not in _plan(made) and "ArrowEvalPython" not in _plan(made)
+    assert {r["doc_id"]: r["embedding"] for r in e.collect()} == {i: embed.hash_vector(t or "", 64) for i, t in enumerate(texts)}
+    assert sorted((r["doc_id"], r["part"], r["text"]) for r in parts.collect()) == [(i, k, p) for i, t in enumerate(texts) for k, p in enumerate(chunks.split_recursively(t or ""))]
+
+
+def test_sha_embedding_exchanges_places_once(spark):
+    """Rows of one key are added up; tokens aren't exchanged."""
+    df = spark.createDataFrame([(1, "a B a"), (1, "b c"), (2, ""), (3, None), (None, "z")], "doc_id long, text string")
+    two = spark.createDataFrame([(1, "a b a b c"), (None, "Z")], "doc_id long, text string")
+    got = embed.sha_embedding(df, "doc_id")
+    rows = lambda d: sorted((r["doc_id"] or 0, r["dim"], r["value"]) for r in d.collect())
+    assert rows(got) == rows(embed.sha_embedding(two, "doc_id")) and {r[0] for r in rows(got)} == {0, 1}
+    assert embed.sha_embedding(df, "doc_id")._jdf.queryExecution().executedPlan().toString().count("Exchange ") == 1
+
+
+def test_cross_document_meets_copies_once(spark):
+    """300 copies of a vector in 30 documents are one class (before, all their pairs met); results of comparing all."""
+    r = np.random.default_rng(4)
+    base = r.standard_normal((40, 16))
+    v = np.concatenate([base, base[:1].repeat(300, 0), base[5:15] + 0.05 * r.standard_normal((10, 16)), 3 * base[20:22], np.zeros((2, 16))])
+    rows = [(i, i % 30, x.tolist()) for i, x in enumerate(v)] + [(len(v), 1, None)]
+    df = spark.createDataFrame(rows, "chunk_id long, doc_id long, embedding array<double>")
+    u = v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300)
+    s = (u @ u.T).round(6)
+    want = {}
+    for i in range(len(v)):
+        best = max(((s[i, j], -j) for j in range(len(v)) if j % 30 != i % 30 and s[i, j] >= 0.97), default=None)
+        if best:
+            want[i] = (-best[1], pytest.approx(best[0], abs=1e-6))
+    made = []
+    whole = embed.same_document_pairs
+    embed.same_document_pairs = lambda x, t: made.append(x.count()) or whole(x, t)
+    try:
+        got = embed.cross_document(df).collect()
+    finally:
+        embed.same_document_pairs = whole
+    assert {x["chunk_id"]: (x["other"], x["similarity"]) for x in got} == want and made[0] < 60
+
+
+def test_sketches_grow_with_the_vectors():
+    """Unrelated vectors meet in a sketch with a probability of 128 ** -codes: their pairs stay in proportion to the vectors."""
+    for n in (10, 10_000, 1_000_000, 30_000_000):
+        codes, sketches = embed.sketch_shape(n, 0.97)
+        assert 128**codes >= n and sketches <= 100
