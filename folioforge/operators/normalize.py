@@ -6,6 +6,7 @@ Each function adds or replaces columns of a block table; blocks of a document ar
 
 from __future__ import annotations
 
+import re
 import unicodedata
 
 import pandas as pd
@@ -130,10 +131,20 @@ def ocr_policy(blocks: DataFrame, reject: float = 0.2, abstain: float = 0.5, med
     )
 
 
+SPACED = re.compile(r"\b(?:\w ){2,}\w\b")
+
+
 @F.pandas_udf(T.StringType())
-def collapse_spaced_letters(text: pd.Series) -> pd.Series:
-    """Letters spelled apart ("w o r d") are written together."""
-    return text.str.replace(r"\b(?:\w ){2,}\w\b", lambda m: m.group(0).replace(" ", ""), regex=True)
+def readable(text: pd.Series, spaced: pd.Series, protected: pd.Series) -> pd.Series:
+    """Where spaced, letters spelled apart ("w o r d") are written together; NFKC where not protected.  One worker a task for both."""
+
+    def one(t, apart, keep):
+        if t is None:
+            return None
+        t = SPACED.sub(lambda m: m.group(0).replace(" ", ""), t) if apart else t
+        return t if keep else unicodedata.normalize("NFKC", t)
+
+    return pd.Series([one(*x) for x in zip(text, spaced, protected)], index=text.index, dtype=object)
 
 
 @F.pandas_udf(T.StringType())
@@ -165,6 +176,7 @@ def normalize(blocks: DataFrame) -> DataFrame:
     b = normalize_tables(normalize_code(b))
     low = F.col("is_ocr") & (F.col("confidence") < 0.5)
     b = ocr_policy(b).where(~F.col("ocr_dropped"))
-    b = b.withColumn("text", F.when(low, collapse_spaced_letters(F.col("text"))).otherwise(F.col("text")))
-    b = normalize_text(b).where(~F.col("dropped"))
+    # as not deterministic, or the filters on its result would run it once more
+    b = b.withColumn("text", readable.asNondeterministic()(F.col("text"), F.coalesce(low, F.lit(False)), F.col("block_type").isin(*PROTECTED)))
+    b = normalize_text(b, compatibility=False).where(~F.col("dropped"))
     return enrich_metadata(b.where(F.trim("text") != ""))

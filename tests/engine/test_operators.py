@@ -455,3 +455,12 @@ def test_sketches_grow_with_the_vectors():
     for n in (10, 10_000, 1_000_000, 30_000_000):
         codes, sketches = embed.sketch_shape(n, 0.97)
         assert 128**codes >= n and sketches <= 100
+
+
+def test_normalize_has_one_python_step(spark):
+    """Spelled letters of uncertain OCR joined and compatibility forms replaced by one worker a task; protected text keeps its forms."""
+    wide = "ﬁne w o r d １２"
+    rows = [{"text": wide}, {"text": wide, "is_ocr": True, "confidence": 0.4}, {"text": wide, "block_type": "code_block", "is_ocr": True, "confidence": 0.4}]
+    b = normalize.normalize(block(spark, *rows))
+    assert _plan(b).split("== Physical Plan ==")[0].split("== Optimized Logical Plan ==")[1].count("ArrowEvalPython") == 1
+    assert column(b, "text") == ["fine w o r d 12", "fine word 12", "ﬁne word １２"]
